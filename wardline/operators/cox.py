@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import no_nan
-from ..session import durable, ship
+from ..session import durable, ship, task_count
 from . import riskset
 from .design import Design, Term, build_design
 from .exposure import exposed_from
@@ -97,7 +97,7 @@ def prepare_panel(
         value.alias("_value"),
         *[no_nan(column).alias(f"_s_{name}") for name, column in statuses.items()],
         *[F.col(c).alias(f"_c_{c}") for c in columns],
-    ).repartition("_id")
+    ).repartition(task_count(panel.sparkSession), "_id")
     start, stop = f"_c_{start}", f"_c_{stop}"
     for name in exposures:
         seen = exposed_from(F.col(f"_s_{name}") == 1, F.col("_value"), "_id", stop)

@@ -45,6 +45,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for a table that many Python passes will read.
+
+    The shuffle setting of the cluster, and never fewer than its cores; locally
+    no more than the cores, since each pass starts every task again.
+    """
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    local = spark.sparkContext.master.startswith("local")
+    return min(wanted, cores) if local else max(wanted, cores)
+
+
 def ship(module: ModuleType) -> None:
     """Send this module's functions along with the tasks that use them.
 
