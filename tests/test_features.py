@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wardline.operators.features import (
     FEATURES,
     STORED_INPUT,
+    cohort_lookup,
     daily_features,
     daily_scores,
     daily_source,
@@ -53,6 +54,11 @@ def test_infinite_ratio_drops_the_day(spark, cohort):
     assert rows(got, "day", "nlr_min", "nlr_max") == [(2, 3.0, 3.0)]
 
 
+def test_empty_cohort(spark, cohort):
+    table = labs(spark, [(10, 1, 3.0)], ["wbc"])
+    assert daily_source(table, cohort.limit(0), [SPEC["wbc"]]).collect() == []
+
+
 def test_fused_features_keep_their_own_missing_days(spark, cohort):
     table = labs(spark, [(10, 1, 3.0, None), (10, 30, None, 9.0)], ["wbc", "rdw"])
     got = daily_source(table, cohort, [SPEC["wbc"], SPEC["rdw"]])
@@ -61,8 +67,10 @@ def test_fused_features_keep_their_own_missing_days(spark, cohort):
 
 def test_broadcast_and_split_joins_agree(spark, cohort):
     table = labs(spark, [(10, h / 10, float(h)) for h in range(1, 400)], ["wbc"])
-    a = daily_source(table, cohort, [SPEC["wbc"]], small=True)
-    b = daily_source(table, cohort, [SPEC["wbc"]], small=False)
+    a = daily_source(table, cohort_lookup(cohort), [SPEC["wbc"]])
+    large = cohort_lookup(cohort, rows=1)
+    assert not large.small
+    b = daily_source(table, large, [SPEC["wbc"]])
     columns = ["stay_id", "day", "wbc_min", "wbc_max"]
     assert rows(a, *columns) == rows(b, *columns)
 

@@ -17,7 +17,11 @@ MICROS_PER_DAY = 86_400_000_000
 
 def day_bin(anchor: Column | str, time: Column | str, max_days: int = MAX_DAYS) -> Column:
     """Day number of ``time`` after ``anchor``, in exact integer microseconds."""
-    us = micros_between(anchor, time)
+    return day_of_micros(micros_between(anchor, time), max_days)
+
+
+def day_of_micros(us: Column, max_days: int = MAX_DAYS) -> Column:
+    """Day number of an offset in microseconds."""
     day = F.call_function("div", us + F.lit(MICROS_PER_DAY - 1), F.lit(MICROS_PER_DAY))
     return F.when((us > 0) & (us <= max_days * MICROS_PER_DAY), day.cast("int"))
 

@@ -40,9 +40,14 @@ def na_ifelse(condition: Column, yes: Column, no: Column) -> Column:
     return F.when(condition, yes).when(~condition, no)
 
 
+def micros(time: Column | str) -> Column:
+    """Microseconds since the epoch; the session zone is UTC."""
+    return F.unix_micros(_col(time).cast("timestamp"))
+
+
 def micros_between(start: Column | str, end: Column | str) -> Column:
     """``end - start`` in whole microseconds."""
-    return F.timestamp_diff("MICROSECOND", _col(start), _col(end))
+    return micros(end) - micros(start)
 
 
 def hours_between(start: Column | str, end: Column | str) -> Column:

@@ -16,9 +16,18 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import MAX_DAYS, day_bin, hour_bin, is_finite, no_nan, safe_ratio
-from .intervals import infusion_volume, is_volume_rate
-from .joins import is_small, lookup_join
+from ..functions import (
+    MAX_DAYS,
+    MICROS_PER_DAY,
+    day_of_micros,
+    hour_bin,
+    is_finite,
+    micros,
+    no_nan,
+    safe_ratio,
+)
+from .intervals import VOLUME_RATE_UNITS, infusion_volume
+from .joins import BROADCAST_ROWS, lookup_join
 
 MINMAX, SUM, MAX = "minmax", "sum", "max"
 
@@ -35,8 +44,8 @@ SCORE_COLUMNS = [
 class FeatureSpec:
     """One daily feature.
 
-    ``value`` is a column name or a function that builds the expression;
-    ``keep`` builds an optional row filter on the source table.
+    ``value`` is a SQL expression over the source table, or a function that builds
+    the column; ``keep`` is an optional SQL row filter.
     """
 
     name: str
@@ -45,11 +54,13 @@ class FeatureSpec:
     key: str = "subject_id"
     time: str = "charttime"
     how: str = MINMAX
-    keep: Callable[[], Column] | None = None
+    keep: str | None = None
 
     def expression(self) -> Column:
-        value = F.col(self.value) if isinstance(self.value, str) else self.value()
-        return no_nan(value).alias(self.name)
+        if isinstance(self.value, str):
+            text = f"nanvl(CAST({self.value} AS DOUBLE), CAST(NULL AS DOUBLE)) AS {self.name}"
+            return F.expr(text)
+        return no_nan(self.value()).alias(self.name)
 
     @property
     def columns(self) -> list[str]:
@@ -62,6 +73,11 @@ class FeatureSpec:
         return (self.source, self.key, self.time, self.keep)
 
 
+def one_of(column: str, values: list[str]) -> str:
+    """SQL membership test."""
+    return f"{column} IN ({', '.join(repr(v) for v in values)})"
+
+
 def _labs(source: str, **names: str) -> list[FeatureSpec]:
     return [FeatureSpec(name, source, value) for name, value in names.items()]
 
@@ -70,21 +86,6 @@ def _nlr() -> Column:
     return safe_ratio("neutrophils", "lymphocytes", 2)
 
 
-def _not_negative(column: str) -> Callable[[], Column]:
-    def keep() -> Column:
-        return F.col(column) >= 0
-
-    return keep
-
-
-def _renal_mode() -> Column:
-    return F.col("dialysis_type").isin(DIALYSIS_MODES)
-
-
-def _one() -> Column:
-    return F.lit(1)
-
-
 FEATURES: list[FeatureSpec] = [
     *_labs(
         "complete_blood_count",
@@ -110,25 +111,29 @@ FEATURES: list[FeatureSpec] = [
         be="baseexcess", lactate="lactate", pao2="po2", paco2="pco2", pf="pao2fio2ratio", ph="ph",
     ),
     FeatureSpec(
-        "uri_total", "urine", "urineoutput", "stay_id", how=SUM, keep=_not_negative("urineoutput")
+        "uri_total", "urine", "urineoutput", "stay_id", how=SUM, keep="urineoutput >= 0"
     ),
     FeatureSpec(
-        "input_total", "inputs", infusion_volume, "stay_id", "starttime", SUM, is_volume_rate
+        "input_total", "inputs", infusion_volume, "stay_id", "starttime", SUM,
+        one_of("rateuom", VOLUME_RATE_UNITS),
     ),
     FeatureSpec(
-        "output_total", "outputs", "value", "stay_id", "storetime", SUM, _not_negative("value")
+        "output_total", "outputs", "value", "stay_id", "storetime", SUM, "value >= 0"
     ),
     FeatureSpec(
         "vaso_ne", "norepinephrine_equivalent_dose", "norepinephrine_equivalent_dose",
         "stay_id", "endtime", MAX,
     ),
-    FeatureSpec("rrt", "rrt", "dialysis_present", "stay_id", how=MAX, keep=_renal_mode),
-    FeatureSpec("vent", "ventilator_setting", _one, "stay_id", how=MAX),
+    FeatureSpec(
+        "rrt", "rrt", "dialysis_present", "stay_id", how=MAX,
+        keep=one_of("dialysis_type", DIALYSIS_MODES),
+    ),
+    FeatureSpec("vent", "ventilator_setting", "1", "stay_id", how=MAX),
 ]
 
 # First version of the input volume, by the time of storing; superseded by ``input_total`` above.
 STORED_INPUT = FeatureSpec(
-    "input_total", "inputs", "amount", "stay_id", "storetime", SUM, _not_negative("amount")
+    "input_total", "inputs", "amount", "stay_id", "storetime", SUM, "amount >= 0"
 )
 
 
@@ -141,48 +146,84 @@ def grouped_specs(specs: Iterable[FeatureSpec]) -> list[list[FeatureSpec]]:
     return [list(g) for _, g in groupby(ranked, key=lambda s: order[s.group])]
 
 
-def _aggregates(spec: FeatureSpec) -> list[Column]:
+def _aggregates(spec: FeatureSpec) -> list[str]:
+    n = spec.name
     if spec.how == MINMAX:
-        return [
-            F.min(spec.name).alias(f"{spec.name}_min"),
-            F.max(spec.name).alias(f"{spec.name}_max"),
-        ]
+        return [f"min({n}) AS {n}_min", f"max({n}) AS {n}_max"]
     if spec.how == SUM:
-        return [F.coalesce(F.sum(spec.name), F.lit(0.0)).alias(spec.name)]
-    return [F.max(spec.name).alias(spec.name)]
+        return [f"coalesce(sum({n}), 0D) AS {n}"]
+    return [f"max({n}) AS {n}"]
 
 
-def _kept(spec: FeatureSpec) -> list[Column]:
+def _kept(spec: FeatureSpec) -> list[str]:
     """A feature is dropped from a stay-day when its last aggregate is not finite."""
-    ok = is_finite(spec.columns[-1])
-    return [F.when(ok, F.col(c)).alias(c) for c in spec.columns]
+    ok = f"abs({spec.columns[-1]}) < double('Infinity')"
+    return [f"CASE WHEN {ok} THEN {c} END AS {c}" for c in spec.columns]
+
+
+@dataclass(frozen=True)
+class CohortLookup:
+    """The cohort as the features join it, counted once for all of them.
+
+    ``small`` says that the counted rows (three fixed-width columns) may be
+    broadcast; ``first`` and ``last`` bound the in-times.
+    """
+
+    frame: DataFrame
+    small: bool
+    first: int | None  # microseconds
+    last: int | None
+
+    def window(self, time: str, max_days: int) -> Column:
+        """Times that can fall into some bin; reaches the scan as a range filter."""
+        kind = self.frame.schema["icu_intime"].dataType
+        low, high = (
+            F.timestamp_micros(F.lit(us)).cast(kind)
+            for us in (self.first, self.last + max_days * MICROS_PER_DAY)
+        )
+        return (F.col(time) > low) & (F.col(time) <= high)
+
+
+def cohort_lookup(cohort: DataFrame, rows: int = BROADCAST_ROWS) -> CohortLookup:
+    """Count the cohort and find its range of in-times, in one job."""
+    span = cohort.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(micros("icu_intime")).alias("first"),
+        F.max(micros("icu_intime")).alias("last"),
+    ).first()
+    return CohortLookup(cohort, span["n"] <= rows, span["first"], span["last"])
 
 
 def daily_source(
     table: DataFrame,
-    cohort: DataFrame,
+    cohort: DataFrame | CohortLookup,
     specs: list[FeatureSpec],
     max_days: int = MAX_DAYS,
-    small: bool | None = None,
 ) -> DataFrame:
     """All features of one source: ``(stay_id, day, ...)``, rows with some value only."""
     first = specs[0]
-    if small is None:
-        small = is_small(cohort)
-    facts = table.filter(first.keep()) if first.keep else table
-    facts = facts.select(first.key, first.time, *[s.expression() for s in specs])
+    if isinstance(cohort, DataFrame):
+        cohort = cohort_lookup(cohort)
+    facts = table.filter(first.keep) if first.keep else table
+    if cohort.first is not None:
+        facts = facts.filter(cohort.window(first.time, max_days))
+    facts = facts.select(
+        first.key, micros(first.time).alias("_time"), *[s.expression() for s in specs]
+    )
     if all(s.how != SUM for s in specs):
-        facts = facts.filter(F.coalesce(*[s.name for s in specs]).isNotNull())
-    lookup = cohort.select(*{first.key: 0, "stay_id": 0, "icu_intime": 0})
+        facts = facts.filter(f"coalesce({', '.join(s.name for s in specs)}) IS NOT NULL")
+    keys = list(dict.fromkeys([first.key, "stay_id"]))
+    lookup = cohort.frame.select(*keys, micros("icu_intime").alias("_from"))
     days = (
-        lookup_join(facts, lookup, first.key, small)
-        .withColumn("day", day_bin("icu_intime", first.time, max_days))
+        lookup_join(facts, lookup, first.key, cohort.small)
+        .withColumn("day", day_of_micros(F.col("_time") - F.col("_from"), max_days))
         .filter(F.col("day").isNotNull())
         .groupBy("stay_id", "day")
-        .agg(*[a for s in specs for a in _aggregates(s)])
+        .agg(*[F.expr(a) for s in specs for a in _aggregates(s)])
     )
-    return days.select("stay_id", "day", *[c for s in specs for c in _kept(s)]).filter(
-        F.coalesce(*[s.columns[-1] for s in specs]).isNotNull()
+    some = ", ".join(s.columns[-1] for s in specs)
+    return days.selectExpr("stay_id", "day", *[c for s in specs for c in _kept(s)]).filter(
+        f"coalesce({some}) IS NOT NULL"
     )
 
 
@@ -197,7 +238,7 @@ def daily_scores(scores: DataFrame, max_days: int = MAX_DAYS) -> DataFrame:
         scores.select(
             "stay_id",
             hour_bin("hr", max_days).alias("day"),
-            *[no_nan(c).alias(n) for c, n in zip(SCORE_COLUMNS, names, strict=True)],
+            *[F.expr(f"CAST({c} AS DOUBLE) AS {n}") for c, n in zip(SCORE_COLUMNS, names, strict=True)],
         )
         .filter(F.col("day").isNotNull())
         .groupBy("stay_id", "day")
@@ -213,9 +254,9 @@ def daily_features(
     max_days: int = MAX_DAYS,
 ) -> list[DataFrame]:
     """One daily table per group of features whose source is present in ``tables``."""
-    small = is_small(cohort)
+    lookup = cohort_lookup(cohort)
     daily = [
-        daily_source(tables[group[0].source], cohort, group, max_days, small)
+        daily_source(tables[group[0].source], lookup, group, max_days)
         for group in grouped_specs([s for s in specs if s.source in tables])
     ]
     if "sofa" in tables:

@@ -14,11 +14,6 @@ LITRE = "L"
 CONTINUOUS = ["Continuous Med", "Continuous IV"]
 
 
-def is_volume_rate() -> Column:
-    """Records whose rate is a volume per time."""
-    return F.col("rateuom").isin(VOLUME_RATE_UNITS)
-
-
 def infusion_volume() -> Column:
     """Volume in mL of one record.
 

@@ -106,6 +106,12 @@ def event_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read(spark, folder, "events").selectExpr(*EVENT_TABLES[name])
 
 
+def event_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All of them."""
+    events = read(spark, folder, "events")
+    return {name: events.selectExpr(*columns) for name, columns in EVENT_TABLES.items()}
+
+
 def event_table_sql(name: str) -> str:
     return f"{name} AS (SELECT {', '.join(EVENT_TABLES[name])} FROM events)"
 

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import MICROS_PER_DAY, day_bin, meld_na
+from ..functions import is_finite, meld_na, safe_ratio
 from ..operators.codebook import CATEGORIES, code_rows, codebook_frame
 from ..operators.codes import attach_flags, code_flags, site_class
 from ..operators.cohort import cohort_keys, select_cohort, sepsis_cohort
@@ -22,19 +23,19 @@ from ..operators.features import (
     FEATURES,
     STORED_INPUT,
     FeatureSpec,
+    cohort_lookup,
     daily_scores,
     daily_source,
     grouped_specs,
 )
 from ..operators.intervals import infusion_volume
 from ..operators.ipw import Exposure, ipw_weights
-from ..operators.joins import is_small
 from ..operators.panel import assemble_panel, day_spine
 from ..operators.sweep import EffectModel, bind_rows, cutoff_counts, cutoff_sweep, expand_cutoffs
 from ..session import durable, tune
 from ..sources import frame_sql
 from . import derived as dt
-from .study import cohort_with_flags, daily_panel
+from .study import albumin_sweep, cohort_with_flags, daily_panel, lactate_run, pressure_sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,10 +152,6 @@ def daily_minmax(spark, folder):
     return event_features(spark, folder, _event_spec("value"))
 
 
-def _typed_value(kind: str):
-    return lambda: F.when(F.col("event_type") == kind, F.col("value"))
-
-
 @query(
     "daily_minmax_fused",
     f"WITH {IN_TIME_SQL} SELECT user_id, day, "
@@ -164,7 +161,8 @@ def _typed_value(kind: str):
     + " FROM binned WHERE day IS NOT NULL GROUP BY user_id, day",
 )
 def daily_minmax_fused(spark, folder):
-    return event_features(spark, folder, *[_event_spec(t, _typed_value(t)) for t in dt.TYPES])
+    specs = [_event_spec(t, f"CASE WHEN event_type = '{t}' THEN value END") for t in dt.TYPES]
+    return event_features(spark, folder, *specs)
 
 
 @query(
@@ -174,7 +172,7 @@ def daily_minmax_fused(spark, folder):
     WHERE day IS NOT NULL AND value - 10 >= 0 GROUP BY user_id, day""",
 )
 def daily_sum_nonneg(spark, folder):
-    spec = _event_spec("total", lambda: F.col("value") - 10, "sum", lambda: F.col("value") - 10 >= 0)
+    spec = _event_spec("total", "value - 10", "sum", "value - 10 >= 0")
     return event_features(spark, folder, spec).withColumn("total", F.round("total", 4))
 
 
@@ -185,8 +183,8 @@ def daily_sum_nonneg(spark, folder):
     WHERE day IS NOT NULL AND event_type IN ('purchase', 'signup') GROUP BY user_id, day""",
 )
 def daily_max_flag(spark, folder):
-    keep = lambda: F.col("event_type").isin("purchase", "signup")
-    return event_features(spark, folder, _event_spec("flag", lambda: F.lit(1), "max", keep))
+    spec = _event_spec("flag", "1", "max", "event_type IN ('purchase', 'signup')")
+    return event_features(spark, folder, spec)
 
 
 @query(
@@ -202,8 +200,6 @@ def daily_max_flag(spark, folder):
 )
 def daily_ratio(spark, folder):
     """Ratio rule without the day: one infinite ratio drops the whole group."""
-    from ..functions import is_finite, safe_ratio
-
     return (
         dt.read(spark, folder, "lineitem")
         .select("l_orderkey", safe_ratio("l_extendedprice", "l_tax").alias("ratio"))
@@ -300,24 +296,13 @@ def _value_sql(spec: FeatureSpec) -> str:
             "CASE WHEN amountuom = 'L' THEN amount * 1000 WHEN amountuom IS NOT NULL THEN amount END "
             "END"
         )
-    if spec.name == "vent":
-        return "1"
     return spec.value
 
 
-_KEEP_SQL = {
-    "uri_total": "urineoutput >= 0",
-    "output_total": "value >= 0",
-    "rrt": "dialysis_type IN ('CVVH', 'CVVHD', 'CVVHDF', 'SCUF', 'IHD', 'CRRT')",
-}
-
-
 def _source_sql(specs: list[FeatureSpec]) -> str:
     """SELECT that computes one group of features, rounded sums included."""
     first = specs[0]
-    keep = _KEEP_SQL.get(first.name, "true")
-    if first.name == "input_total":
-        keep = "rateuom IN ('mL/min', 'mL/hour')" if first.time == "starttime" else "amount >= 0"
+    keep = first.keep or "true"
     values = ", ".join(f"({_value_sql(s)})::DOUBLE AS v{i}" for i, s in enumerate(specs))
     aggregates, outputs = [], []
     for i, s in enumerate(specs):
@@ -391,10 +376,10 @@ PANEL_SQL = (
 
 def small_panel(spark: SparkSession, folder: str) -> DataFrame:
     cohort = durable(select_cohort(dt.stays(spark, folder)))
-    keys = cohort_keys(cohort)
-    small = is_small(keys)
+    lookup = cohort_lookup(cohort_keys(cohort))
+    tables = dt.event_tables(spark, folder)
     daily = [
-        _rounded(daily_source(dt.event_table(spark, folder, g[0].source), keys, g, small=small), g)
+        _rounded(daily_source(tables[g[0].source], lookup, g), g)
         for g in _panel_groups()
     ]
     return assemble_panel(day_spine(cohort), daily)
@@ -405,10 +390,6 @@ def panel_query(spark, folder):
     return small_panel(spark, folder)
 
 
-def study_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: dt.event_table(spark, folder, name) for name in dt.EVENT_TABLES}
-
-
 ALL_GROUPS = grouped_specs(FEATURES)
 
 
@@ -436,7 +417,7 @@ ALL_GROUPS = grouped_specs(FEATURES)
 def study_panel(spark, folder):
     """All daily features of the study on the day spine."""
     stays = durable(dt.stays(spark, folder))
-    panel = daily_panel(study_tables(spark, folder), stays)
+    panel = daily_panel(dt.event_tables(spark, folder), stays)
     sums = [s.name for s in FEATURES if s.how == "sum"]
     return panel.withColumns({c: F.round(c, 4) for c in sums}).withColumn("fb", F.round("fb", 4))
 
@@ -731,39 +712,28 @@ surv AS (
 
 
 def survival_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per user and observed day until the first day above 200.
-
-    The event day and the last day come from a second, map-side combined aggregate
-    of the same daily rows.
-    """
+    """One row per user and observed day until the first day above 200."""
     daily = event_features(
         spark,
         folder,
-        _event_spec("v"),
-        _event_spec("exposed", lambda: F.when(F.col("event_type") == "purchase", 1).otherwise(0)),
-        _event_spec("n", lambda: F.lit(1)),
+        _event_spec("v", "value"),
+        _event_spec("exposed", "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END"),
     )
-    return _survival_rows(daily.drop("n_min", "n_max"))
-
-
-def _survival_rows(daily: DataFrame) -> DataFrame:
-    days = F.struct("day", "v_min", "v_max", "exposed_max")
-    per_user = daily.groupBy("user_id").agg(
-        F.min(F.when(F.col("v_max") > 200, F.col("day"))).alias("event_day"),
-        F.max("day").alias("last_day"),
-        F.collect_list(days).alias("days"),  # at most one entry per day bin
+    user = Window.partitionBy("user_id")  # at most one row per day bin
+    marked = daily.select(
+        "*",
+        F.min(F.when(F.col("v_max") > 200, F.col("day"))).over(user).alias("event_day"),
+        F.max("day").over(user).alias("last_day"),
     )
-    rows = per_user.select("user_id", "event_day", "last_day", F.explode("days").alias("d"))
-    day = F.col("d.day")
-    stays_in = F.col("event_day").isNull()
-    return rows.filter(stays_in | (day <= F.col("event_day"))).select(
+    day, lives = F.col("day"), F.col("event_day").isNull()
+    return marked.filter(lives | (day <= F.col("event_day"))).select(
         "user_id",
         (day - 1).alias("tstart"),
         day.alias("tstop"),
-        F.col("d.v_min").alias("vmin"),
-        F.col("d.exposed_max").cast("int").alias("exposed"),
+        F.col("v_min").alias("vmin"),
+        F.col("exposed_max").cast("int").alias("exposed"),
         F.coalesce((day == F.col("event_day")).cast("int"), F.lit(0)).alias("event"),
-        (stays_in & (day == F.col("last_day")) & (day < 28)).cast("int").alias("dropout"),
+        (lives & (day == F.col("last_day")) & (day < 28)).cast("int").alias("dropout"),
     )
 
 
@@ -814,8 +784,6 @@ def risk_set_sums(spark, folder):
         survival_panel(spark, folder), "user_id", "tstart", "tstop", terms("vmin"),
         {"event": "event"},
     )
-    import numpy as np
-
     model = RowModel("outcome", (0,), "_s_event")
     (sums,) = moment_pass(panel, [model], [np.array([[0.01]])], [np.array([True])])
     at = model.layout.parts
@@ -883,3 +851,63 @@ def cox_hr(spark, folder):
 @query("cutoff_sweep_hr")
 def cutoff_sweep_hr(spark, folder):
     return cutoff_sweep(model_panel(spark, folder), EVENT_MODEL, "vmin", CUTOFFS).effects
+
+
+# --------------------------------------------------------------------------
+# the study models on the study panel
+
+
+def study_model_panel(spark: SparkSession, folder: str, cut_column: str) -> DataFrame:
+    """Study panel with the columns that the caller of the models supplies.
+
+    Treatment is a high input on the day, the event is the first day with a
+    pressure above 150, and a stay without event drops out on its last day.  The
+    weight models refuse missing covariates, so all but the column of the cut-off
+    are filled with a fixed value.
+    """
+    stays = durable(dt.stays(spark, folder))
+    panel = daily_panel(dt.event_tables(spark, folder), stays)
+    measured = [c for c, kind in panel.dtypes if kind == "double" and c != cut_column]
+    stay, rows = F.col("stay_id"), Window.partitionBy("stay_id")  # one row per day bin
+    marked = panel.select(
+        "*",
+        F.min(F.when(F.col("sbp_max") > 150, F.col("day"))).over(rows).alias("event_day"),
+        F.max("day").over(rows).alias("last_day"),
+        F.min_by("albu_min", "day").over(rows).alias("first_albu"),
+    )
+    return (
+        marked.fillna(25.0, measured)
+        .filter(F.col("event_day").isNull() | (F.col("day") <= F.col("event_day")))
+        .withColumns(
+            {
+                "albutr": (F.col("input_total") > 300).cast("int"),
+                "event": F.coalesce((F.col("day") == F.col("event_day")).cast("int"), F.lit(0)),
+                "dropout": (
+                    F.col("event_day").isNull()
+                    & (F.col("day") == F.col("last_day"))
+                    & (F.col("day") < 28)
+                ).cast("int"),
+                "first_albu": F.coalesce("first_albu", F.lit(3.0)),
+                "admission_age": (18 + stay % 70).cast("double"),
+                "gender": F.when(stay % 20 < 10, "F").otherwise("M"),
+                "admissiontype": F.when(stay % 30 < 20, "urgent").otherwise("elective"),
+                "ethni": F.when(stay % 40 < 20, "a").otherwise("b"),
+                "infectionsite": (1 + F.floor(stay / 10) % 4).cast("int"),
+            }
+        )
+    )
+
+
+@query("lactate_run")
+def lactate_run_query(spark, folder):
+    return lactate_run(study_model_panel(spark, folder, "lactate_max")).effects
+
+
+@query("pressure_sweep")
+def pressure_sweep_query(spark, folder):
+    return pressure_sweep(study_model_panel(spark, folder, "mbp_min")).effects
+
+
+@query("albumin_sweep")
+def albumin_sweep_query(spark, folder):
+    return albumin_sweep(study_model_panel(spark, folder, "albu_min")).effects
