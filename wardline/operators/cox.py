@@ -27,12 +27,16 @@ from .design import Design, Term, build_design
 from .exposure import exposed_from
 from .riskset import (
     Layout,
+    Moments,
     RowModel,
     ScoreParts,
+    TimeSums,
     WeightModels,
-    add_moments,
     add_outer,
+    add_vectors,
     all_weights,
+    risk_rows,
+    square,
     whole_stays,
 )
 
@@ -147,20 +151,25 @@ def prepare_panel(
 # jobs over the prepared panel
 
 
+SUMS = "model int, cut int, time int, sums array<double>"
+
+
 def _summed(
     panel: FitPanel, sums: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 ) -> dict[tuple[int, int, int], np.ndarray]:
-    """Run a task that yields (model, cut, time, sums) and add its vectors over partitions."""
-    parts = panel.frame.mapInPandas(sums, "model int, cut int, time int, sums array<double>")
+    """Run a task that yields (model, cut, time, sums) and add its vectors over partitions.
+
+    The driver gets one vector per model, cut-off and time.
+    """
     table = (
-        parts.select("model", "cut", "time", F.posexplode("sums").alias("at", "value"))
-        .groupBy("model", "cut", "time", "at")
-        .agg(F.sum("value").alias("value"))
+        panel.frame.mapInPandas(sums, SUMS)
+        .repartition("model", "cut", "time")
+        .mapInPandas(add_vectors, SUMS)
         .toArrow()
         .to_pandas()
-        .sort_values(["model", "cut", "time", "at"])
     )
-    return {k: g["value"].to_numpy() for k, g in table.groupby(["model", "cut", "time"])}
+    keys = zip(table["model"], table["cut"], table["time"], strict=True)
+    return dict(zip(keys, table["sums"], strict=True))
 
 
 def moment_pass(
@@ -176,23 +185,28 @@ def moment_pass(
     models, betas, active = tuple(models), tuple(betas), tuple(active)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = [np.zeros((len(cutoffs), times + 1, m.layout.size)) for m in models]
+        totals = [Moments(m.layout, len(cutoffs), times) for m in models]
         for block in whole_stays(batches, width):
             weight = all_weights(block, weights, own, cutoffs)
+            at_risk = risk_rows(block)
             for total, model, beta, on in zip(totals, models, betas, active, strict=True):
-                layout = model.layout
-                x, event = block.x[:, model.index], block.column(model.status) == 1
+                if not on.any():
+                    continue
+                row = at_risk.row
+                ones_x = np.column_stack([np.ones(len(row)), block.x[row][:, model.index]])
+                event = at_risk.last & (block.column(model.status) == 1)[row]
+                known = model.known(block)
                 for c in np.flatnonzero(on):
-                    rows = model.usable(block, cutoffs[c])
-                    add_moments(
-                        total[c], layout, x[rows], weight[rows, c], beta[c], event[rows],
-                        block.start[rows], block.stop[rows],
+                    keep = model.usable(block, known, cutoffs[c])[row]
+                    total.add(
+                        c, beta[c], ones_x[keep], weight[row[keep], c], event[keep],
+                        at_risk.time[keep],
                     )
         for m, total in enumerate(totals):
-            cut, time = np.nonzero(total.any(axis=2))
+            cut, time, vectors = total.packed()
             if len(cut):
                 yield pd.DataFrame(
-                    {"model": m, "cut": cut, "time": time, "sums": list(total[cut, time])}
+                    {"model": m, "cut": cut, "time": time, "sums": list(vectors)}
                 )
 
     found = _summed(panel, sums)
@@ -208,15 +222,16 @@ def score_pass(
     """Sum over stays of the outer products of weighted score sums, per cut-off."""
     cutoffs, width, own = panel.cutoffs, len(panel.design.labels), panel.weight
     layout, scores = model.layout, tuple(scores)
+    n, triangle = layout.p, layout.triangle
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(layout.triangle[0])
-        total = np.zeros((len(cutoffs), size))
+        total = np.zeros((len(cutoffs), len(triangle[0])))
         for block in whole_stays(batches, width):
             weight = all_weights(block, weights, own, cutoffs)
             x, event = block.x[:, model.index], block.column(model.status) == 1
+            known = model.known(block)
             for c, score in enumerate(scores):
-                rows = model.usable(block, cutoffs[c])
+                rows = model.usable(block, known, cutoffs[c])
                 residual = score.residuals(
                     x[rows], event[rows], block.start[rows], block.stop[rows]
                 )
@@ -224,45 +239,50 @@ def score_pass(
         cut = np.arange(len(cutoffs))
         yield pd.DataFrame({"model": 0, "cut": cut, "time": 0, "sums": list(total)})
 
-    if not model.index:
+    if not n:
         return np.zeros((len(cutoffs), 0, 0))
     found = _summed(panel, sums)
-    empty = np.zeros(len(layout.triangle[0]))
-    return np.array(
-        [layout.square(found.get((0, c, 0), empty)) for c in range(len(cutoffs))]
-    )
+    empty = np.zeros(len(triangle[0]))
+    rows = np.array([found.get((0, c, 0), empty) for c in range(len(cutoffs))])
+    return square(rows, triangle, n)
 
 
 # --------------------------------------------------------------------------
 # driver-side algebra on the sums
 
 
-@dataclass
+@dataclass(frozen=True)
 class TieSums:
-    """Sums over the Efron steps k = 0..d-1 of one event time, f = k / d."""
-
-    log: float = 0.0
-    a0: float = 0.0
-    a1: float = 0.0
-    b0: float = 0.0
-    b1: float = 0.0
-    b2: float = 0.0
+    """Sums over the Efron steps k = 0..d-1 of each event time, with f = k / d.
 
+    With s = s0 - f t0: log s; 1 / s and f / s (a0, a1); and 1, f, f**2 over s**2
+    (b0, b1, b2).
+    """
 
-def tie_sums(s0: float, t0: float, d: int) -> TieSums:
-    out = TieSums()
-    for at in range(0, d, TIE_CHUNK):
-        f = np.arange(at, min(d, at + TIE_CHUNK)) / d
-        s = s0 - f * t0
+    log: np.ndarray
+    a0: np.ndarray
+    a1: np.ndarray
+    b0: np.ndarray
+    b1: np.ndarray
+    b2: np.ndarray
+
+
+def tie_sums(s0: np.ndarray, t0: np.ndarray, d: np.ndarray) -> TieSums:
+    """Steps of all times in chunks of bounded length."""
+    out = np.zeros((6, len(d)))
+    ends = np.cumsum(d)
+    total = int(ends[-1]) if len(d) else 0
+    for at in range(0, total, TIE_CHUNK):
+        step = np.arange(at, min(total, at + TIE_CHUNK))
+        time = np.searchsorted(ends, step, side="right")
+        f = (step - (ends - d)[time]) / d[time]
+        s = s0[time] - f * t0[time]
         inverse = 1.0 / s
         square = inverse * inverse
-        out.log += float(np.log(s).sum())
-        out.a0 += float(inverse.sum())
-        out.a1 += float((f * inverse).sum())
-        out.b0 += float(square.sum())
-        out.b1 += float((f * square).sum())
-        out.b2 += float((f * f * square).sum())
-    return out
+        parts = (np.log(s), inverse, f * inverse, square, f * square, f * f * square)
+        for row, part in zip(out, parts, strict=True):
+            row += np.bincount(time, part, len(d))
+    return TieSums(*out)
 
 
 @dataclass
@@ -282,35 +302,29 @@ class CoxFit:
     kept: np.ndarray | None = field(default=None, repr=False)
     halvings: int = 0
 
-    def _times(self):
-        at = self.layout.parts
-        for t in np.flatnonzero(self.sums[:, at["events"]].ravel() > 0):
-            row = self.sums[t]
-            d = int(round(float(row[at["events"]][0])))
-            mean_weight = float(row[at["w"]][0]) / d
-            ties = tie_sums(float(row[at["s0"]][0]), float(row[at["t0"]][0]), d)
-            yield t, d, mean_weight, ties, row
+    def _event_times(self) -> tuple[np.ndarray, np.ndarray, TieSums, TimeSums]:
+        """Event times with their mean event weight, tie sums and sums."""
+        t = np.flatnonzero(self.sums[:, 0] > 0)
+        at = self.layout.unpack(self.sums[t])
+        return t, at.w / at.events, tie_sums(at.s0, at.t0, at.events), at
 
     def evaluate(self, sums: np.ndarray) -> float:
         """Log-likelihood, gradient and information at ``beta``; returns the former."""
         self.sums = sums
-        at, layout, p = self.layout.parts, self.layout, self.layout.p
-        loglik, gradient = 0.0, np.zeros(p)
-        information, scale = np.zeros((p, p)), np.zeros(p)
-        self.events = 0
-        for _, d, w, k, row in self._times():
-            s1, t1 = row[at["s1"]], row[at["t1"]]
-            s2, t2 = layout.square(row[at["s2"]]), layout.square(row[at["t2"]])
-            self.events += d
-            loglik += float(row[at["weta"]][0]) - w * k.log
-            gradient += row[at["wx"]] - w * (k.a0 * s1 - k.a1 * t1)
-            information += w * (
-                k.a0 * s2 - k.a1 * t2
-                - k.b0 * np.outer(s1, s1)
-                + k.b1 * (np.outer(s1, t1) + np.outer(t1, s1))
-                - k.b2 * np.outer(t1, t1)
-            )
-            scale += w * k.a0 * np.diag(s2)
+        _, w, k, at = self._event_times()
+        self.events = int(at.events.sum())
+        loglik = float(at.weta.sum() - w @ k.log)
+        gradient = at.wx.sum(axis=0) - (w * k.a0) @ at.s1 + (w * k.a1) @ at.t1
+        cross = (at.s1 * (w * k.b1)[:, None]).T @ at.t1
+        information = (
+            np.tensordot(w * k.a0, at.s2, 1)
+            - np.tensordot(w * k.a1, at.t2, 1)
+            - (at.s1 * (w * k.b0)[:, None]).T @ at.s1
+            + cross
+            + cross.T
+            - (at.t1 * (w * k.b2)[:, None]).T @ at.t1
+        )
+        scale = (w * k.a0) @ np.diagonal(at.s2, axis1=1, axis2=2)
         if self.free is None:
             self.free = ~_aliased(information, scale)
         self.gradient, self.information = gradient, information
@@ -346,23 +360,26 @@ class CoxFit:
     def jumps(self) -> np.ndarray:
         """Baseline hazard jump at every time."""
         out = np.zeros(len(self.sums))
-        for t, _, w, k, _ in self._times():
-            out[t] = w * k.a0
+        t, w, k, _ = self._event_times()
+        out[t] = w * k.a0
         return out
 
     def score_parts(self) -> ScoreParts:
-        n, p, at = len(self.sums), self.layout.p, self.layout.parts
+        n, p = len(self.sums), self.layout.p
         parts = ScoreParts(
             self.beta, np.zeros((n, p)), np.zeros(n), np.zeros((n, p)), np.zeros(n),
             np.zeros((n, p)),
         )
-        for t, d, w, k, row in self._times():
-            s1, t1 = row[at["s1"]], row[at["t1"]]
-            parts.mean[t] = (k.a0 * s1 - k.a1 * t1) / d
-            parts.a[t] = w * k.a0
-            parts.v[t] = w * (k.b0 * s1 - k.b1 * t1)
-            parts.event_a[t] = w * (k.a0 - k.a1)
-            parts.event_v[t] = w * ((k.b0 - k.b1) * s1 - (k.b1 - k.b2) * t1)
+        t, w, k, at = self._event_times()
+
+        def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return a[:, None] * at.s1 - b[:, None] * at.t1
+
+        parts.mean[t] = mix(k.a0, k.a1) / at.events[:, None]
+        parts.a[t] = w * k.a0
+        parts.v[t] = w[:, None] * mix(k.b0, k.b1)
+        parts.event_a[t] = w * (k.a0 - k.a1)
+        parts.event_v[t] = w[:, None] * mix(k.b0 - k.b1, k.b1 - k.b2)
         return parts
 
     def variance(self, meat: np.ndarray | None) -> np.ndarray:

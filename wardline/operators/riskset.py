@@ -72,89 +72,139 @@ def whole_stays(batches: Iterator[pd.DataFrame], width: int) -> Iterator[Block]:
         yield _block(held, width)
 
 
+@dataclass(frozen=True)
+class TimeSums:
+    """Sums at several event times (first axis), weighted with w * exp(eta).
+
+    s0, s1, s2 run over the risk set and t0, t1, t2 over the events; w, weta and wx
+    are the plain sums of w, w * eta and w * x over the events.
+    """
+
+    events: np.ndarray
+    w: np.ndarray
+    weta: np.ndarray
+    wx: np.ndarray
+    s0: np.ndarray
+    s1: np.ndarray
+    s2: np.ndarray
+    t0: np.ndarray
+    t1: np.ndarray
+    t2: np.ndarray
+
+
 @dataclass(frozen=True)
 class Layout:
-    """Positions of the sums of one event time in a flat vector.
+    """Sums of one event time as a flat vector.
 
-    Risk-set sums s0, s1, s2 and the same sums t0, t1, t2 over the events, all
-    with weights w * exp(eta); and for the events their number, and the sums of w,
-    w * eta and w * x.
+    First come the event sums, then the upper triangles of the moment matrices of
+    (1, x) over the risk set and over the events.
     """
 
     p: int
 
     @property
     def triangle(self) -> tuple[np.ndarray, np.ndarray]:
+        """Upper triangle of a matrix of the terms."""
         return np.triu_indices(self.p)
 
     @property
-    def parts(self) -> dict[str, slice]:
-        q = self.p * (self.p + 1) // 2
-        sizes = {
-            "s0": 1, "t0": 1, "events": 1, "w": 1, "weta": 1,
-            "wx": self.p, "s1": self.p, "t1": self.p, "s2": q, "t2": q,
-        }
-        at, out = 0, {}
-        for name, size in sizes.items():
-            out[name] = slice(at, at + size)
-            at += size
-        return out
+    def moments(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.triu_indices(self.p + 1)
 
     @property
     def size(self) -> int:
-        return 5 + 3 * self.p + self.p * (self.p + 1)
-
-    def square(self, packed: np.ndarray) -> np.ndarray:
-        full = np.zeros((self.p, self.p))
-        full[self.triangle] = packed
-        return full + np.triu(full, 1).T
+        return 3 + self.p + (self.p + 1) * (self.p + 2)
+
+    def unpack(self, rows: np.ndarray) -> TimeSums:
+        """Read vectors, one per row."""
+        at = 3 + self.p
+        half = (rows.shape[1] - at) // 2
+        risk = square(rows[:, at : at + half], self.moments, self.p + 1)
+        dead = square(rows[:, at + half :], self.moments, self.p + 1)
+        return TimeSums(
+            np.rint(rows[:, 0]).astype(int), rows[:, 1], rows[:, 2], rows[:, 3:at],
+            risk[:, 0, 0], risk[:, 0, 1:], risk[:, 1:, 1:],
+            dead[:, 0, 0], dead[:, 0, 1:], dead[:, 1:, 1:],
+        )
+
+
+def square(packed: np.ndarray, triangle: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Symmetric matrices from their upper triangles, one per row."""
+    full = np.zeros((len(packed), n, n))
+    i, j = triangle
+    full[:, i, j] = packed
+    full[:, j, i] = packed
+    return full
 
 
 def linear(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return np.clip(x @ beta, -ETA_LIMIT, ETA_LIMIT)
 
 
-def add_moments(
-    out: np.ndarray,
-    layout: Layout,
-    x: np.ndarray,
-    weight: np.ndarray,
-    beta: np.ndarray,
-    event: np.ndarray,
-    start: np.ndarray,
-    stop: np.ndarray,
-) -> None:
-    """Add the sums of these rows to ``out[time]``; a row is at risk on (start, stop]."""
-    at, triangle = layout.parts, layout.triangle
-    length = stop - start
-    time = stop
+class Moments:
+    """Running sums of one model for all cut-offs and times."""
+
+    def __init__(self, layout: Layout, cutoffs: int, times: int) -> None:
+        n = layout.p + 1
+        self.layout = layout
+        self.event = np.zeros((cutoffs, times + 1, 3 + layout.p))
+        self.risk = np.zeros((cutoffs, times + 1, n, n))
+        self.dead = np.zeros((cutoffs, times + 1, n, n))
+
+    def add(self, cut: int, beta, ones_x, weight, event, time) -> None:
+        """Add rows sorted by time; ``ones_x`` is the matrix (1, x)."""
+        if not len(time):
+            return
+        eta = linear(ones_x[:, 1:], beta)
+        risk = weight * np.exp(eta)
+        weighted = ones_x * risk[:, None]
+        starts = np.flatnonzero(np.r_[True, time[1:] != time[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(time)], strict=True):
+            self.risk[cut, time[a]] += weighted[a:b].T @ ones_x[a:b]
+        hits = np.flatnonzero(event)
+        if not len(hits):
+            return
+        w, when, x, wx = weight[hits], time[hits], ones_x[hits], weighted[hits]
+        starts = np.flatnonzero(np.r_[True, when[1:] != when[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(when)], strict=True):
+            out = self.event[cut, when[a]]
+            out[0] += b - a
+            out[1] += w[a:b].sum()
+            out[2] += w[a:b] @ eta[hits[a:b]]
+            out[3:] += w[a:b] @ x[a:b, 1:]
+            self.dead[cut, when[a]] += wx[a:b].T @ x[a:b]
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cut-offs, times and vectors of all sums that are not empty."""
+        i, j = self.layout.moments
+        cut, time = np.nonzero(self.risk[:, :, 0, 0])
+        vectors = [
+            self.event[cut, time],
+            self.risk[cut, time][:, i, j],
+            self.dead[cut, time][:, i, j],
+        ]
+        return cut, time, np.concatenate(vectors, axis=1)
+
+
+@dataclass
+class RiskRows:
+    """Rows of a block sorted by time; a long interval is one row per time at risk."""
+
+    row: np.ndarray
+    time: np.ndarray
+    last: np.ndarray  # the time at which the row may have its event
+
+
+def risk_rows(block: Block) -> RiskRows:
+    length = block.stop - block.start
+    row, time = np.arange(len(length)), block.stop
     if (length > 1).any():
-        row = np.repeat(np.arange(len(stop)), length)
+        row = np.repeat(row, length)
         first = np.cumsum(length) - length
-        time = start[row] + 1 + np.arange(len(row)) - first[row]
-        x, weight = x[row], weight[row]
-        event = event[row] & (time == stop[row])
+        time = block.start[row] + 1 + np.arange(len(row)) - first[row]
     order = np.argsort(time, kind="stable")
-    x, weight, event, time = x[order], weight[order], event[order], time[order]
-    eta = linear(x, beta)
-    risk = weight * np.exp(eta)
-    edges = np.searchsorted(time, np.arange(len(out) + 1))
-    for t in np.unique(time):
-        rows = slice(edges[t], edges[t + 1])
-        xs, rs, hit = x[rows], risk[rows], event[rows]
-        sums = out[t]
-        sums[at["s0"]] += rs.sum()
-        sums[at["s1"]] += rs @ xs
-        sums[at["s2"]] += ((xs * rs[:, None]).T @ xs)[triangle]
-        if hit.any():
-            xe, re, we = xs[hit], rs[hit], weight[rows][hit]
-            sums[at["events"]] += hit.sum()
-            sums[at["w"]] += we.sum()
-            sums[at["weta"]] += we @ eta[rows][hit]
-            sums[at["wx"]] += we @ xe
-            sums[at["t0"]] += re.sum()
-            sums[at["t1"]] += re @ xe
-            sums[at["t2"]] += ((xe * re[:, None]).T @ xe)[triangle]
+    row, time = row[order], time[order]
+    return RiskRows(row, time, time == block.stop[row])
 
 
 @dataclass(frozen=True)
@@ -175,16 +225,15 @@ class RowModel:
     def layout(self) -> Layout:
         return Layout(len(self.index))
 
-    def rows(self, block: Block, cutoff: float) -> np.ndarray:
+    def known(self, block: Block) -> np.ndarray:
+        """Rows without missing values in the columns of the model."""
+        known = ~np.isnan(block.x[:, self.index]).any(axis=1)
+        return known & ~np.isnan(block.column(self.status))
+
+    def usable(self, block: Block, known: np.ndarray, cutoff: float) -> np.ndarray:
         keep = block.value <= cutoff
         if self.until is not None:
             keep &= cutoff < block.column(self.until)
-        return keep
-
-    def usable(self, block: Block, cutoff: float) -> np.ndarray:
-        keep = self.rows(block, cutoff)
-        known = ~np.isnan(block.x[:, self.index]).any(axis=1)
-        known &= ~np.isnan(block.column(self.status))
         if self.complete and (keep & ~known).any():
             raise ValueError(f"missing values in the covariates of the {self.name} model")
         return keep & known
@@ -275,3 +324,20 @@ def add_outer(out: np.ndarray, layout: Layout, scores: np.ndarray, id: np.ndarra
     new[1:] = id[1:] != id[:-1]
     total = np.add.reduceat(scores, np.flatnonzero(new), axis=0)
     out += (total.T @ total)[layout.triangle]
+
+
+def add_vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add the vectors of equal (model, cut, time) in one partition of partial sums."""
+    totals: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        keys = zip(batch["model"], batch["cut"], batch["time"], strict=True)
+        for key, vector in zip(keys, batch["sums"], strict=True):
+            if key in totals:
+                totals[key] += vector
+            else:
+                totals[key] = np.array(vector)
+    if totals:
+        model, cut, time = zip(*totals, strict=True)
+        yield pd.DataFrame(
+            {"model": model, "cut": cut, "time": time, "sums": list(totals.values())}
+        )

@@ -786,12 +786,10 @@ def risk_set_sums(spark, folder):
     )
     model = RowModel("outcome", (0,), "_s_event")
     (sums,) = moment_pass(panel, [model], [np.array([[0.01]])], [np.array([True])])
-    at = model.layout.parts
-    rows = [
-        (t + panel.first_time, *(float(v[at[k]][0]) for k in ("s0", "s1", "s2")), int(v[at["events"]][0]))
-        for t, v in enumerate(sums[0])
-        if v.any()
-    ]
+    times = np.flatnonzero(sums[0].any(axis=1))
+    at = model.layout.unpack(sums[0][times])
+    columns = (times + panel.first_time, at.s0, at.s1[:, 0], at.s2[:, 0, 0], at.events)
+    rows = list(zip(*(c.tolist() for c in columns), strict=True))
     out = spark.createDataFrame(rows, "tstop int, s0 double, s1 double, s2 double, events long")
     return out.withColumns(
         {"s0": F.round("s0", 5), "s1": F.round("s1", 3), "s2": F.round("s2", 1)}
