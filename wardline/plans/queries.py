@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ from ..operators.codebook import CATEGORIES, code_rows, codebook_frame
 from ..operators.codes import attach_flags, code_flags, site_class
 from ..operators.cohort import cohort_keys, select_cohort, sepsis_cohort
 from ..operators.cox import RowModel, cox_fit, moment_pass, prepare_panel
-from ..operators.describe import column_summary, level_counts, missing_summary
+from ..operators.describe import ANALYSIS_VARS, column_summary, level_counts, missing_summary
 from ..operators.design import Category, Numeric, centre_scale, terms
 from ..operators.exposure import cumulative_product, first_exposure_rows
 from ..operators.features import (
@@ -32,8 +33,8 @@ from ..operators.intervals import infusion_volume
 from ..operators.ipw import Exposure, ipw_weights
 from ..operators.panel import assemble_panel, day_spine
 from ..operators.sweep import EffectModel, bind_rows, cutoff_counts, cutoff_sweep, expand_cutoffs
-from ..session import durable, tune
-from ..sources import frame_sql
+from ..session import durable, shared_folder, tune
+from ..sources import frame_sql, load_csv_dir, write_csv
 from . import derived as dt
 from .study import albumin_sweep, cohort_with_flags, daily_panel, lactate_run, pressure_sweep
 
@@ -110,6 +111,15 @@ def cohort_right_join(spark, folder):
     )
 
 
+@query("csv_directory", "SELECT * FROM orders")
+def csv_directory(spark, folder):
+    """Orders written as a directory of CSV parts and loaded back by name and schema."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    orders = dt.read(spark, folder, "orders")
+    write_csv(orders, f"{path}/orders.csv")
+    return load_csv_dir(spark, path, {"orders": orders.schema}, views=False)["orders"]
+
+
 # --------------------------------------------------------------------------
 # daily features over the events, in-time = first event of the user
 
@@ -393,8 +403,7 @@ def panel_query(spark, folder):
 ALL_GROUPS = grouped_specs(FEATURES)
 
 
-@query(
-    "study_panel",
+STUDY_SQL = (
     f"WITH {dt.STAYS_SQL}, "
     + ", ".join(dt.event_table_sql(s) for s in dt.EVENT_TABLES)
     + ", "
@@ -408,12 +417,15 @@ ALL_GROUPS = grouped_specs(FEATURES)
     + """ FROM sofa WHERE hr > 0 AND hr <= 672 GROUP BY stay_id, day
       HAVING max(sofa_24hours) IS NOT NULL),
     spine AS (SELECT stay_id, unnest(range(1, least(ceil(los_icu)::INT, 28) + 1))::INT AS day
-      FROM cohort)
-    SELECT *, day - 1 AS tstart, day AS tstop,
+      FROM cohort),
+    panel AS (SELECT *, day - 1 AS tstart, day AS tstop,
       round(coalesce(input_total, 0) - coalesce(output_total, 0), 4) AS fb FROM spine """
     + " ".join(f"LEFT JOIN f{i} USING (stay_id, day)" for i in range(len(ALL_GROUPS)))
-    + " LEFT JOIN scores USING (stay_id, day)",
+    + " LEFT JOIN scores USING (stay_id, day))"
 )
+
+
+@query("study_panel", f"{STUDY_SQL} SELECT * FROM panel")
 def study_panel(spark, folder):
     """All daily features of the study on the day spine."""
     stays = durable(dt.stays(spark, folder))
@@ -587,6 +599,26 @@ def missing_summary_query(spark, folder):
     return summary.withColumn("pct_miss", F.round("pct_miss", 4))
 
 
+_PANEL_VARS = [
+    v for v in ANALYSIS_VARS if v == "fb" or any(v in spec.columns for spec in FEATURES)
+]
+
+
+@query(
+    "missing_analysis_vars",
+    f"{STUDY_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, count(*) FILTER ({c} IS NULL) AS n_miss, "
+        f"round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 4)::DOUBLE AS pct_miss FROM panel"
+        for c in _PANEL_VARS
+    ),
+)
+def missing_analysis_vars(spark, folder):
+    """Missing values of the analysis variables that the daily panel holds."""
+    summary = missing_summary(study_panel(spark, folder), _PANEL_VARS)
+    return summary.withColumn("pct_miss", F.round("pct_miss", 4))
+
+
 @query(
     "centre_scale",
     """

@@ -26,14 +26,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate results.
 
-    Partitions and their row order are kept and lost executors do not cost the
-    result.  On a cluster the shared folder comes from ``spark.checkpoint.dir``;
-    a folder of our own is made only in local mode.
+    On a cluster it is the shared folder named in ``spark.checkpoint.dir``; a folder
+    of our own is made only in local mode.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +40,16 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder")
             folder = tempfile.mkdtemp(prefix="wardline-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Partitions and their row order are kept, and lost executors do not cost the
+    result.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
