@@ -36,6 +36,7 @@ from ..operators.sweep import EffectModel, bind_rows, cutoff_counts, cutoff_swee
 from ..session import durable, shared_folder, tune
 from ..sources import frame_sql, load_csv_dir, write_csv
 from . import derived as dt
+from . import model_sql as msql
 from .study import albumin_sweep, cohort_with_flags, daily_panel, lactate_run, pressure_sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -883,6 +884,74 @@ def cutoff_sweep_hr(spark, folder):
     return cutoff_sweep(model_panel(spark, folder), EVENT_MODEL, "vmin", CUTOFFS).effects
 
 
+# --------------------------------------------------------------------------
+# models with one term, for which SQL can run the Newton steps as well
+
+ONE_TERM_CUTOFFS = [20.0, 1000.0]
+_CUT_SQL = """
+panel AS (SELECT cut, surv.* FROM surv JOIN (VALUES (20.0::DOUBLE), (1000.0::DOUBLE)) c(cut)
+          ON vmin <= cut)"""
+ONE_TERM_EXPOSURES = (
+    Exposure("treat", "exposed", (), terms("vmin")),
+    Exposure("cens", "dropout", (), terms("vmin")),
+)
+
+
+def _rounded_effects(effects: DataFrame) -> DataFrame:
+    numbers = ("coef", "se", "hr", "inv_hr", "lo95", "hi95")
+    return effects.withColumns({c: F.round(c, 5) for c in numbers}).drop("converged", "term")
+
+
+@query(
+    "cox_one_term",
+    f"""WITH RECURSIVE {SURVIVAL_SQL},
+    outcome AS (SELECT 0 AS cut, user_id AS id, tstop, vmin AS x, event AS s, 1.0::DOUBLE AS w
+                FROM surv),
+    {msql.fit("m", "outcome")}, {msql.effects("m", "outcome")}
+    SELECT {msql.effect_columns("m")}""",
+)
+def cox_one_term(spark, folder):
+    panel = survival_panel(spark, folder)
+    fit = cox_fit(panel, "user_id", "tstart", "tstop", "event", terms("vmin"))
+    return _rounded_effects(fit.effects).drop("cutoff")
+
+
+@query(
+    "ipw_one_term",
+    f"""WITH RECURSIVE {SURVIVAL_SQL}, {_CUT_SQL},
+    {msql.weights("treat", "panel", "exposed")}, {msql.weights("cens", "panel", "dropout")}
+    SELECT t.user_id, t.tstop, t.cut AS cutoff, round(t.w, 6) AS w_treat, round(c.w, 6) AS w_cens,
+           round(t.w * c.w, 6) AS w
+    FROM treat_w t JOIN cens_w c ON c.cut = t.cut AND c.user_id = t.user_id AND c.tstop = t.tstop""",
+)
+def ipw_one_term(spark, folder):
+    weights = ipw_weights(
+        survival_panel(spark, folder), "user_id", "tstart", "tstop", ONE_TERM_EXPOSURES,
+        "vmin", ONE_TERM_CUTOFFS,
+    )
+    return weights.withColumns({c: F.round(c, 6) for c in ("w_treat", "w_cens", "w")})
+
+
+@query(
+    "sweep_one_term",
+    f"""WITH RECURSIVE {SURVIVAL_SQL}, {_CUT_SQL},
+    {msql.weights("treat", "panel", "exposed")}, {msql.weights("cens", "panel", "dropout")},
+    outcome AS (
+      SELECT p.cut, p.user_id AS id, p.tstop, exposed AS x, event AS s, t.w * c.w AS w
+      FROM panel p
+      JOIN treat_w t ON t.cut = p.cut AND t.user_id = p.user_id AND t.tstop = p.tstop
+      JOIN cens_w c ON c.cut = p.cut AND c.user_id = p.user_id AND c.tstop = p.tstop),
+    {msql.fit("m", "outcome")}, {msql.effects("m", "outcome")}
+    SELECT cut AS cutoff, {msql.effect_columns("m")}""",
+)
+def sweep_one_term(spark, folder):
+    model = EffectModel(
+        "user_id", "tstart", "tstop", "event", ONE_TERM_EXPOSURES, terms("exposed")
+    )
+    panel = survival_panel(spark, folder)
+    return _rounded_effects(cutoff_sweep(panel, model, "vmin", ONE_TERM_CUTOFFS).effects)
+
+
 # --------------------------------------------------------------------------
 # the study models on the study panel
 
