@@ -13,10 +13,12 @@ rows; Lin and Wei 1989 for the robust variance.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,15 @@ class FitPanel:
     weight: str | None
     cut_column: str | None
 
+    @contextmanager
+    def cached(self) -> Iterator[FitPanel]:
+        """Keep the panel on the executors for many passes; lost parts are read again."""
+        self.frame.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield self
+        finally:
+            self.frame.unpersist()
+
 
 def prepare_panel(
     panel: DataFrame,
@@ -528,5 +539,6 @@ def cox_fit(
         panel, id, start, stop, terms, {"event": status}, (), weight, cut_column, cutoffs
     )
     model = RowModel("outcome", tuple(ready.design.index(terms)), "_s_event")
-    (fits,) = fit_models(ready, [model])
-    return finish(ready, model, fits, robust)
+    with ready.cached():
+        (fits,) = fit_models(ready, [model])
+        return finish(ready, model, fits, robust)

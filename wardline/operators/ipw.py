@@ -122,7 +122,9 @@ def ipw_weights(
         {e.name: e.column for e in exposures}, [e.name for e in exposures],
         None, cut_column, cutoffs,
     )
-    weights = weight_rows(ready, fit_weights(ready, exposures))
+    with ready.cached():
+        fitted = fit_weights(ready, exposures)
+    weights = weight_rows(ready, fitted)
     product = F.lit(1.0)
     for e in exposures:
         product = product * F.col(f"w_{e.name}")

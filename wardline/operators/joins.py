@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 BROADCAST_ROWS = 1_000_000
 HOT_KEY_ROWS = 5_000_000
 
@@ -37,13 +39,14 @@ def split_join(
 ) -> DataFrame:
     """Shuffled inner join in which a key with n facts is spread over n / hot_rows splits.
 
-    The list of hot keys has at most (facts / hot_rows) rows, which bounds what is
+    The list of hot keys is found first, by a count of the key column, and written
+    out since both sides read it.  It has at most (facts / hot_rows) rows, which bounds what is
     broadcast here, and the lookup side grows by at most that many rows.  The split of a fact is
     a hash of its content and of its input partition: a repeated task gives the
     same answer, and equal copies from different input splits are spread too.
     """
     facts = facts.filter(F.col(key).isNotNull())
-    hot = (
+    hot = durable(
         facts.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)

@@ -42,10 +42,11 @@ def cutoff_sweep(
         {"event": model.event, **{e.name: e.column for e in exposures}},
         [e.name for e in exposures], None, column, cutoffs,
     )
-    weights = fit_weights(ready, exposures)
     outcome = RowModel("outcome", tuple(ready.design.index(model.outcome)), "_s_event")
-    (fits,) = fit_models(ready, [outcome], weights)
-    return finish(ready, outcome, fits, True, weights)
+    with ready.cached():
+        weights = fit_weights(ready, exposures)
+        (fits,) = fit_models(ready, [outcome], weights)
+        return finish(ready, outcome, fits, True, weights)
 
 
 def single_cutoff(
