@@ -1,3 +1,4 @@
+from wardline.operators import joins
 from wardline.operators.joins import is_small, lookup_join
 
 
@@ -19,3 +20,12 @@ def test_size_check(spark):
     df = spark.range(100)
     assert is_small(df, 100)
     assert not is_small(df, 99)
+
+
+def test_a_long_list_of_hot_keys_raises_the_limit(spark, monkeypatch):
+    facts = spark.createDataFrame([(i % 50, i) for i in range(1000)] + [(3, 0)] * 500, "k long, v long")
+    lookup = spark.createDataFrame([(k, -k) for k in range(60)], "k long, w long")
+    plain = sorted(map(tuple, facts.join(lookup, "k").select("k", "v", "w").collect()))
+    monkeypatch.setattr(joins.is_small, "__defaults__", (5,))
+    split = joins.split_join(facts, lookup, "k", hot_rows=10)
+    assert sorted(map(tuple, split.select("k", "v", "w").collect())) == plain

@@ -39,19 +39,20 @@ def split_join(
 ) -> DataFrame:
     """Shuffled inner join in which a key with n facts is spread over n / hot_rows splits.
 
-    The list of hot keys is found first, by a count of the key column, and written
-    out since both sides read it.  It has at most (facts / hot_rows) rows, which bounds what is
-    broadcast here, and the lookup side grows by at most that many rows.  The split of a fact is
-    a hash of its content and of its input partition: a repeated task gives the
-    same answer, and equal copies from different input splits are spread too.
+    The hot keys are found first, by a count of the key column, and written out since
+    both sides read them.  Their list has at most (facts / hot_rows) rows and is
+    counted before it is broadcast; too long a list only raises ``hot_rows``.  The lookup side
+    grows by at most as many rows.  The split of a fact is a hash of its content and of its
+    input partition: a repeated task gives the same answer, and equal copies from
+    different input splits are spread too.
     """
     facts = facts.filter(F.col(key).isNotNull())
-    hot = durable(
-        facts.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(key, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_splits"))
-    )
+    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = durable(counts.filter(F.col("_rows") > hot_rows))
+    while not is_small(hot):  # only with more than BROADCAST_ROWS hot keys
+        hot_rows *= 2
+        hot = hot.filter(F.col("_rows") > hot_rows)
+    hot = hot.select(key, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_splits"))
     splits = F.coalesce("_splits", F.lit(1))
     spread = facts.join(F.broadcast(hot), key, "left").withColumn(
         "_split",

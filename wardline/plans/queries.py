@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import is_finite, meld_na, safe_ratio
+from ..functions import is_finite, meld_na, safe_ratio, strip_text, to_number
 from ..operators.codebook import CATEGORIES, code_rows, codebook_frame
 from ..operators.codes import attach_flags, code_flags, site_class
 from ..operators.cohort import cohort_keys, select_cohort, sepsis_cohort
@@ -671,6 +671,21 @@ def meld_na_query(spark, folder):
     )
 
 
+@query(
+    "text_to_number",
+    """
+    SELECT event_id, try_cast(replace(replace(props, '{"k": ', ''), '}', '') AS DOUBLE) AS k,
+           try_cast(event_type AS DOUBLE) AS none FROM events
+    """,
+)
+def text_to_number(spark, folder):
+    """Text to number after stripping fixed text; text that is no number gives NULL."""
+    number = to_number(strip_text(strip_text("props", '{"k": '), "}"))
+    return dt.read(spark, folder, "events").select(
+        "event_id", number.alias("k"), to_number("event_type").alias("none")
+    )
+
+
 # --------------------------------------------------------------------------
 # cut-offs and row binding
 
