@@ -97,7 +97,7 @@ def prepare_panel(
     ``statuses`` maps internal names to 0/1 columns; for those also named in
     ``exposures`` the panel gets the smallest cut-off with an earlier exposure.
     """
-    cutoffs = np.asarray(sorted(cutoffs), dtype=float)
+    cutoffs = np.asarray(sorted(set(cutoffs)), dtype=float)
     terms = list(dict.fromkeys(terms))
     if cut_column is None:
         value = F.lit(0.0)
@@ -166,14 +166,18 @@ SUMS = "model int, cut int, time int, sums array<double>"
 
 
 def _summed(
-    panel: FitPanel, sums: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+    panel: FitPanel,
+    sums: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    cutoffs: np.ndarray,
 ) -> dict[tuple[int, int, int], np.ndarray]:
     """Run a task that yields (model, cut, time, sums) and add its vectors over partitions.
 
-    The driver gets one vector per model, cut-off and time.
+    Rows above all of ``cutoffs`` are left out.  The driver gets one vector per model,
+    cut-off and time.
     """
+    rows = panel.frame.filter(F.col("_value") <= F.lit(float(max(cutoffs))))
     table = (
-        panel.frame.mapInPandas(sums, SUMS)
+        rows.mapInPandas(sums, SUMS)
         .repartition("model", "cut", "time")
         .mapInPandas(add_vectors, SUMS)
         .toArrow()
@@ -220,7 +224,7 @@ def moment_pass(
                     {"model": m, "cut": cut, "time": time, "sums": list(vectors)}
                 )
 
-    found = _summed(panel, sums)
+    found = _summed(panel, sums, cutoffs[np.any(active, axis=0)])
     out = [np.zeros((len(cutoffs), times + 1, m.layout.size)) for m in models]
     for (m, c, t), vector in found.items():
         out[m][c, t] = vector
@@ -252,7 +256,7 @@ def score_pass(
 
     if not n:
         return np.zeros((len(cutoffs), 0, 0))
-    found = _summed(panel, sums)
+    found = _summed(panel, sums, cutoffs)
     empty = np.zeros(len(triangle[0]))
     rows = np.array([found.get((0, c, 0), empty) for c in range(len(cutoffs))])
     return square(rows, triangle, n)
