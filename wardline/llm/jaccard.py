@@ -3,7 +3,7 @@
 1.  One pass counts shingles that are frequent within a task's share of the text.  A fixed number of the
     most frequent ones go last in the global order of shingles; the order does not change results.
 2.  One pass turns texts into sets.  Equal sets get one node.  Each node keeps its prefix (the first
-    fifth of its shingles in the global order: two similar sets share one of them) and a few
+    quarter of its shingles in the global order: two similar sets share several of them) and a few
     band keys of neighbouring hashes.
 3.  Sets that share a band key are compared with one hub each.  These links form first components, and
     a linked set knows how far it is from its hub.
@@ -30,9 +30,12 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles of the list of frequent ones: at most this many occurrences' share each, so at most so many.
 FREQUENT = 1 << 20
-#: Occurrences within about 4 MB of text from which a shingle is reported as frequent.
-LOCALLY_FREQUENT = 4
+#: Occurrences within about 1 MB of text from which a shingle is reported as frequent.
+LOCALLY_FREQUENT = 3
 BANDS, BAND_SIZE = 8, 3
+#: Shingles that a prefix holds beyond the shortest possible one, in percent of the set.  Two similar sets
+#: then share one shingle more than that in their prefixes, which settles most candidates.
+SLACK = 5
 #: Ratio of the set sizes of one block of an index list.
 BLOCK = 1.12
 
@@ -94,7 +97,7 @@ class Sets:
         self.percent, self.last, self.last_rank = percent, last, last_rank
 
     def prefixes(self) -> pa.Array:
-        """The first n - ceil(percent n / 100) + 1 shingles in the global order, as lists."""
+        """The first n - ceil(percent n / 100) + 1 + slack shingles in the global order, as lists."""
         slot = np.searchsorted(self.last, self.h)
         known = slot < len(self.last)
         known[known] = self.last[slot[known]] == self.h[known]
@@ -104,7 +107,7 @@ class Sets:
         order = np.argsort(key)
         if (key[order][1:] == key[order][:-1]).any():
             order = np.lexsort((self.h, key))
-        size = np.where(self.n > 0, self.n + (-self.percent * self.n) // 100 + 1, 0)
+        size = np.where(self.n > 0, self.n + (-self.percent * self.n) // 100 + 1 + self.n * SLACK // 100, 0)
         first = np.arange(len(self.h)) - np.repeat(self.bounds[:-1], self.n) < np.repeat(size, self.n)
         offsets = np.concatenate([[0], np.cumsum(size)])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _signed(self.h[order][first]))
@@ -185,31 +188,37 @@ def _block(n: Column) -> Column:
 
 
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of sets of different components that some index list brings together.
+    """Distinct pairs of sets of different components that index lists bring together often enough.
 
-    With the first common shingle at places i and j the overlap is at most min(nx - i, ny - j); it
-    has to reach percent / 100 of the larger set.  The larger set visits the blocks of
-    sizes from that share of its own size up to its own.
+    Similar sets of sizes nx >= ny share ``need`` = ceil(percent (nx + ny) / (100 + percent)) shingles.
+    So ``k`` of them (k = 1 + the slack of the smaller set) lie among the first nx - need + k
+    places of the one set and the first ny - need + k of the other.  Later places are not
+    visited, and the larger set visits only blocks of sizes from percent / 100 of its own up to its own.
     """
     lists = postings.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     lists = lists.filter("low < high").select("h")
     open_ = written(postings.join(lists, "h", "left_semi").distinct(), "postings")
-    need = F.ceil(F.col("n") * percent / 100)
-    large = open_.filter(F.col("n") - F.col("pos") >= need).select(
+    reach = F.col("n") - F.col("pos")
+    least = F.greatest(F.ceil(F.col("n") * percent / 100), F.lit(1))
+    large = open_.select(
         "h",
-        F.explode(F.sequence(_block(F.greatest(need, F.lit(1))) - 1, _block(F.col("n")))).alias("block"),
-        F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), need.alias("need"),
+        F.explode(F.sequence(_block(least) - 1, _block(F.col("n")))).alias("block"),
+        F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), reach.alias("rx"),
     )
     less = open_.select(
         "h", _block(F.col("n")).alias("block"), F.col("node").alias("y"), F.col("n").alias("ny"),
-        F.col("comp").alias("cy"), (F.col("n") - F.col("pos")).alias("reach"),
+        F.col("comp").alias("cy"), reach.alias("ry"),
     )
+    k = F.lit(1) + F.floor(F.col("ny") * SLACK / 100)
+    need = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
     met = large.join(less, ["h", "block"]).filter(
         (F.col("cx") != F.col("cy"))
         & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))))
-        & (F.col("reach") >= F.col("need"))
+        & (F.least("rx", "ry") > need - k)
+        & (F.col("ny") >= need)
     )
-    return durable(met.select("x", "nx", "y", "ny").distinct())
+    counts = met.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("shared"))
+    return durable(counts.filter(F.col("shared") >= k).drop("shared"))
 
 
 def jaccard_components(
