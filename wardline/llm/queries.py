@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import canonical_turns, format_turns, read_learned, read_turns, turn_rows_to_records
 from .decontaminate import benchmark_hits
 from .jaccard import jaccard_components
+from .mixture import mix_sources
+from .sharding import shard_texts
+from .tokencount import piece_scores, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,7 +43,114 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the public tokenizers; the folder can be given in WARDLINE_TOKENIZERS."""
+    folder = os.environ.get("WARDLINE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document under the pieces and scores of a public vocabulary."""
+    return token_counts(table(spark, folder, "documents"), piece_scores(tokenizer_file("piece_bpe_32k.model")))
+
+
+SHARDS = 16
+
+
+@query
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    sharded = shard_texts(docs, SHARDS)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The group of every document under links of five-word shingle similarity 0.8."""
     return jaccard_components(table(spark, folder, "documents"))
+
+
+@query
+def op8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """One pass worth of bytes with sources weighted by the square root of their size."""
+    mixed = mix_sources(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "source", "n_chars", "copy", "shuffle_key")
+
+
+ORACLES["op8_mixture"] = """
+WITH sized AS (
+  SELECT source, CAST(SUM(strlen(COALESCE(text, '')) + 1) AS DOUBLE) AS bytes FROM documents GROUP BY source),
+rated AS (
+  SELECT source, sqrt(bytes) / (SELECT SUM(sqrt(bytes)) FROM sized) * (SELECT SUM(bytes) FROM sized) / bytes AS rate FROM sized),
+parted AS (
+  SELECT source, CAST(greatest(ceil(rate / 32), 1) AS BIGINT) AS parts, rate / greatest(ceil(rate / 32), 1) AS each FROM rated),
+terms AS (
+  SELECT source, parts, k, SUM(exp(-each + k * ln(each) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto
+  FROM parted, range(0, CAST(ceil(each + sqrt(each) * 12 + 24) AS BIGINT) + 1) AS r(k)),
+draws AS (
+  SELECT d.doc_id, d.source, d.n_chars, p.part, ('0x' || md5('11:' || d.doc_id || ':' || p.part)[1:15])::BIGINT / 1152921504606846976.0 AS u
+  FROM documents d JOIN parted USING (source), range(1, parts + 1) AS p(part)),
+counted AS (
+  SELECT doc_id, source, n_chars, part, (SELECT COUNT(*) FROM terms t WHERE t.source = draws.source AND t.upto <= u) AS n FROM draws),
+repeated AS (SELECT doc_id, source, n_chars, SUM(n) AS n FROM counted GROUP BY ALL)
+SELECT doc_id, source, n_chars, copy, ('0x' || md5('11:' || doc_id || ':' || copy || ':order')[1:15])::BIGINT AS shuffle_key
+FROM repeated, range(1, CAST(n AS BIGINT) + 1) AS c(copy)
+"""
+
+
+@query
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations formatted, and what reading them back gives."""
+    text = "</s>[INST] ok [/INST]"
+    odd = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"),
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    formatted = format_turns(canonical_turns(turn_rows_to_records(rows), "record"))
+    back = formatted.select(
+        "conv_id", "layout", "formatted",
+        read_turns(F.col("formatted")).alias("back"),
+        F.array_join(read_learned(F.col("formatted"), F.col("loss_spans")), "").alias("learned"),
+    )
+    lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "layout",
+    )
+
+
+ORACLES["op10_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, 12 + length(url_encode(role)) + 1 + 11
+    + length(regexp_replace(regexp_replace(text, '(<)(\\*(?:\||/?s>|</?SYS>>))', '\1#\2', 'g'), '(\[)(\\*/?INST\])', '\1#\2', 'g')) AS chars
+  FROM turns)
+SELECT conv_id, COUNT(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  SUM(chars)::BIGINT AS formatted_chars,
+  CASE string_agg(role, ',' ORDER BY turn, role, text) WHEN 'user,assistant' THEN 'prompt_response'
+    WHEN 'system,user,assistant' THEN 'instruction' ELSE 'messages' END AS layout
+FROM marked GROUP BY conv_id
+"""
