@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .chat import canonical_turns, format_turns, read_learned, read_turns, turn_rows_to_records
 from .decontaminate import benchmark_hits
 from .jaccard import jaccard_components
+from .licenses import LICENSES, license_matches
 from .mixture import mix_sources
+from .quality import quality_verdicts
 from .sharding import shard_texts
 from .tokencount import piece_scores, token_counts
 
@@ -76,12 +78,89 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in all documents."""
+    notices = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in LICENSES])
+    templates = spark.range(1).select(F.explode(notices).alias("t")).select("t.*")
+    return license_matches(table(spark, folder, "documents"), templates)
+
+
+ORACLES["op4_license_scan"] = r"""
+WITH notices AS (SELECT * FROM (VALUES NOTICES) AS v(template, text)),
+split AS (SELECT template, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM notices),
+sized AS (SELECT template, w, greatest(16, CAST(pow(2, ceil(log2(len(w))) + 1) AS BIGINT)) AS width FROM split),
+parts AS (SELECT DISTINCT template, width, array_to_string(w[i:i+4], ' ') AS g FROM sized, range(1, len(w) - 3) AS r(i)),
+totals AS (SELECT template, COUNT(*) AS n_shingles FROM parts GROUP BY template),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+shingles AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i+4], ' ') AS g FROM words, range(1, len(w) - 3) AS r(i)),
+hits AS (SELECT doc_id, pos, g, template, width, width // 2 AS step FROM shingles JOIN parts USING (g)),
+windows AS (
+  SELECT doc_id, template, width, k, COUNT(DISTINCT g) AS matched
+  FROM hits, range(greatest(0, CAST(floor((pos + 5 - width + step - 1) / step) AS BIGINT)), pos // step + 1) AS r(k) GROUP BY ALL)
+SELECT doc_id, template, n_shingles, MAX(matched) AS most_matched, COUNT(*) AS n_windows, MIN(k * width // 2) AS first_word
+FROM windows JOIN totals USING (template) WHERE matched * 100 >= n_shingles * 80 GROUP BY doc_id, template, n_shingles
+""".replace("NOTICES", ", ".join(f"('{n}', '{t}')" for n, t in LICENSES))
+
+
 @query
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The group of every document under links of five-word shingle similarity 0.8."""
     return jaccard_components(table(spark, folder, "documents"))
 
 
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts of all documents by limits that follow their language and source."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return quality_verdicts(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+ORACLES["op6_quality_rules"] = r"""
+WITH split AS (
+  SELECT doc_id, lang, source, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i:i+2] AS g FROM split, range(1, len(w) - 1) AS r(i)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY COUNT(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, COUNT(DISTINCT i + o) AS n FROM twice, range(0, 3) AS r(o) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM split),
+stats AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '\p{Lu}')) AS n_capitals,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, COALESCE(n, 0) AS n_repeat_words
+  FROM split JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+based AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed FROM stats),
+ruled AS (
+  SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'capitals', 'lines', 'repeats', 'length']) AS rule,
+    unnest([n_symbols * 1000 // greatest(word_chars, 1), n_capitals * 1000 // greatest(word_chars, 1), n_dup_lines * 1000 // greatest(n_words, 1),
+      n_repeat_words * 1000 // greatest(n_words, 1), word_chars * 100 // greatest(n_words, 1)]) AS v
+  FROM based),
+sketched AS (SELECT *, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS r FROM ruled WHERE NOT base_failed),
+ranked AS (
+  SELECT *, COUNT(*) OVER own AS n_own, ROW_NUMBER() OVER (PARTITION BY lang, source, rule ORDER BY r) AS k_own,
+    COUNT(*) OVER (PARTITION BY lang, rule) AS n_lang, ROW_NUMBER() OVER (PARTITION BY lang, rule ORDER BY r) AS k_lang,
+    COUNT(*) OVER (PARTITION BY rule) AS n_all, ROW_NUMBER() OVER (PARTITION BY rule ORDER BY r) AS k_all
+  FROM sketched WINDOW own AS (PARTITION BY lang, source, rule)),
+own AS (SELECT lang, source, rule, MAX(n_own) AS n, MIN(r) FILTER (k_own >= ceil(n_own * 0.25)) AS a, MIN(r) FILTER (k_own >= ceil(n_own * 0.5)) AS b,
+  MIN(r) FILTER (k_own >= ceil(n_own * 0.75)) AS c FROM ranked GROUP BY ALL),
+langs AS (SELECT lang, rule, MAX(n_lang) AS n, MIN(r) FILTER (k_lang >= ceil(n_lang * 0.25)) AS a, MIN(r) FILTER (k_lang >= ceil(n_lang * 0.5)) AS b,
+  MIN(r) FILTER (k_lang >= ceil(n_lang * 0.75)) AS c FROM ranked GROUP BY ALL),
+everything AS (SELECT rule, MIN(r) FILTER (k_all >= ceil(n_all * 0.25)) AS a, MIN(r) FILTER (k_all >= ceil(n_all * 0.5)) AS b,
+  MIN(r) FILTER (k_all >= ceil(n_all * 0.75)) AS c FROM ranked GROUP BY ALL),
+chosen AS (
+  SELECT o.lang, o.source, o.rule, CASE WHEN o.n >= 200 THEN o.a WHEN l.n >= 200 THEN l.a ELSE e.a END AS a,
+    CASE WHEN o.n >= 200 THEN o.b WHEN l.n >= 200 THEN l.b ELSE e.b END AS b, CASE WHEN o.n >= 200 THEN o.c WHEN l.n >= 200 THEN l.c ELSE e.c END AS c
+  FROM own o JOIN langs l USING (lang, rule) JOIN everything e USING (rule)),
+broken AS (
+  SELECT doc_id, BOOL_OR(v > greatest(c + (c - b) * 6, b + CASE rule WHEN 'symbols' THEN 40 WHEN 'capitals' THEN 200 WHEN 'lines' THEN 50 WHEN 'repeats' THEN 450 ELSE 150 END)
+    OR (rule = 'length' AND v < least(a - (b - a) * 6, b - 150))) AS bad
+  FROM ruled LEFT JOIN chosen USING (lang, source, rule) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT COALESCE(bad, false) AS kept
+FROM based JOIN broken USING (doc_id)
+"""
+
+
 @query
 def op8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """One pass worth of bytes with sources weighted by the square root of their size."""
