@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.decontaminate import remove_contaminated
 from wardline.llm.jaccard import one_per_component
-from wardline.llm.queries import table
+from wardline.llm.mixture import mix_sources
+from wardline.llm.queries import SHARDS, table, toxicity_model
+from wardline.llm.sharding import shard_texts
 from wardline.llm.storage import written
+from wardline.llm.toxicity import THRESHOLD, remove_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the compression classifier calls toxic go."""
+    return remove_toxic(docs, toxicity_model(docs, table(spark, folder, "labels")), THRESHOLD)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of similar texts stays."""
     return one_per_component(docs)
 
 
@@ -24,17 +32,30 @@ def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return remove_contaminated(docs, table(spark, folder, "benchmark"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents are repeated so that sources weigh the square root of their size."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents get a shard and a place in it."""
+    return shard_texts(docs, SHARDS)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("jaccard", deduplicate),
     ("decontamination", decontaminate),
+    ("mixture", mix),
+    ("sharding", shard),
 ]
 
-#: No SQL form: some stages need code that SQL cannot express; tests compare with brute force.
+#: No SQL form: toxicity is a trained model; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over ``documents``; every result but the last is written and read again."""
+    """All stages over ``documents``; every result but the last is written to the shared folder and read again."""
     docs = table(spark, folder, "documents")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, folder)

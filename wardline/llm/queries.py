@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import canonical_turns, format_turns, read_learned, read_turns, turn_rows_to_records
@@ -15,7 +15,10 @@ from .licenses import LICENSES, license_matches
 from .mixture import mix_sources
 from .quality import quality_verdicts
 from .sharding import shard_texts
+from .storage import shared_path
 from .tokencount import piece_scores, token_counts
+from .tokenfile import read_token_files, write_token_files
+from .toxicity import THRESHOLD, Model, toxicity_scores, train_on
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,6 +164,27 @@ FROM based JOIN broken USING (doc_id)
 """
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learned from."""
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
+    return train_on(docs, labels.filter(~held_out(F.col("doc_id"))))
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, folder, "documents")
+    model = toxicity_model(docs, table(spark, folder, "labels"))
+    scored = toxicity_scores(docs, model, carry=["doc_id"])
+    return scored.select(
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """One pass worth of bytes with sources weighted by the square root of their size."""
@@ -189,6 +213,22 @@ FROM repeated, range(1, CAST(n AS BIGINT) + 1) AS c(copy)
 """
 
 
+END_ID = 2
+
+
+@query
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written to packed files and read back."""
+    from tokenizers import Tokenizer
+
+    name = tokenizer_file("word_bpe_49k.json")
+    with open(name, encoding="utf-8") as file:
+        text = file.read()
+    size = Tokenizer.from_str(text).get_vocab_size()
+    files = write_token_files(table(spark, folder, "documents"), shared_path(spark, "tokens"), text, size, END_ID)
+    return read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations formatted, and what reading them back gives."""
