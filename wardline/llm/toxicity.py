@@ -11,6 +11,7 @@ the dictionaries, turns them into a calibrated score.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .words import slices
 
 WINDOW, STEP = 128, 64
@@ -148,17 +150,20 @@ def train(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
 def train_on(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from a bounded sample of the labelled documents.
 
-    Of each class the labelled texts of the smallest id hashes are taken, TOXIC_DOCS and ORDINARY_DOCS of them, none
-    of more than MOST_BYTES.  The share of toxic labels is that of all labelled rows.  Of several labels of a document the
+    Of each class the labelled ids of the smallest hashes are taken, TOXIC_DOCS and ORDINARY_DOCS of them, and of these
+    the documents of at most MOST_BYTES; of a repeated id one text.  The share of toxic labels is that of all labelled rows.  Of several labels of a document the
     largest holds; null ids and labels are left out.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     counts = {bool(r["y"]): r["n"] for r in known.groupBy((F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter(F.octet_length("t") <= MOST_BYTES).join(known, "id")
-    taken = []
+    ids = []
     for is_toxic, most in ((True, TOXIC_DOCS), (False, ORDINARY_DOCS)):
-        mine = rows.filter((F.col("y") > 0) == is_toxic)
-        taken.append([r["t"] for r in mine.orderBy(F.xxhash64("id"), "id", "t").limit(most).select("t").collect()])
+        ids.append(known.filter((F.col("y") > 0) == is_toxic).orderBy(F.xxhash64("id"), "id").limit(most))
+    ids = F.broadcast(durable(ids[0].unionAll(ids[1])))  # at most TOXIC_DOCS + ORDINARY_DOCS rows
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter(F.octet_length("t") <= MOST_BYTES)
+    rows = rows.join(ids, "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect()
+    rows = sorted(rows, key=lambda r: zlib.crc32(str(r["id"]).encode()))
+    taken = [[r["t"] for r in rows if (r["y"] > 0) == is_toxic] for is_toxic in (True, False)]
     return train(*taken, counts.get(True, 0) / max(1, sum(counts.values())))
 
 
