@@ -240,10 +240,13 @@ def jaccard_components(
     sets = _sets(docs, doc_id, text, size, percent)
     full = sets.filter("n > 0")
 
-    # links to hubs
+    # links to hubs: of the sets with a band key in common, the one whose keys are the most common
     bands = full.select("node", "n", F.explode("bands").alias("band")).distinct()
-    hubs = bands.groupBy("band").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("most"))
-    hubs = hubs.filter("hub.node < most").select("band", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
+    common = bands.groupBy("band").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    bands = durable(bands.join(common, "band"))
+    central = bands.groupBy("node").agg(F.sum("many").alias("central"))
+    hubs = bands.join(central, "node").groupBy("band").agg(F.max(F.struct("central", "node", "n")).alias("hub"))
+    hubs = hubs.select("band", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
     near = bands.join(hubs, "band").filter("node <> a").select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb"))
     near = near.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = durable(near.distinct())
@@ -252,7 +255,7 @@ def jaccard_components(
     labels = components(stars)
     # a set, the hub it is measured from, and how many shingles only one of the two has
     measured = stars.groupBy(F.col("b").alias("node")).agg(
-        F.min(F.struct("a", (F.col("nb") - F.col("o")).alias("more"), (F.col("na") - F.col("o")).alias("less"))).alias("m")
+        F.max(F.struct("o", "a", (F.col("nb") - F.col("o")).alias("more"), (F.col("na") - F.col("o")).alias("less"))).alias("m")
     )
     known = durable(
         labels.join(measured, "node", "left").select(
@@ -307,6 +310,7 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     groups = jaccard_components(docs, doc_id, text, **options)
     # a repeated id counts once: it goes if any row of it belongs to a smaller id
     gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = small(durable(gone))
     repeated = groups.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     repeated = repeated.filter("rows > 1").select(F.col("doc_id").alias("many"))
     left = docs.join(gone, F.col(doc_id) == F.col("gone"), "left_anti")
