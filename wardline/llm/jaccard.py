@@ -195,9 +195,10 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     places of the one set and the first ny - need + k of the other.  Later places are not
     visited, and the larger set visits only blocks of sizes from percent / 100 of its own up to its own.
     """
-    lists = postings.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    of = F.coalesce("comp", "node")
+    lists = postings.groupBy("h").agg(F.min(of).alias("low"), F.max(of).alias("high"))
     lists = lists.filter("low < high").select("h")
-    open_ = written(postings.join(lists, "h", "left_semi").distinct(), "postings")
+    open_ = written(postings.join(lists, "h", "left_semi").distinct().withColumn("comp", of), "postings")
     reach = F.col("n") - F.col("pos")
     least = F.greatest(F.ceil(F.col("n") * percent / 100), F.lit(1))
     large = open_.select(
@@ -249,7 +250,9 @@ def jaccard_components(
     hubs = hubs.select("band", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"))
     near = bands.join(hubs, "band").filter("node <> a").select("a", "na", F.col("node").alias("b"), F.col("n").alias("nb"))
     near = near.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    near = durable(near.distinct())
+    # one common key is weak evidence; what is passed over here is left to the index lists
+    near = near.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("keys")).filter("keys > 1").drop("keys")
+    near = durable(near)
     items = _full_sets(docs, doc_id, text, size, sets, near.select(F.col("a").alias("node")).unionAll(near.select("b")))
     stars = durable(_overlaps(near, items).filter(_similar(F.col("o"), F.col("na"), F.col("nb"), percent)))
     labels = components(stars)
@@ -266,8 +269,9 @@ def jaccard_components(
 
     # pairs of different components
     comp = full.select("node", "n", "prefix").join(small(known.select("node", "comp")), "node", "left")
+    # the component is null where it is the set alone, which keeps the rows small
     postings = comp.select(
-        "node", "n", F.coalesce("comp", "node").alias("comp"), F.posexplode("prefix").alias("pos", "h")
+        "node", F.col("n").cast("int").alias("n"), "comp", F.posexplode("prefix").alias("pos", "h")
     )
     pairs = _candidates(postings, percent)
     group = known.select("node", "hub", "more", "less")
