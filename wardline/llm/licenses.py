@@ -121,9 +121,9 @@ def _block_matches(docs: DataFrame, block: list, doc_id: str, text: str) -> Data
     widths = sorted({r["width"] for r in block})
     longs = lambda xs: F.array(*[F.lit(x) for x in sorted(xs)]).cast("array<long>")
     every = {h for r in block for h in r["items"]}
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("which"), _words(F.col(text)).alias("w")
-    ).select("doc_id", "which", _shingles(F.col("w")).alias("h"))
+    # the row number also keeps the filter from being pushed below, where it would compute the words again
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _words(F.col(text)).alias("w"))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("which"), _shingles(F.col("w")).alias("h"))
     rows = rows.filter(F.arrays_overlap("h", longs(every)))
     rows = rows.select("doc_id", "which", F.posexplode("h").alias("at", "h")).filter(F.col("h").isin(sorted(every)))
     # the windows of each length class that hold the whole shingle
