@@ -35,7 +35,7 @@ LOCALLY_FREQUENT = 3
 BANDS, BAND_SIZE = 8, 3
 #: Shingles that a prefix holds beyond the shortest possible one, in percent of the set.  Two similar sets
 #: then share one shingle more than that in their prefixes, which settles most candidates.
-SLACK = 5
+SLACK = 3
 #: Ratio of the set sizes of one block of an index list.
 BLOCK = 1.12
 
