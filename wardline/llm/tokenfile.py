@@ -8,9 +8,11 @@ numpy at once.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ BLOCK = 4096
 #: Text bytes of one file, and the most files of a run; beyond it files grow.
 FILE_BYTES, MOST_FILES = 32 << 20, 1 << 16
 #: Words whose ids a task remembers, and their longest length.
-REMEMBERED, REMEMBERED_CHARS = 1_000_000, 40
+REMEMBERED, REMEMBERED_CHARS = 500_000, 40
+#: Marks that this kind of tokenizer splits from a letter before them, whatever follows.
+_TAIL = ".,;:!?$%&*#"
 _HEADER = struct.Struct("<8sIIQQQ")
 #: The key of a document without one.
 NO_KEY = -(1 << 63)
@@ -101,8 +105,8 @@ class TokenFile:
 class WordEncoder:
     """Ids of texts by a tokenizers file, remembered by blank-separated words.
 
-    ``separable`` says that the tokenizer never looks across a blank or line end and drops it, as this one does;
-    otherwise whole texts are encoded.
+    ``separable`` says that the tokenizer lowers case, splits at blanks and line ends, which it drops, and splits
+    punctuation from letters, as this one does; otherwise whole texts are encoded.
     """
 
     def __init__(self, tokenizer_json: str, separable: bool = True):
@@ -114,7 +118,22 @@ class WordEncoder:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words; a word with marks behind its last letter, or in capitals, goes by its plain form."""
+        known, parts = self.known, {}
+        for word in words:
+            core = word.rstrip(_TAIL)
+            if not core or not core[-1].isalpha():
+                core = word
+            parts[word] = (core.lower() if core.isascii() and "|" not in core else core, word[len(core) :])
+        plain = {p for pair in parts.values() for p in pair if p not in known}
+        plain = list(plain)
+        fresh = dict(zip(plain, self._ids(plain), strict=True))
+        get = lambda p: fresh[p] if p in fresh else known[p]
+        fresh |= {word: get(a) + get(b) for word, (a, b) in parts.items()}
+        return fresh
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
@@ -122,20 +141,28 @@ class WordEncoder:
         if not self.separable:
             return [x + end for x in self._ids(texts)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        new = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = [w for w in wanted if w]
-        self.known.update(zip(new, self._ids(new), strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) + end for words in split]
-        for word in new:
-            if len(word) > REMEMBERED_CHARS:
-                del self.known[word]
+        known = self.known
+        fresh = self._learn(list(set().union(*split).difference(known)))
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, words)) + end for words in split]
+        full = len(known) > REMEMBERED
+        for word in fresh:
+            if full or len(word) > REMEMBERED_CHARS:
+                del known[word]
         return out
 
 
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def encoder_of(tokenizer_json: str, separable: bool) -> WordEncoder:
+    """The encoder of this Python worker, with what it remembers from earlier tasks."""
+    key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), separable)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(tokenizer_json, separable)
+    return _ENCODERS[key]
+
+
 def _open(uri: str):
     filesystem, path = pyarrow.fs.FileSystem.from_uri(uri)
     return filesystem, path
@@ -182,7 +209,7 @@ def write_token_files(
 
     def encode(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(shared.value, separable)
+        encoder = encoder_of(shared.value, separable)
         for batch in batches:
             for part in slices(batch, 2):
                 found = encoder.encode(part.column(2).to_pylist(), end_id)
