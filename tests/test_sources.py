@@ -54,3 +54,23 @@ def test_sql_over_a_frame(spark):
     df = spark.createDataFrame([("mL/min",), ("mcg",)], "rateuom string")
     out = frame_sql("select * from {t} where rateuom in ('mL/min', 'mL/hour')", t=df)
     assert [r[0] for r in out.collect()] == ["mL/min"]
+
+
+def test_quoted_line_breaks_stay_in_a_field(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('k,v\n1,"two\nlines, ""quoted"""\n2,plain\n')
+    rows = read_csv_table(spark, str(tmp_path / "t.csv"), "k long, v string").collect()
+    assert sorted(map(tuple, rows)) == [(1, 'two\nlines, "quoted"'), (2, "plain")]
+
+
+def test_parts_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "b.csv").write_text("v,k\n6,2\n")
+    with pytest.raises(Exception):  # noqa: B017
+        read_csv_table(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "k long, v long").collect()
+
+
+def test_microseconds_survive(spark, tmp_path):
+    times = spark.sql("SELECT TIMESTAMP_NTZ '2150-01-02 00:00:00.123456' AS a, TIMESTAMP '2150-01-02 00:00:00.000001' AS b")
+    write_csv(times, str(tmp_path / "t"))
+    back = read_csv_table(spark, str(tmp_path / "t"), "a timestamp_ntz, b timestamp")
+    assert back.collect() == times.collect()

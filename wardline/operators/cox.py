@@ -352,7 +352,8 @@ class CoxFit:
         if self.events == 0 or not self.free.any():
             self.loglik, self.converged = loglik, True
             return
-        if not first and np.isfinite(loglik) and abs(1 - self.loglik / loglik) <= TOLERANCE:
+        near = TOLERANCE * (abs(loglik) + TOLERANCE)
+        if not first and np.isfinite(loglik) and abs(loglik - self.loglik) <= near:
             self.loglik, self.converged = loglik, True
             return
         self.steps += 1

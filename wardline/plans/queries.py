@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import is_finite, meld_na, safe_ratio, strip_text, to_number
@@ -37,7 +37,7 @@ from ..session import durable, shared_folder, tune
 from ..sources import frame_sql, load_csv_dir, write_csv
 from . import derived as dt
 from . import model_sql as msql
-from .study import albumin_sweep, cohort_with_flags, daily_panel, lactate_run, pressure_sweep
+from .study import albu_sweep, cohort_with_flags, daily_panel, lactate_run, pressure_sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -971,42 +971,43 @@ def sweep_one_term(spark, folder):
 # the study models on the study panel
 
 
+def _draw(*keys) -> Column:
+    """A number in [0, 1) from a hash of the keys; each name gives independent numbers."""
+    return F.pmod(F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys]), F.lit(1 << 32)) / float(1 << 32)
+
+
 def study_model_panel(spark: SparkSession, folder: str, cut_column: str) -> DataFrame:
     """Study panel with the columns that the caller of the models supplies.
 
-    Treatment is a high input on the day, the event is the first day with a
-    pressure above 150, and a stay without event drops out on its last day.  The
-    weight models refuse missing covariates, so all but the column of the cut-off
-    are filled with a fixed value.
+    Treatment, event, dropout and what is known of a stay are drawn from separate hashes, so that no
+    covariate defines another one or the event.  The derived tables share their values among columns;
+    here every measured column but that of the cut-off gets its own spread, also where it is missing.
     """
     stays = durable(dt.stays(spark, folder))
     panel = daily_panel(dt.event_tables(spark, folder), stays)
     measured = [c for c, kind in panel.dtypes if kind == "double" and c != cut_column]
-    stay, rows = F.col("stay_id"), Window.partitionBy("stay_id")  # one row per day bin
+    stay, day, rows = F.col("stay_id"), F.col("day"), Window.partitionBy("stay_id")  # one row per day bin
     marked = panel.select(
         "*",
-        F.min(F.when(F.col("sbp_max") > 150, F.col("day"))).over(rows).alias("event_day"),
+        F.min(F.when(_draw(stay, day, "event") < 0.05, day)).over(rows).alias("event_day"),
         F.max("day").over(rows).alias("last_day"),
-        F.min_by("albu_min", "day").over(rows).alias("first_albu"),
     )
+    spread = {c: F.coalesce(F.col(c) * 0.1, F.lit(0.0)) + 20 + 10 * _draw(stay, day, c) for c in measured}
+    ended = F.col("event_day").isNull() & (day < 28)
     return (
-        marked.fillna(25.0, measured)
-        .filter(F.col("event_day").isNull() | (F.col("day") <= F.col("event_day")))
+        marked.withColumns(spread)
+        .filter(F.col("event_day").isNull() | (day <= F.col("event_day")))
         .withColumns(
             {
-                "albutr": (F.col("input_total") > 300).cast("int"),
-                "event": F.coalesce((F.col("day") == F.col("event_day")).cast("int"), F.lit(0)),
-                "dropout": (
-                    F.col("event_day").isNull()
-                    & (F.col("day") == F.col("last_day"))
-                    & (F.col("day") < 28)
-                ).cast("int"),
-                "first_albu": F.coalesce("first_albu", F.lit(3.0)),
-                "admission_age": (18 + stay % 70).cast("double"),
-                "gender": F.when(stay % 20 < 10, "F").otherwise("M"),
-                "admissiontype": F.when(stay % 30 < 20, "urgent").otherwise("elective"),
-                "ethni": F.when(stay % 40 < 20, "a").otherwise("b"),
-                "infectionsite": (1 + F.floor(stay / 10) % 4).cast("int"),
+                "albutr": (_draw(stay, day, "treated") < 0.4).cast("int"),
+                "event": F.coalesce((day == F.col("event_day")).cast("int"), F.lit(0)),
+                "dropout": (ended & (day == F.col("last_day"))).cast("int"),
+                "first_albu": 2 + 2 * _draw(stay, "first"),
+                "admission_age": 18 + 70 * _draw(stay, "age"),
+                "gender": F.when(_draw(stay, "gender") < 0.5, "F").otherwise("M"),
+                "admissiontype": F.when(_draw(stay, "type") < 0.6, "urgent").otherwise("elective"),
+                "ethni": F.when(_draw(stay, "ethni") < 0.4, "a").otherwise("b"),
+                "infectionsite": (1 + F.floor(4 * _draw(stay, "site"))).cast("int"),
             }
         )
     )
@@ -1022,6 +1023,6 @@ def pressure_sweep_query(spark, folder):
     return pressure_sweep(study_model_panel(spark, folder, "mbp_min")).effects
 
 
-@query("albumin_sweep")
-def albumin_sweep_query(spark, folder):
-    return albumin_sweep(study_model_panel(spark, folder, "albu_min")).effects
+@query("albu_sweep")
+def albu_sweep_query(spark, folder):
+    return albu_sweep(study_model_panel(spark, folder, "albu_min")).effects

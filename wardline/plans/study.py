@@ -35,7 +35,7 @@ OUTCOME = terms(
 
 # Cut-offs of the sweeps.
 PRESSURE_CUTOFFS = [float(c) for c in range(40, 81)]
-ALBUMIN_CUTOFFS = [
+ALBU_CUTOFFS = [
     2.0, 2.1, 2.2, 2.3, 2.4, 2.5, 2.6, 2.7, 2.8, 2.9, 3.0, 3.1, 3.2, 3.3, 3.4, 3.5, 3.6, 3.7,
     3.8, 3.9, 4.0, 4.1, 4.2,
 ]
@@ -90,12 +90,12 @@ def pressure_sweep(
     return cutoff_sweep(panel, model, "mbp_min", cutoffs)
 
 
-def albumin_sweep(
+def albu_sweep(
     panel: DataFrame,
     model: EffectModel = STUDY_MODEL,
-    cutoffs: Sequence[float] = tuple(ALBUMIN_CUTOFFS),
+    cutoffs: Sequence[float] = tuple(ALBU_CUTOFFS),
 ) -> CoxResult:
-    """Effects among stay-days with a lowest albumin at or below each cut-off."""
+    """Effects among stay-days with a lowest value of that analyte at or below each cut-off."""
     return cutoff_sweep(panel, model, "albu_min", cutoffs)
 
 

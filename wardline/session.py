@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from types import ModuleType
 
 from pyspark.cloudpickle import register_pickle_by_value
@@ -29,16 +28,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate results.
 
-    On a cluster it is the shared folder named in ``spark.checkpoint.dir``; a folder
-    of our own is made only in local mode.
+    It is the one named in ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse, which
+    executors share too.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="wardline-")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

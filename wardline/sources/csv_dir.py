@@ -38,10 +38,14 @@ def _typed(field: T.StructField) -> Column:
 def read_csv_table(
     spark: SparkSession, path: str | list[str], schema: str | T.StructType
 ) -> DataFrame:
-    """One CSV table (a file, a directory of parts or a list of files), typed by ``schema``."""
+    """One CSV table (a file, a directory of parts or a list of files), typed by ``schema``.
+
+    Quoted fields may hold line breaks.  Parts whose header differs from the first one's raise an error.
+    """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    text = spark.read.option("header", True).option("escape", '"').csv(path)
+    options = {"header": True, "escape": '"', "multiLine": True, "enforceSchema": False}
+    text = spark.read.options(**options).csv(path)
     lacking = [f.name for f in schema if f.name not in text.columns]
     if lacking:
         raise ValueError(f"{path}: columns not found: {', '.join(lacking)}")

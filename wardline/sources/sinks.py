@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header and no row names; missing values are written as NA."""
-    df.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)
+    """CSV with a header and no row names; missing values are written as NA, times with microseconds."""
+    options = {
+        "header": True,
+        "nullValue": "NA",
+        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    }
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
