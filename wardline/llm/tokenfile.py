@@ -13,9 +13,11 @@ import os
 import struct
 import uuid
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +29,14 @@ MAGIC = b"TOKPACK1"
 BLOCK = 4096
 #: Text bytes of one file, and the most files of a run; beyond it files grow.
 FILE_BYTES, MOST_FILES = 32 << 20, 1 << 16
-#: Words whose ids a task remembers, and their longest length.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 40
-#: Marks that this kind of tokenizer splits from a letter before them, whatever follows.
-_TAIL = ".,;:!?$%&*#"
+#: Words whose ids a worker remembers (at most twice as many for a while), and their longest length.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+#: Text bytes that a task encodes at a time; a longer single text is encoded alone.
+ENCODED_BYTES = 8 << 20
+#: Words of letters alone that are encoded as one text, with this digit between them.
+JOINED, BETWEEN = 100, "0"
+#: Marks that end a word; this kind of tokenizer splits them from a letter before them.
+_TAIL = r"(\pL)([.,;:!?$%&*#]+)(?: |$)"
 _HEADER = struct.Struct("<8sIIQQQ")
 #: The key of a document without one.
 NO_KEY = -(1 << 63)
@@ -106,7 +112,7 @@ class WordEncoder:
     """Ids of texts by a tokenizers file, remembered by blank-separated words.
 
     ``separable`` says that the tokenizer lowers case, splits at blanks and line ends, which it drops, and splits
-    punctuation from letters, as this one does; otherwise whole texts are encoded.
+    punctuation and digits from letters, as this one does; otherwise whole texts are encoded.
     """
 
     def __init__(self, tokenizer_json: str, separable: bool = True):
@@ -114,42 +120,72 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.separable = separable
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        self.between = self._ids([BETWEEN])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word; words of letters alone go many at a time, as no letter gives the id of a digit."""
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[k : k + JOINED] for k in range(0, len(letters), JOINED)]
+        out, alone = {}, [w for w in words if not w.isalpha()]
+        for group, data in zip(groups, self._ids([f" {BETWEEN} ".join(g) for g in groups]), strict=True):
+            ids = np.frombuffer(data, "<u4")
+            cuts = np.flatnonzero(ids == np.frombuffer(self.between, "<u4")[0])
+            if len(self.between) != 4 or len(cuts) != len(group) - 1:
+                alone += group
+                continue
+            cuts = (4 * cuts).tolist()
+            out |= {w: data[a:b] for w, a, b in zip(group, [0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)}
+        return out | dict(zip(alone, self._ids(alone), strict=True))
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words; a word with marks behind its last letter, or in capitals, goes by its plain form."""
-        known, parts = self.known, {}
-        for word in words:
-            core = word.rstrip(_TAIL)
-            if not core or not core[-1].isalpha():
-                core = word
-            parts[word] = (core.lower() if core.isascii() and "|" not in core else core, word[len(core) :])
-        plain = {p for pair in parts.values() for p in pair if p not in known}
-        plain = list(plain)
-        fresh = dict(zip(plain, self._ids(plain), strict=True))
-        get = lambda p: fresh[p] if p in fresh else known[p]
-        fresh |= {word: get(a) + get(b) for word, (a, b) in parts.items()}
-        return fresh
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        """Ids of new words; words in capitals go by their lower form."""
+        forms = {w: w.lower() if w.isascii() and w.isalpha() else w for w in words}
+        parts = set(forms.values())
+        ids = {p: x for p in parts if (x := self._remembered(p)) is not None}
+        ids |= self._word_ids(list(parts.difference(ids)))
+        return ids | {word: ids[form] for word, form in forms.items()}
+
+    def _remembered(self, word: str) -> bytes | None:
+        found = self.known.get(word)
+        return self.earlier.get(word) if found is None else found
+
+    def _recall(self, words: list[str]) -> list[bytes]:
+        """Ids of different words; they are kept for later, and those that no longer come up are forgotten in turn."""
+        if len(self.known) > REMEMBERED:
+            self.earlier, self.known = self.known, {}
+        missing = [w for w in words if w not in self.known]
+        again = {w: x for w in missing if (x := self.earlier.get(w)) is not None}
+        self.known |= again
+        self.known |= self._learn([w for w in missing if w not in again])
+        out = list(map(self.known.__getitem__, words))
+        for word in missing:
+            if len(word) > REMEMBERED_CHARS:
+                self.known.pop(word)
+        return out
+
+    def encode(self, texts: list[str] | pa.Array, end_id: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         end = struct.pack("<I", end_id)
         if not self.separable:
-            return [x + end for x in self._ids(texts)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = self._learn(list(set().union(*split).difference(known)))
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, words)) + end for words in split]
-        full = len(known) > REMEMBERED
-        for word in fresh:
-            if full or len(word) > REMEMBERED_CHARS:
-                del known[word]
-        return out
+            return [x + end for x in self._ids(texts if isinstance(texts, list) else texts.to_pylist())]
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _TAIL, r"\1 \2 ")
+        words = pc.split_pattern(texts, " ")
+        bounds = np.asarray(words.offsets).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        ids = self._recall(coded.dictionary.to_pylist())
+        bounds -= bounds[0]
+        order = np.insert(coded.indices.to_numpy(), bounds[1:], len(ids))  # the end id after each text
+        joined = pa.array([*ids, end], pa.large_binary()).take(pa.array(order))
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[bounds + np.arange(len(bounds))].tolist()
+        data = memoryview(joined.buffers()[2])
+        return [bytes(data[a:b]) for a, b in pairwise(ends)]
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
@@ -211,8 +247,8 @@ def write_token_files(
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(shared.value, separable)
         for batch in batches:
-            for part in slices(batch, 2):
-                found = encoder.encode(part.column(2).to_pylist(), end_id)
+            for part in slices(batch, 2, ENCODED_BYTES):
+                found = encoder.encode(part.column(2), end_id)
                 packed = [pack(np.frombuffer(x, "<u4"), bits) for x in found]
                 sizes = pa.array([len(x) // 4 for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, pa.array(packed, pa.binary())], ["file", "id", "n", "ids"])
