@@ -1,5 +1,6 @@
 from conftest import IN_TIME
 
+from wardline.operators import codes
 from wardline.operators.codebook import CATEGORIES, code_rows, default_codebook
 from wardline.operators.codes import attach_flags, code_flags, site_class
 from wardline.operators.cohort import select_cohort, sepsis_cohort
@@ -41,6 +42,12 @@ def test_extra_codes(spark):
     assert got[1]["lung_infection"] == 1
 
 
+def test_a_large_codebook_is_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(codes, "is_small", lambda df: False)
+    rows = [(1, 1, 10, "J189"), (1, 1, 9, "038"), (2, 2, 9, "J189"), (5, 5, 10, "M86642"), (7, 7, 10, None)]
+    assert flags_of(spark, rows, default_codebook(spark)) == flags_of(spark, rows)
+
+
 def test_site_class_order_and_missing(spark):
     df = spark.createDataFrame(
         [(1, 1, 1, 0, 0), (2, 0, 1, 0, 0), (3, 0, 0, 1, 1), (4, 0, 0, 0, 1), (5, 0, 0, 0, 0),

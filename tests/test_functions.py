@@ -8,6 +8,7 @@ from wardline.functions import (
     hour_bin,
     is_finite,
     meld_na,
+    micros_between,
     na_ifelse,
     no_nan,
     safe_ratio,
@@ -20,6 +21,30 @@ def column(df, c):
     return [r[0] for r in df.select(c).collect()]
 
 
+def test_offsets_do_not_depend_on_the_session_zone(spark):
+    """Around the change of the clocks, and inside the hour that it leaves out."""
+    times = ["2150-03-07 12:00:00", "2150-03-08 02:30:00", "2150-03-08 12:30:00.000001", "1950-01-01 00:00:00"]
+    df = spark.sql(
+        "SELECT i, TIMESTAMP_NTZ '2150-03-07 12:00:00' AS a, CAST(t AS timestamp_ntz) AS t, "
+        "TIMESTAMP '2150-03-07 12:00:00Z' AS z FROM VALUES "
+        + ", ".join(f"({i}, '{t}')" for i, t in enumerate(times)) + " AS v(i, t) ORDER BY i"
+    )
+    before = spark.conf.get("spark.sql.session.timeZone")
+    found = {}
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            found[zone] = (
+                column(df, micros_between("a", "t")), column(df, day_bin("a", "t")), column(df, micros_between("z", "t"))[0]
+            )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    hour = 3_600_000_000
+    assert found["UTC"][0][:3] == [0, 14.5 * hour, 24.5 * hour + 1]
+    assert found["UTC"][1] == [None, 1, 2, None]
+    assert found["UTC"] == found["America/New_York"] == found["Asia/Kolkata"]
+
+
 def test_day_bins_are_right_closed(spark):
     hours = [-1, 0, 0.001, 24, 24.0001, 672, 672.01]
     df = spark.createDataFrame(

@@ -85,6 +85,33 @@ def test_fit_matches_dense_with_weights_and_ties(panel):
         assert row["converged"]
 
 
+def test_many_times_and_large_coefficients(spark):
+    """Times are not bounded, and a coefficient may take the predictor beyond any fixed limit."""
+    rng = np.random.default_rng(5)
+    n = 400
+    df = pd.DataFrame({"id": np.arange(n), "start": 0, "stop": 1 + rng.permutation(n) % 200})
+    df.loc[0, "stop"] = 6_500
+    df["x"] = rng.normal(0, 1, n)
+    df.loc[1, "x"] = 400.0
+    df["event"] = (rng.random(n) < 0.5).astype(int)
+    df.loc[[0, 1], "event"] = 1, 0
+    df.loc[1, "stop"] = 1
+    df.loc[2, ["start", "stop", "event"]] = 0, 6_400, 0
+    got = by_term(cox_fit(spark.createDataFrame(df), "id", "start", "stop", "event", terms("x")))["x"]
+    x = df[["x"]].to_numpy()
+    beta = dense.fit(x, *times(df))
+    assert got["converged"] and got["coef"] == pytest.approx(beta[0], abs=1e-7)
+
+
+def test_the_step_limit_is_reported(panel):
+    _, sdf = panel
+    result = cox_fit(sdf, "id", "start", "stop", "event", TERMS, max_steps=1)
+    (fit,) = result.fits
+    assert not fit.converged and (fit.beta == fit.kept).all()
+    assert fit.sums is fit.kept_sums
+    assert all(r["se"] is None and not r["converged"] for r in result.effects.collect())
+
+
 def test_model_based_errors(panel):
     df, sdf = panel
     got = by_term(cox_fit(sdf, "id", "start", "stop", "event", terms("a"), robust=False))

@@ -41,8 +41,16 @@ def na_ifelse(condition: Column, yes: Column, no: Column) -> Column:
 
 
 def micros(time: Column | str) -> Column:
-    """Microseconds since the epoch; the session zone is UTC."""
-    return F.unix_micros(_col(time).cast("timestamp"))
+    """Microseconds since the epoch; a time without a zone counts as UTC in every session zone.
+
+    The zone and the type are known when the query is planned, so one branch is left then.
+    """
+    time = _col(time)
+    instant = F.unix_micros(time.cast("timestamp"))
+    since = time.cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    seconds = since.cast("interval second").cast("decimal(18,6)")
+    free = (F.current_timezone() == "UTC") | (F.typeof(time) != "timestamp_ntz")
+    return F.when(free, instant).otherwise((seconds * 1_000_000).cast("long"))
 
 
 def micros_between(start: Column | str, end: Column | str) -> Column:

@@ -23,12 +23,13 @@ def code_flags(
 
     Each code looks up one integer whose bits are its categories; admissions
     combine them with a bitwise OR, so the shuffle carries one integer per
-    admission and task.
+    admission and task.  A codebook too large to be broadcast is joined by a shuffle.
     """
     if codebook is None:
         codebook = default_codebook(diagnoses.sparkSession)
-    elif not is_small(codebook):
-        raise ValueError("the codebook has too many rows to be broadcast")
+        broadcast = True
+    else:
+        broadcast = is_small(codebook)
     bits = F.create_map(*[F.lit(x) for i, c in enumerate(categories) for x in (c, 1 << i)])
     masks = (
         codebook.filter(F.col("category").isin(list(categories)))
@@ -37,7 +38,7 @@ def code_flags(
     )
     hits = (
         diagnoses.select(*keys, "icd_version", "icd_code")
-        .join(F.broadcast(masks), ["icd_version", "icd_code"], "left")
+        .join(F.broadcast(masks) if broadcast else masks, ["icd_version", "icd_code"], "left")
         .groupBy(*keys)
         .agg(F.coalesce(F.bit_or("_mask"), F.lit(0)).alias("_mask"))
     )

@@ -47,7 +47,6 @@ ship(riskset)
 MAX_STEPS = 20
 TOLERANCE = 1e-9
 ALIAS_TOLERANCE = 1e-10
-MAX_TIMES = 5_000
 Z_95 = 1.959963984540054
 TIE_CHUNK = 1_000_000
 
@@ -135,8 +134,6 @@ def prepare_panel(
     if span["bad"]:
         raise ValueError(f"{span['bad']} rows without whole start < stop times")
     low, high = int(span["low"] or 0), int(span["high"] or 0)
-    if high - low > MAX_TIMES:
-        raise ValueError(f"more than {MAX_TIMES} distinct times")
     frame = rows.select(
         "_id",
         (F.col(start) - low).cast("int").alias("_start"),
@@ -200,7 +197,7 @@ def moment_pass(
     models, betas, active = tuple(models), tuple(betas), tuple(active)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = [Moments(m.layout, len(cutoffs), times) for m in models]
+        totals = [Moments(m.layout) for m in models]
         for block in whole_stays(batches, width):
             weight = all_weights(block, weights, own, cutoffs)
             at_risk = risk_rows(block)
@@ -221,7 +218,7 @@ def moment_pass(
             cut, time, vectors = total.packed()
             if len(cut):
                 yield pd.DataFrame(
-                    {"model": m, "cut": cut, "time": time, "sums": list(vectors)}
+                    {"model": m, "cut": cut, "time": time, "sums": vectors}
                 )
 
     found = _summed(panel, sums, cutoffs[np.any(active, axis=0)])
@@ -315,6 +312,7 @@ class CoxFit:
     steps: int = 0
     events: int = 0
     kept: np.ndarray | None = field(default=None, repr=False)
+    kept_sums: np.ndarray | None = field(default=None, repr=False)
     halvings: int = 0
 
     def _event_times(self) -> tuple[np.ndarray, np.ndarray, TieSums, TimeSums]:
@@ -347,7 +345,10 @@ class CoxFit:
 
     def advance(self, sums: np.ndarray) -> None:
         """Take the sums at ``beta`` and move on: accept, halve the step or stop."""
-        loglik = self.evaluate(sums)
+        with np.errstate(over="ignore", invalid="ignore"):
+            loglik = self.evaluate(sums)
+        if not np.isfinite(self.information).all():
+            loglik = np.nan
         first = self.kept is None
         if self.events == 0 or not self.free.any():
             self.loglik, self.converged = loglik, True
@@ -362,7 +363,7 @@ class CoxFit:
             self.beta = (self.beta + self.halvings * self.kept) / (self.halvings + 1)
             return
         self.halvings = 0
-        self.loglik, self.kept = loglik, self.beta
+        self.loglik, self.kept, self.kept_sums = loglik, self.beta, sums
         self.beta = self.beta + self._solve(self.gradient)
 
     def _solve(self, vector: np.ndarray) -> np.ndarray:
@@ -427,13 +428,20 @@ def _aliased(information: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 
 def fit_models(
-    panel: FitPanel, models: Sequence[RowModel], weights: tuple[WeightModels, ...] = ()
+    panel: FitPanel,
+    models: Sequence[RowModel],
+    weights: tuple[WeightModels, ...] = (),
+    max_steps: int = MAX_STEPS,
 ) -> list[list[CoxFit]]:
-    """Fit every model at every cut-off; one job per Newton step for all of them."""
+    """Fit every model at every cut-off; one job per Newton step for all of them.
+
+    A fit that needs more than ``max_steps`` steps stays at its best step and is not
+    marked as converged.
+    """
     fits = [
         [CoxFit(m.layout, np.zeros(len(m.index))) for _ in panel.cutoffs] for m in models
     ]
-    for _ in range(MAX_STEPS + 1):
+    for _ in range(max_steps + 1):
         active = [np.array([not f.converged for f in row]) for row in fits]
         if not any(a.any() for a in active):
             break
@@ -446,6 +454,7 @@ def fit_models(
         for fit in row:
             if not fit.converged and fit.kept is not None:
                 fit.beta = fit.kept
+                fit.evaluate(fit.kept_sums)
     return fits
 
 
@@ -534,6 +543,7 @@ def cox_fit(
     robust: bool = True,
     cut_column: str | None = None,
     cutoffs: Sequence[float] = (0.0,),
+    max_steps: int = MAX_STEPS,
 ) -> CoxResult:
     """Cox model on ``(start, stop]`` rows; rows with missing values are dropped.
 
@@ -545,5 +555,5 @@ def cox_fit(
     )
     model = RowModel("outcome", tuple(ready.design.index(terms)), "_s_event")
     with ready.cached():
-        (fits,) = fit_models(ready, [model])
+        (fits,) = fit_models(ready, [model], max_steps=max_steps)
         return finish(ready, model, fits, robust)

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import no_nan
 from .joins import is_small
 
-MAX_LEVELS = 200
-
 
 @dataclass(frozen=True)
 class Numeric:
@@ -28,10 +26,15 @@ class Numeric:
 
 @dataclass(frozen=True)
 class Category:
-    """A category as 0/1 columns, one for each level but the first."""
+    """A category as 0/1 columns, one for each level but the first.
+
+    Without ``levels`` those of the data are taken, in order; more than ``most_levels``
+    are an error, as each becomes a column of the model.
+    """
 
     column: str
     levels: tuple | None = None
+    most_levels: int = 200
 
 
 Term = Numeric | Category
@@ -77,14 +80,11 @@ class Design:
         return [i for t in wanted for i, owner in enumerate(self.owners) if owner == t]
 
 
-def _levels(df: DataFrame, column: str) -> list:
-    found = (
-        df.select(column).filter(F.col(column).isNotNull()).distinct()
-        .limit(MAX_LEVELS + 1).collect()
-    )
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
-    return sorted(r[0] for r in found)
+def _levels(df: DataFrame, column: str, most: int) -> list:
+    n = df.agg(F.count_distinct(column)).first()[0]
+    if n > most:
+        raise ValueError(f"{column} has {n} levels, more than {most}")
+    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
 def build_design(
@@ -111,7 +111,7 @@ def build_design(
             columns.append(value)
             owners.append(term)
             continue
-        levels = _levels(df, column) if term.levels is None else list(term.levels)
+        levels = _levels(df, column, term.most_levels) if term.levels is None else list(term.levels)
         for level in levels[1:]:
             hit = F.col(column) == F.lit(level)
             labels.append(f"{term.column}={level}")

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 
 from ..functions import (
     MAX_DAYS,
@@ -176,14 +178,20 @@ class CohortLookup:
 
     def window(self, time: str, max_days: int) -> Column:
         """Times that can fall into some bin; reaches the scan as a range filter."""
-        kind = self.frame.schema["icu_intime"].dataType
         low, high = (
-            F.timestamp_micros(F.lit(us)).cast(kind)
+            _time(us, self.frame.schema["icu_intime"].dataType)
             for us in (self.first, self.last + max_days * MICROS_PER_DAY)
         )
         return (F.col(time) > low) & (F.col(time) <= high)
 
 
+def _time(us: int, kind: DataType) -> Column:
+    """The time of that many microseconds since the epoch, the same in every session zone."""
+    if isinstance(kind, TimestampNTZType):
+        return F.expr(f"TIMESTAMP_NTZ '{datetime(1970, 1, 1) + timedelta(microseconds=us)}'")
+    return F.timestamp_micros(F.lit(us)).cast(kind)
+
+
 def cohort_lookup(cohort: DataFrame, rows: int = BROADCAST_ROWS) -> CohortLookup:
     """Count the cohort and find its range of in-times, in one job."""
     span = cohort.agg(

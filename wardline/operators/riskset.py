@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 
 MAX_ROWS_PER_STAY = 200_000
-ETA_LIMIT = 200.0
 
 
 @dataclass
@@ -138,52 +137,54 @@ def square(packed: np.ndarray, triangle: tuple[np.ndarray, np.ndarray], n: int)
 
 
 def linear(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    return np.clip(x @ beta, -ETA_LIMIT, ETA_LIMIT)
+    return x @ beta
 
 
 class Moments:
-    """Running sums of one model for all cut-offs and times."""
+    """Running sums of one model for the cut-offs and times that occur in a partition."""
 
-    def __init__(self, layout: Layout, cutoffs: int, times: int) -> None:
-        n = layout.p + 1
+    def __init__(self, layout: Layout) -> None:
         self.layout = layout
-        self.event = np.zeros((cutoffs, times + 1, 3 + layout.p))
-        self.risk = np.zeros((cutoffs, times + 1, n, n))
-        self.dead = np.zeros((cutoffs, times + 1, n, n))
+        self.cells: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def cell(self, cut: int, time: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Event sums and moment matrices over the risk set and the events."""
+        key, n = (int(cut), int(time)), self.layout.p + 1
+        if key not in self.cells:
+            self.cells[key] = np.zeros(n + 2), np.zeros((n, n)), np.zeros((n, n))
+        return self.cells[key]
 
     def add(self, cut: int, beta, ones_x, weight, event, time) -> None:
         """Add rows sorted by time; ``ones_x`` is the matrix (1, x)."""
         if not len(time):
             return
         eta = linear(ones_x[:, 1:], beta)
-        risk = weight * np.exp(eta)
+        with np.errstate(over="ignore"):  # a step too far is halved by the solver
+            risk = weight * np.exp(eta)
         weighted = ones_x * risk[:, None]
         starts = np.flatnonzero(np.r_[True, time[1:] != time[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(time)], strict=True):
-            self.risk[cut, time[a]] += weighted[a:b].T @ ones_x[a:b]
+            risk_sums = self.cell(cut, time[a])[1]
+            risk_sums += weighted[a:b].T @ ones_x[a:b]
         hits = np.flatnonzero(event)
         if not len(hits):
             return
         w, when, x, wx = weight[hits], time[hits], ones_x[hits], weighted[hits]
         starts = np.flatnonzero(np.r_[True, when[1:] != when[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(when)], strict=True):
-            out = self.event[cut, when[a]]
+            out, _, dead = self.cell(cut, when[a])
             out[0] += b - a
             out[1] += w[a:b].sum()
             out[2] += w[a:b] @ eta[hits[a:b]]
             out[3:] += w[a:b] @ x[a:b, 1:]
-            self.dead[cut, when[a]] += wx[a:b].T @ x[a:b]
+            dead += wx[a:b].T @ x[a:b]
 
     def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cut-offs, times and vectors of all sums that are not empty."""
         i, j = self.layout.moments
-        cut, time = np.nonzero(self.risk[:, :, 0, 0])
-        vectors = [
-            self.event[cut, time],
-            self.risk[cut, time][:, i, j],
-            self.dead[cut, time][:, i, j],
-        ]
-        return cut, time, np.concatenate(vectors, axis=1)
+        keys = np.array(sorted(k for k, sums in self.cells.items() if sums[1][0, 0] != 0), dtype=int).reshape(-1, 2)
+        vectors = [np.concatenate([event, risk[i, j], dead[i, j]]) for event, risk, dead in (self.cells[c, t] for c, t in keys)]
+        return keys[:, 0], keys[:, 1], vectors
 
 
 @dataclass

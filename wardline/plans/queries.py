@@ -730,14 +730,14 @@ def cutoff_rows(spark, folder):
 @query(
     "bind_rows",
     """
-    SELECT 'low' AS part, o_orderkey, o_totalprice FROM orders WHERE o_totalprice <= 50000
-    UNION ALL SELECT 'high', o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 400000
+    SELECT 'low' AS part, o_orderkey, o_totalprice FROM orders WHERE o_totalprice <= 100000
+    UNION ALL SELECT 'high', o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000
     """,
 )
 def bind_rows_query(spark, folder):
     orders = dt.read(spark, folder, "orders").select("o_orderkey", "o_totalprice")
-    low = orders.filter(F.col("o_totalprice") <= 50000)
-    high = orders.filter(F.col("o_totalprice") >= 400000)
+    low = orders.filter(F.col("o_totalprice") <= 100000)
+    high = orders.filter(F.col("o_totalprice") > 100000)
     return bind_rows([("low", low), ("high", high)], "part")
 
 
