@@ -30,7 +30,7 @@ BLOCK = 4096
 #: Text bytes of one file, and the most files of a run; beyond it files grow.
 FILE_BYTES, MOST_FILES = 32 << 20, 1 << 16
 #: Words whose ids a worker remembers (at most twice as many for a while), and their longest length.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+REMEMBERED, REMEMBERED_CHARS = 300_000, 40
 #: Text bytes that a task encodes at a time; a longer single text is encoded alone.
 ENCODED_BYTES = 8 << 20
 #: Words of letters alone that are encoded as one text, with this digit between them.
@@ -310,4 +310,5 @@ def read_token_files(files: DataFrame) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids"],
                         )
 
-    return files.select("uri", "ids_before").repartition("uri").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    # one row a file, written before: counted so that adaptive execution keeps one task a file
+    return files.select("uri", "ids_before").repartition(max(1, files.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
