@@ -82,3 +82,15 @@ def test_held_out_accuracy(spark):
     wrong = sum(r.predicted for r in fine) / len(fine)
     above = sum((a.score > b.score) + (a.score == b.score) / 2 for a in toxic for b in fine) / (len(toxic) * len(fine))
     assert recall > 0.8 and wrong < 0.03 and above > 0.95
+
+
+@pytest.mark.skipif(not LARGER.exists(), reason="driver tables are not here")
+def test_held_out_accuracy_in_every_language(spark):
+    got = contract.queries()["op7_toxicity"](spark, str(LARGER))
+    labels = spark.read.parquet(str(LARGER / "labels.parquet"))
+    docs = spark.read.parquet(str(LARGER / "documents.parquet")).select("doc_id", "lang")
+    rows = got.filter("held_out").join(labels, "doc_id").join(docs, "doc_id").select("lang", "predicted", "toxic").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r.predicted for r in rows if r.lang == lang and r.toxic]
+        fine = [r.predicted for r in rows if r.lang == lang and not r.toxic]
+        assert sum(toxic) >= 0.5 * len(toxic) and sum(fine) <= 0.1 * len(fine), lang
