@@ -86,6 +86,20 @@ def test_one_of_each_stays(spark, docs):
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
 
 
+def test_rows_decide_not_ids(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))
+    alone = [(7, text()) for _ in range(40)]  # one id, texts that resemble nothing
+    first, second, third = text(), text(), text()
+    rows = alone + [(1, first), (7, first), (None, first), (None, second), (None, second + " end"), (8, third), (8, third), (9, third)]
+    rows += [(7, ""), (7, None), (7, None), (None, " ")]
+    kept = one_per_component(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    assert [r for r in got if r[1] in (second, second + " end")] in ([(None, second)], [(None, second + " end")])
+    got = [r for r in got if r[1] not in (second, second + " end")]
+    assert got == sorted(alone + [(1, first), (8, third), (7, ""), (7, None), (7, None), (None, " ")], key=str)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(d).collect() == []

@@ -238,6 +238,17 @@ def jaccard_components(
     rows take part, and their component is the smallest id there, or null.  Sets and shingles
     are told apart by 64-bit hashes.
     """
+    rows = _labelled(docs, doc_id, text, size, percent)
+    first = rows.filter("n > 0").groupBy("label").agg(F.min("id").alias("least"))
+    return rows.join(first, "label", "left").select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document row: ``id``, ``n``, ``node`` and ``label``, which tells the groups of rows with words apart."""
     sets = _sets(docs, doc_id, text, size, percent)
     full = sets.filter("n > 0")
 
@@ -294,40 +305,30 @@ def jaccard_components(
     tested = _overlaps(tested, items).filter(_similar(F.col("o"), F.col("nx"), F.col("ny"), percent)).select("a", "b")
     links = stars.select("a", "b").unionAll(sure).unionAll(tested)
 
-    # the smallest document id of every component
     labels = small(components(links))
-    rows = sets.select("id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = rows.filter("n > 0").groupBy("label").agg(F.min("id").alias("least"))
-    return rows.join(first, "label", "left").select(
-        F.col("id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"),
-    )
+    return sets.select("id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Documents with one of each component kept: the one of the smallest id.
+    """Documents with one row of each component kept: that of the smallest id, and of its rows that of the smallest hash.
 
-    Columns stay as they are.  Of several rows of that id the one whose text hash is smallest stays.
-    Rows without an id or without words are kept.
+    Columns stay as they are.  Rows, not ids, are decided on: rows of one id with texts that are not linked each stay or
+    go with their own component.  A null id comes after all others.  Rows without words are kept.  Rows are told apart by
+    their id and a 64-bit hash of all columns; of rows that are equal in everything one stays.
     """
-    groups = jaccard_components(docs, doc_id, text, **options)
-    # a repeated id counts once: it goes if any row of it belongs to a smaller id
-    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    gone = small(durable(gone))
-    repeated = groups.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    repeated = repeated.filter("rows > 1").select(F.col("doc_id").alias("many"))
-    left = docs.join(gone, F.col(doc_id) == F.col("gone"), "left_anti")
-    return left if repeated.isEmpty() else _single_rows(left, repeated, doc_id, text)
-
-
-def _single_rows(docs: DataFrame, repeated: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row of each repeated id: that of the smallest hash of all columns."""
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("key"),
-        F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]).alias("h"),
-    )
-    many = rows.join(repeated, F.col("key") == F.col("many"), "left_semi")
-    one = many.groupBy("key").agg(F.min_by("row", "h").alias("row")).select("row.*")
-    rest = rows.join(repeated, F.col("key") == F.col("many"), "left_anti").select("row.*")
-    return rest.unionByName(one)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.xxhash64(*[c.cast("string") for c in every], *[c.isNull() for c in every])
+    rid = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), key.alias("key")).alias("rid")
+    groups = _labelled(docs.select(rid, F.col(text).alias("text")), "rid", "text", **options)
+    groups = durable(groups.filter("n > 0").select("id", "label"))
+    several = groups.groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    several = small(durable(several.filter("rows > 1").select("label", "least")))
+    gone = groups.join(several, "label").filter("id <> least").select(F.col("id").alias("gone")).distinct()
+    repeated = groups.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("id").alias("many"))
+    gone, repeated = small(durable(gone)), small(durable(repeated))
+    left = docs.select(F.struct(*every).alias("row"), rid).join(gone, F.col("rid") == F.col("gone"), "left_anti")
+    if repeated.isEmpty():
+        return left.select("row.*")
+    one = left.join(repeated, F.col("rid") == F.col("many"), "left_semi").groupBy("rid").agg(F.first("row").alias("row"))
+    rest = left.join(repeated, F.col("rid") == F.col("many"), "left_anti")
+    return rest.select("row.*").unionByName(one.select("row.*"))
