@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import tune
 from .chat import canonical_turns, format_turns, read_learned, read_turns, turn_rows_to_records
 from .decontaminate import benchmark_hits
 from .jaccard import jaccard_components
 from .licenses import LICENSES, license_matches
+from .manifest import leaf_digest, merkle_manifest
 from .mixture import mix_sources
 from .quality import quality_verdicts
 from .sharding import shard_texts
@@ -25,8 +28,14 @@ ORACLES: dict[str, str] = {}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[function.__name__] = function
-    return function
+    """Register a query, run with the library's settings."""
+
+    @wraps(function)
+    def tuned(spark: SparkSession, folder: str) -> DataFrame:
+        return function(tune(spark), folder)
+
+    QUERIES[function.__name__] = tuned
+    return tuned
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -273,3 +282,71 @@ SELECT conv_id, COUNT(*) AS n_turns,
     WHEN 'system,user,assistant' THEN 'instruction' ELSE 'messages' END AS layout
 FROM marked GROUP BY conv_id
 """
+
+
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The Merkle manifest of all documents, and which of them still verify after some texts were tampered with."""
+    docs = table(spark, folder, "documents")
+    record = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.translate(F.col("text"), CAPITALS, CAPITALS.lower())
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle_manifest(
+        docs, "doc_id", "lang", leaf_digest(*record, F.col("text")), F.when(hit, leaf_digest(*record, tampered))
+    )
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """CTEs for the trees over ``leaves`` (tree, key, digest): places, nodes of all levels, runs of children, heights."""
+    return f"""
+{name}_p AS (SELECT tree, key, digest, ROW_NUMBER() OVER (PARTITION BY tree ORDER BY key NULLS FIRST, digest) - 1 AS place FROM {leaves}),
+{name}_n(tree, level, place, digest) AS (
+  SELECT tree, 0, place, digest FROM {name}_p
+  UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place))
+  FROM (SELECT *, COUNT(*) OVER (PARTITION BY tree) AS n FROM {name}_n) WHERE n > 1 GROUP BY tree, level, place // 8),
+{name}_r AS (SELECT tree, level, place // 8 AS up, list(digest ORDER BY place) AS run FROM {name}_n GROUP BY ALL),
+{name}_h AS (SELECT tree, level, digest FROM {name}_n QUALIFY level = MAX(level) OVER (PARTITION BY tree))"""
+
+
+def _fold_sql(name: str, start: str) -> str:
+    """CTE ``name_f``: rows of ``start`` (id, tree, place, was, claim, proof) folded to the top of their tree."""
+    return f"""
+{name}_s(id, tree, level, place, claim, proof) AS (
+  SELECT id, tree, 0, place, claim, proof FROM {start}
+  UNION ALL
+  SELECT s.id, s.tree, s.level + 1, s.place // 8,
+    sha256(array_to_string(run[:s.place % 8], '') || s.claim || array_to_string(run[s.place % 8 + 2:], '')),
+    proof || array_to_string(run[:s.place % 8], '') || array_to_string(run[s.place % 8 + 2:], '')
+  FROM {name}_s s JOIN {name}_h h ON h.tree = s.tree JOIN {name}_r r ON r.tree = s.tree AND r.level = s.level AND r.up = s.place // 8
+  WHERE s.level < h.level),
+{name}_f AS (SELECT s.id, s.tree, s.claim, s.proof, h.digest FROM {name}_s s JOIN {name}_h h ON h.tree = s.tree AND h.level = s.level)"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"COALESCE(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+ORACLES["op13_manifest"] = f"""
+WITH RECURSIVE bytes(i, step, v) AS (
+  SELECT i, 0, i FROM range(256) AS r(i) UNION ALL
+  SELECT i, step + 1, xor(v >> 1, (v & 1) * 3988292384) FROM bytes WHERE step < 8),
+crcs AS (SELECT list(v ORDER BY i) AS t FROM bytes WHERE step = 8),
+hashed AS (
+  SELECT doc_id, COALESCE('v' || lang, '') AS tree, ROW_NUMBER() OVER () AS id, {_leaf_sql("text")} AS leaf,
+    {_leaf_sql(f"translate(text, '{CAPITALS}', '{CAPITALS.lower()}')")} AS other,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda h, c: xor(h >> 8, t[xor(h & 255, c) + 1]), 4294967295::BIGINT), 4294967295) % 3 = 0 AS hit
+  FROM documents, crcs),
+a_leaves AS (SELECT tree, struct_pack(d := doc_id, l := leaf, i := id) AS key, leaf AS digest FROM hashed),{_tree_sql("a", "a_leaves")},
+b_leaves AS (SELECT 0 AS tree, tree AS key, digest FROM a_h),{_tree_sql("b", "b_leaves")},
+a_start AS (SELECT id, p.tree, p.place, CASE WHEN hit THEN other ELSE leaf END AS claim, '' AS proof FROM a_p p JOIN hashed ON p.key.i = id),{_fold_sql("a", "a_start")},
+b_start AS (SELECT id, 0 AS tree, place, claim, proof FROM a_f JOIN b_p ON b_p.key = a_f.tree),{_fold_sql("b", "b_start")}
+SELECT doc_id, leaf, a_f.digest AS subroot, b_f.digest AS root, sha256(b_f.proof) AS proof_sha256, b_f.claim AS folded_root,
+  b_f.claim = b_f.digest AS verified
+FROM hashed JOIN a_f USING (id) JOIN b_f USING (id)
+"""
