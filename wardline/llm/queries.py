@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
+from . import language
 from .chat import canonical_turns, format_turns, read_learned, read_turns, turn_rows_to_records
 from .decontaminate import benchmark_hits
 from .jaccard import jaccard_components
@@ -284,6 +285,20 @@ FROM marked GROUP BY conv_id
 """
 
 
+def unseen(doc_id: Column) -> Column:
+    """Rows whose languages are never learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+@query
+def op11_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned from the rows that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.train_on(docs.filter(~unseen(F.col("doc_id"))))
+    found = language.languages_of(docs, model, carry=["doc_id"])
+    return found.select("doc_id", unseen(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
