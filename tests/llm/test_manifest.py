@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import manifest
-from wardline.llm.manifest import BLOCK, FAN, Block, fold, height, leaf_digest, merkle_manifest
+from wardline.llm.manifest import BLOCK, FAN, LEVELS, Block, fold, height, leaf_digest, merkle_manifest
 from wardline.llm.queries import CAPITALS, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,12 +90,12 @@ def test_several_rounds(spark, monkeypatch, tmp_path):
 
 def test_block_of_one_beside_a_whole_one():
     digests = [sha(str(k)) for k in range(BLOCK + 1)]
-    assert height(len(digests)) == 6 and FAN**5 == BLOCK
+    assert height(len(digests)) == LEVELS + 1 and FAN**LEVELS == BLOCK
     root, paths = tree(digests)
-    tops = Block([Block(digests[:BLOCK], 5).top, Block(digests[BLOCK:], 5).top], 1)
+    tops = Block([Block(digests[:BLOCK], LEVELS).top, Block(digests[BLOCK:], LEVELS).top], 1)
     assert tops.top == root
     above = tops.paths(2, ())[1]
-    (path,) = Block(digests[BLOCK:], 5).paths(1, above)
+    (path,) = Block(digests[BLOCK:], LEVELS).paths(1, above)
     assert [("".join(a), "".join(b)) for a, b in paths[-1]] == list(path)
     assert fold(digests[-1], path) == root and fold(sha("other"), path) != root
 

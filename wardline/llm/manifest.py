@@ -3,11 +3,11 @@
 Trees are evaluated by time-forward processing.  Nodes are labelled (level, place); a node sends its digest to
 its parent's label, and a priority queue hands messages out in the order of labels, so that a parent finds all
 its children's digests together.  Spark's external sort is the queue between rounds: nodes of one tree are
-dealt in blocks of 8^5 consecutive places, a round turns each block into its top, and the tops are the
+dealt in blocks of 8^4 consecutive places, a round turns each block into its top, and the tops are the
 nodes of the next round.  Inside a block a heap takes that part.  The reversed sweep goes from
 the last round to the first and hands every node the path above it; leaves get their proofs and fold them.
 
-Only tops of blocks (one in 32,768 rows) are held more than once; no task holds more than one block.
+Only tops of blocks (one in 4,096 rows) are held more than once; no task holds more than one block.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from ..session import durable
 from .storage import small
 
 #: Children of a node, and the levels of a block.
-FAN, LEVELS = 8, 5
+FAN, LEVELS = 8, 4
 BLOCK = FAN**LEVELS
 
 Step = tuple[str, str]  # digests of the siblings to the left and to the right, in a row
