@@ -18,6 +18,7 @@ from .licenses import LICENSES, license_matches
 from .manifest import leaf_digest, merkle_manifest
 from .mixture import mix_sources
 from .quality import quality_verdicts
+from .repair import damaged, repair_conversations
 from .sharding import shard_texts
 from .storage import shared_path
 from .tokencount import piece_scores, token_counts
@@ -299,6 +300,13 @@ def op11_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", unseen(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+@query
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations after some of their rows were damaged."""
+    rows = damaged(table(spark, folder, "conversations"))
+    return repair_conversations(rows, live=F.col("live"))
+
+
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
