@@ -20,4 +20,4 @@ def test_query_equals_oracle(spark, name):
 def test_all_registered():
     assert set(QUERIES) < set(contract.queries())
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))

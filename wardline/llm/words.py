@@ -54,6 +54,27 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def leading(padded: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place as a number, zero beyond the size."""
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    return eight[at] & _KEEP[np.minimum(size, 8)]
+
+
+def range_hashes(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range; eight bytes follow the last one."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    at, left = starts, ends - starts
+    out = mix(leading(padded, at, left) ^ (left.astype(np.uint64) << np.uint64(56)))
+    live = np.flatnonzero(left > 8)
+    at, left = at[live] + 8, left[live] - 8
+    while len(live):
+        out[live] = mix(out[live] * _MIX[0] ^ leading(padded, at, left))
+        keep = left > 8
+        live, at, left = live[keep], at[keep] + 8, left[keep] - 8
+    return out
+
+
 class Words:
     """The words of some texts: starts and ends in ``data``, a hash each, and ``bounds`` by text."""
 
@@ -74,25 +95,10 @@ class Words:
         after &= ~edge
         self.ends = np.flatnonzero(inside & ~after[1:]) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        self.hashes = self._hash()
+        self.hashes = range_hashes(self.data, self.starts, self.ends)
 
     def chunks(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Up to eight bytes from each place as a number, zero beyond the size."""
-        eight = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
-        return eight[at] & _KEEP[np.minimum(size, 8)]
-
-    def _hash(self) -> np.ndarray:
-        at, left = self.starts, self.ends - self.starts
-        if not len(at):
-            return np.zeros(0, np.uint64)
-        out = mix(self.chunks(at, left) ^ (left.astype(np.uint64) << np.uint64(56)))
-        live = np.flatnonzero(left > 8)
-        at, left = at[live] + 8, left[live] - 8
-        while len(live):
-            out[live] = mix(out[live] * _MIX[0] ^ self.chunks(at, left))
-            keep = left > 8
-            live, at, left = live[keep], at[keep] + 8, left[keep] - 8
-        return out
+        return leading(self.data, at, size)
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
