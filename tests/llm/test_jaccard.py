@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from wardline.llm import jaccard
 from wardline.llm.components import components
 from wardline.llm.jaccard import jaccard_components, one_per_component
 
@@ -76,6 +77,25 @@ def test_equal_to_all_pairs(spark, docs):
     assert got == brute(docs)
 
 
+def test_dense_groups_with_few_common_bands(spark, monkeypatch):
+    """2,000 near copies, most of which no band brings together; sets around the limit; and a second, shifted centre."""
+    monkeypatch.setattr(jaccard, "BANDS", 2)
+    rng = random.Random(11)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))
+    shifted = " ".join([*base.split()[:110], *[f"s{k}" for k in range(40)]])
+    texts = near_copies(rng, base, 1400, 6) + near_copies(rng, shifted, 500, 6) + near_copies(rng, base, 100, 14)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    pairs = []
+    real = jaccard._overlaps
+    monkeypatch.setattr(jaccard, "_overlaps", lambda p, *a, **k: pairs.append(p.count()) or real(p, *a, **k))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(d).collect()), key=str)
+    assert got == brute(rows)
+    assert len({c for _, _, c in got}) > 100  # some sets stay alone
+    assert sum(pairs) < 30 * len(rows), pairs
+
+
 def test_one_of_each_stays(spark, docs):
     d = spark.createDataFrame([(i, t, i) for i, t in docs], "doc_id long, text string, node long")
     kept = one_per_component(d)

@@ -5,20 +5,21 @@
 2.  One pass turns texts into sets.  Equal sets get one node.  Each node keeps its prefix (the first
     quarter of its shingles in the global order: two similar sets share several of them) and a few
     band keys of neighbouring hashes.
-3.  Sets that share a band key are compared with one hub each.  These links form first components, and
-    a linked set knows how far it is from its hub.
-4.  The prefixes form index lists.  Lists within one component are skipped whole; others are cut into
-    blocks by set size, and a set visits only the blocks that its size and its position in the list can reach.
-5.  Pairs of different components are decided by groups: hubs are compared once, and the overlap of
-    their members is bounded by the hubs' overlap and the members' known differences.  Only pairs
-    that the bounds leave open are compared.
+3.  Sets that share a band key are compared with one hub each.  These links form first components.
+4.  The prefixes form index lists; lists within one component are skipped whole.  Where lists are long, their sets
+    form families: each is compared with one set only, the centre of the largest component that its lists meet, and keeps the
+    overlap and the shingles that only one of both has.  Links to centres join more components.
+5.  Pairs within a family are answered from the centre: their overlap follows from theirs with it and from the shingles that set both
+    apart from it.  Sets of different components have to share many of those, so a few rare ones bring all similar pairs together.
+6.  For all other pairs the lists are cut into blocks by set size, and a set visits only the blocks that its size and
+    its position in the list can reach.  What is met often enough is compared exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -38,6 +39,12 @@ BANDS, BAND_SIZE = 8, 3
 SLACK = 3
 #: Ratio of the set sizes of one block of an index list.
 BLOCK = 1.12
+#: Sets of an index list from which they are compared with a centre first.
+LONG_LIST = 16
+#: Rounds of comparing with centres; the first joins small components, later ones find the centres of large ones.
+ROUNDS = 2
+#: Shared shingles asked for before two sets of a family are compared.
+FEW = 6
 
 
 def _sorted_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,13 +177,15 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, size: int, sets: DataFra
     return written(found.join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "items")
 
 
-def _overlaps(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """``pairs`` (columns ``a``, ``b`` and more) with the size ``o`` of the intersection."""
+def _overlaps(pairs: DataFrame, items: DataFrame, apart: bool = False) -> DataFrame:
+    """``pairs`` (columns ``a``, ``b`` and more) with the size ``o`` of the intersection; ``apart`` adds the sizes of both and what only one has."""
     left = items.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     right = items.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-    return pairs.join(left, "a").join(right, "b").withColumn(
-        "o", F.size(F.array_intersect("ia", "ib")).cast("long")
-    ).drop("ia", "ib")
+    found = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ia", "ib")).cast("long"))
+    if apart:
+        only = F.concat(F.array_except("ib", "ia"), F.array_except("ia", "ib"))
+        found = found.withColumns({"na": F.size("ia").cast("long"), "nb": F.size("ib").cast("long"), "apart": only})
+    return found.drop("ia", "ib")
 
 
 def _similar(o: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -187,39 +196,111 @@ def _block(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(BLOCK))).cast("int")
 
 
-def _candidates(postings: DataFrame, percent: int) -> DataFrame:
+def _several(postings: DataFrame) -> DataFrame:
+    """Postings of lists that hold sets of different components; a null component is the set alone, which keeps rows small."""
+    of = F.coalesce("comp", "node")
+    lists = postings.groupBy("h").agg(F.min(of).alias("low"), F.max(of).alias("high"))
+    return postings.join(lists.filter("low < high").select("h"), "h", "left_semi").withColumn("comp", of)
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the component of their node, null without links."""
+    labels = labels.select(F.col("node").alias("_n"), F.col("label").alias("comp"))
+    return rows.join(small(labels), F.col("node") == F.col("_n"), "left").drop("_n")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of the nodes (``node``, ``label``) after more ``links`` (``a``, ``b``), which are contracted to components first."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = durable(labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("label", F.col("node"))))
+    tight = links.select("a", "b")
+    for side in ("a", "b"):
+        of = nodes.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        tight = tight.join(of, F.col(side) == F.col("_n")).withColumn(side, F.col("_l")).drop("_n", "_l")
+    top = small(components(tight.distinct())).withColumnsRenamed({"node": "_n", "label": "_l"})
+    return durable(nodes.join(top, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label")))
+
+
+def _families(open_: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
+    """The centre that each set of a long list is to be compared with: ``a`` (centre), ``b``.
+
+    A component's centre is the hub with the most links.  A list stands for its largest component; a set goes to the
+    centre that most of its lists stand for.
+    """
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    hubs = stars.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label", "a").agg(F.count(F.lit(1)).alias("n"))
+    centres = hubs.groupBy("label").agg(F.max(F.struct("n", "a")).alias("m")).join(sizes, "label")
+    centres = small(durable(centres.select(F.col("label").alias("comp"), F.col("m.a").alias("centre"), "size")))
+    long = open_.groupBy("h").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") >= LONG_LIST).select("h")
+    long = open_.join(long, "h", "left_semi").join(centres, "comp", "left")
+    best = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("centre", "node").alias("centre"))
+    stands = long.groupBy("h").agg(F.max(best).alias("best")).select("h", F.col("best.centre").alias("a"))
+    votes = long.select("h", F.col("node").alias("b")).join(stands, "h").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    chosen = votes.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m"))
+    return durable(chosen.select(F.col("m.a").alias("a"), "b"))
+
+
+def _needed(nx: Column, ny: Column, percent: int) -> Column:
+    """The least overlap of similar sets of these sizes."""
+    return F.ceil((nx + ny) * percent / (100 + percent))
+
+
+def _family_pairs(family: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one family that can be similar, by what they and the centre do not share.
+
+    With L = centre without x and D = what only one of x and the centre has, the overlap of x and y is
+    n(centre) - |Lx| - |Ly| + |Dx and Dy|.  So similar sets share t = need - n(centre) + |Lx| + |Ly| elements of D, and k of them (FEW, or
+    t if that is less) lie among the first |D| - t + k places of both.  t <= 0 cannot be: both would be similar to the centre, so of one component.
+    Elements that bring no two components together go first, then the rarest.
+    """
+    rows = family.select("fam", "na", "node", "n", "comp", (F.col("na") - F.col("inside")).alias("lost"), F.size("apart").alias("d"), F.explode("apart").alias("h"))
+    lists = rows.groupBy("fam", "h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("many"))
+    rows = rows.join(lists.filter("low < high").select("fam", "h", "many"), ["fam", "h"])
+    of = Window.partitionBy("fam", "node")
+    place = F.col("d") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("many", "h")) - 1
+    rows = rows.withColumn("free", F.col("d") - place)
+    x, y = (rows.select("fam", "h", *([] if s == "y" else ["na"]), *[F.col(c).alias(c + s) for c in ("node", "n", "comp", "lost", "free")]) for s in "xy")
+    shared = _needed(F.col("nx"), F.col("ny"), percent) - F.col("na") + F.col("lostx") + F.col("losty")
+    k = F.least(shared, F.lit(FEW))
+    met = x.join(y, ["fam", "h"]).filter(
+        (F.col("compx") != F.col("compy")) & ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("nodex") > F.col("nodey"))))
+        & (F.col("ny") * 100 >= F.col("nx") * percent) & (F.least("freex", "freey") > shared - k)
+    )
+    counts = met.groupBy("nodex", "nx", "nodey", "ny").agg(F.count(F.lit(1)).alias("n"), F.first(k).alias("k")).filter("n >= k")
+    return counts.select(F.col("nodex").alias("x"), "nx", F.col("nodey").alias("y"), "ny")
+
+
+def _candidates(open_: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of sets of different components that index lists bring together often enough.
 
     Similar sets of sizes nx >= ny share ``need`` = ceil(percent (nx + ny) / (100 + percent)) shingles.
     So ``k`` of them (k = 1 + the slack of the smaller set) lie among the first nx - need + k
     places of the one set and the first ny - need + k of the other.  Later places are not
-    visited, and the larger set visits only blocks of sizes from percent / 100 of its own up to its own.
+    visited, and the larger set visits only blocks of sizes from percent / 100 of its own up to its own.  Pairs of one family are
+    left to it.
     """
-    of = F.coalesce("comp", "node")
-    lists = postings.groupBy("h").agg(F.min(of).alias("low"), F.max(of).alias("high"))
-    lists = lists.filter("low < high").select("h")
-    open_ = written(postings.join(lists, "h", "left_semi").distinct().withColumn("comp", of), "postings")
     reach = F.col("n") - F.col("pos")
     least = F.greatest(F.ceil(F.col("n") * percent / 100), F.lit(1))
     large = open_.select(
         "h",
         F.explode(F.sequence(_block(least) - 1, _block(F.col("n")))).alias("block"),
-        F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), reach.alias("rx"),
+        F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), reach.alias("rx"), F.col("fam").alias("fx"),
     )
     less = open_.select(
         "h", _block(F.col("n")).alias("block"), F.col("node").alias("y"), F.col("n").alias("ny"),
-        F.col("comp").alias("cy"), reach.alias("ry"),
+        F.col("comp").alias("cy"), reach.alias("ry"), F.col("fam").alias("fy"),
     )
     k = F.lit(1) + F.floor(F.col("ny") * SLACK / 100)
-    need = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    need = _needed(F.col("nx"), F.col("ny"), percent)
     met = large.join(less, ["h", "block"]).filter(
         (F.col("cx") != F.col("cy"))
         & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))))
         & (F.least("rx", "ry") > need - k)
         & (F.col("ny") >= need)
+        & ~F.coalesce(F.col("fx") == F.col("fy"), F.lit(False))
     )
     counts = met.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("shared"))
-    return durable(counts.filter(F.col("shared") >= k).drop("shared"))
+    return counts.filter(F.col("shared") >= k).drop("shared")
 
 
 def jaccard_components(
@@ -265,47 +346,35 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, perc
     near = near.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("keys")).filter("keys > 1").drop("keys")
     near = durable(near)
     items = _full_sets(docs, doc_id, text, size, sets, near.select(F.col("a").alias("node")).unionAll(near.select("b")))
-    stars = durable(_overlaps(near, items).filter(_similar(F.col("o"), F.col("na"), F.col("nb"), percent)))
+    stars = durable(_overlaps(near, items).filter(_similar(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
     labels = components(stars)
-    # a set, the hub it is measured from, and how many shingles only one of the two has
-    measured = stars.groupBy(F.col("b").alias("node")).agg(
-        F.max(F.struct("o", "a", (F.col("nb") - F.col("o")).alias("more"), (F.col("na") - F.col("o")).alias("less"))).alias("m")
-    )
-    known = durable(
-        labels.join(measured, "node", "left").select(
-            "node", F.col("label").alias("comp"), F.coalesce("m.a", "node").alias("hub"),
-            F.coalesce("m.more", F.lit(0)).alias("more"), F.coalesce("m.less", F.lit(0)).alias("less"),
-        )
-    )
+
+    # index lists of several components
+    postings = _relabelled(full.select("node", "n", "prefix"), labels)
+    postings = postings.select("node", F.col("n").cast("int").alias("n"), "comp", F.posexplode("prefix").alias("pos", "h"))
+    open_ = written(_several(postings).distinct(), "postings")
+
+    # families: in each round one comparison for each set of a long list
+    for _ in range(ROUNDS):
+        pairs = _families(open_, labels, stars)
+        items = _full_sets(docs, doc_id, text, size, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        family = durable(_overlaps(pairs, items, apart=True).select(
+            F.col("b").alias("node"), F.col("nb").alias("n"), F.col("a").alias("fam"), "na", F.col("o").alias("inside"), "apart"
+        ))
+        links = family.filter((F.col("node") != F.col("fam")) & _similar(F.col("inside"), F.col("na"), F.col("n"), percent))
+        links = links.select(F.col("fam").alias("a"), F.col("node").alias("b"))
+        stars, labels = stars.unionByName(links), _merged(labels, links)
+        open_ = written(_several(_relabelled(open_.drop("comp"), labels)), "postings")
 
     # pairs of different components
-    comp = full.select("node", "n", "prefix").join(small(known.select("node", "comp")), "node", "left")
-    # the component is null where it is the set alone, which keeps the rows small
-    postings = comp.select(
-        "node", F.col("n").cast("int").alias("n"), "comp", F.posexplode("prefix").alias("pos", "h")
-    )
-    pairs = _candidates(postings, percent)
-    group = known.select("node", "hub", "more", "less")
-    for side in ("x", "y"):
-        mine = group.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("hub", "more", "less")])
-        pairs = pairs.join(mine, side, "left").withColumns(
-            {f"hub_{side}": F.coalesce(f"hub_{side}", side)}
-            | {f"{c}_{side}": F.coalesce(f"{c}_{side}", F.lit(0)) for c in ("more", "less")}
-        )
-    pairs = durable(pairs.withColumns({"a": F.least("hub_x", "hub_y"), "b": F.greatest("hub_x", "hub_y")}))
-    nodes = pairs.select(F.explode(F.array("x", "y", "a", "b")).alias("node"))
-    items = _full_sets(docs, doc_id, text, size, sets, nodes)
-    hub_pairs = durable(_overlaps(pairs.select("a", "b").distinct(), items))
-    most = F.least(F.col("o") + F.col("more_x") + F.col("more_y"), "nx", "ny")
-    least = F.greatest(F.col("o") - F.col("less_x") - F.col("less_y"), F.lit(0))
-    bounded = pairs.join(hub_pairs, ["a", "b"]).filter(_similar(most, F.col("nx"), F.col("ny"), percent))
-    bounded = durable(bounded.withColumn("sure", _similar(least, F.col("nx"), F.col("ny"), percent)))
-    sure = bounded.filter("sure").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    tested = bounded.filter("not sure").select(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny")
-    tested = _overlaps(tested, items).filter(_similar(F.col("o"), F.col("nx"), F.col("ny"), percent)).select("a", "b")
-    links = stars.select("a", "b").unionAll(sure).unionAll(tested)
-
-    labels = small(components(links))
+    family = family.filter(F.col("inside") * 2 >= F.greatest("n", "na"))
+    open_ = open_.join(small(family.select("node", "fam")), "node", "left")
+    found = _family_pairs(_relabelled(family, labels).withColumn("comp", F.coalesce("comp", "node")), percent)
+    pairs = durable(_candidates(open_, percent).unionByName(found).select(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny").distinct())
+    items = _full_sets(docs, doc_id, text, size, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    links = _overlaps(pairs, items).filter(_similar(F.col("o"), F.col("nx"), F.col("ny"), percent)).select("a", "b")
+
+    labels = small(_merged(labels, durable(links)))
     return sets.select("id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
