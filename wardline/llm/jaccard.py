@@ -221,22 +221,24 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return durable(nodes.join(top, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label")))
 
 
-def _families(open_: DataFrame, labels: DataFrame, stars: DataFrame) -> DataFrame:
+def _families(open_: DataFrame, labels: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """The centre that each set of a long list is to be compared with: ``a`` (centre), ``b``.
 
     A component's centre is the hub with the most links.  A list stands for its largest component; a set goes to the
-    centre that most of its lists stand for.
+    centre of similar size that most of its lists stand for, and to none if these are fewer than similar sets share in their prefixes.
     """
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    hubs = stars.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label", "a").agg(F.count(F.lit(1)).alias("n"))
-    centres = hubs.groupBy("label").agg(F.max(F.struct("n", "a")).alias("m")).join(sizes, "label")
-    centres = small(durable(centres.select(F.col("label").alias("comp"), F.col("m.a").alias("centre"), "size")))
+    hubs = stars.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label", "a", "na").agg(F.count(F.lit(1)).alias("n"))
+    centres = hubs.groupBy("label").agg(F.max(F.struct("n", "a", "na")).alias("m")).join(sizes, "label")
+    centres = small(durable(centres.select(F.col("label").alias("comp"), F.col("m.a").alias("centre"), F.col("m.na").alias("nc"), "size")))
     long = open_.groupBy("h").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") >= LONG_LIST).select("h")
     long = open_.join(long, "h", "left_semi").join(centres, "comp", "left")
-    best = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("centre", "node").alias("centre"))
-    stands = long.groupBy("h").agg(F.max(best).alias("best")).select("h", F.col("best.centre").alias("a"))
-    votes = long.select("h", F.col("node").alias("b")).join(stands, "h").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    chosen = votes.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m"))
+    best = F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("centre", "node").alias("a"), F.coalesce("nc", "n").alias("na"))
+    stands = long.groupBy("h").agg(F.max(best).alias("best")).select("h", "best.a", "best.na")
+    votes = long.select("h", F.col("node").alias("b"), F.col("n").alias("nb")).join(stands, "h")
+    votes = votes.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("n"))
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("n") > F.least("na", "nb") * SLACK / 100)
+    chosen = votes.filter(near).groupBy("b").agg(F.max(F.struct("n", "a")).alias("m"))
     return durable(chosen.select(F.col("m.a").alias("a"), "b"))
 
 
@@ -346,7 +348,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, perc
     near = near.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("keys")).filter("keys > 1").drop("keys")
     near = durable(near)
     items = _full_sets(docs, doc_id, text, size, sets, near.select(F.col("a").alias("node")).unionAll(near.select("b")))
-    stars = durable(_overlaps(near, items).filter(_similar(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
+    stars = durable(_overlaps(near, items).filter(_similar(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "na", "b"))
     labels = components(stars)
 
     # index lists of several components
@@ -356,13 +358,13 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, perc
 
     # families: in each round one comparison for each set of a long list
     for _ in range(ROUNDS):
-        pairs = _families(open_, labels, stars)
+        pairs = _families(open_, labels, stars, percent)
         items = _full_sets(docs, doc_id, text, size, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
         family = durable(_overlaps(pairs, items, apart=True).select(
             F.col("b").alias("node"), F.col("nb").alias("n"), F.col("a").alias("fam"), "na", F.col("o").alias("inside"), "apart"
         ))
         links = family.filter((F.col("node") != F.col("fam")) & _similar(F.col("inside"), F.col("na"), F.col("n"), percent))
-        links = links.select(F.col("fam").alias("a"), F.col("node").alias("b"))
+        links = links.select(F.col("fam").alias("a"), "na", F.col("node").alias("b"))
         stars, labels = stars.unionByName(links), _merged(labels, links)
         open_ = written(_several(_relabelled(open_.drop("comp"), labels)), "postings")
 
