@@ -364,7 +364,9 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, perc
             F.col("b").alias("node"), F.col("nb").alias("n"), F.col("a").alias("fam"), "na", F.col("o").alias("inside"), "apart"
         ))
         links = family.filter((F.col("node") != F.col("fam")) & _similar(F.col("inside"), F.col("na"), F.col("n"), percent))
-        links = links.select(F.col("fam").alias("a"), "na", F.col("node").alias("b"))
+        links = durable(links.select(F.col("fam").alias("a"), "na", F.col("node").alias("b")))
+        if links.isEmpty():  # the centres would stay the same
+            break
         stars, labels = stars.unionByName(links), _merged(labels, links)
         open_ = written(_several(_relabelled(open_.drop("comp"), labels)), "postings")
 
