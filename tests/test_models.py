@@ -6,10 +6,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wardline.operators import riskset
 from wardline.operators.cox import RowModel, cox_fit, moment_pass, prepare_panel, tie_sums
 from wardline.operators.design import Category, Numeric, build_design, centre_scale, terms
 from wardline.operators.exposure import cumulative_product, first_exposure_rows
 from wardline.operators.ipw import Exposure, ipw_weights
+from wardline.operators.riskset import WeightModels, all_weights
 from wardline.operators.sweep import (
     EffectModel,
     bind_rows,
@@ -268,6 +270,66 @@ def test_weights_match_dense(panel):
     assert np.std(treat) > 0.001
 
 
+def test_weights_beyond_the_range_of_numbers():
+    """Hazards of 1e-300 and 1e+3 in one stay: the products equal those of exact arithmetic."""
+    n = 60
+    hazard = np.array([1e-300 if k % 3 else 1e3 for k in range(n)])
+    exposed = np.zeros(n)
+    exposed[-1] = 1
+    frame = pd.DataFrame({"_id": 1, "_start": np.arange(n), "_stop": np.arange(1, n + 1), "_value": 0.0, "_x0": np.log(hazard), "_s": exposed, "_u": np.inf})
+    block = riskset._block(frame, 1)
+    jumps = np.ones((1, n + 1))
+    part = WeightModels("w", "_s", "_u", (), (0,), np.zeros((1, 0)), np.ones((1, 1)), jumps * 0.5, jumps)
+    got = part.log_weights(block, np.array([0.0]))[:, 0]
+    change = [math.log(-math.expm1(-0.5)) - (math.log(h) if h < 1e-30 else math.log(-math.expm1(-h))) for h in hazard]
+    steps = [c if e else h - 0.5 for h, e, c in zip(hazard, exposed, change, strict=True)]
+    expected = [math.fsum(steps[: k + 1]) for k in range(n)]
+    assert got == pytest.approx(expected, rel=1e-14)
+    assert expected[-1] > 1e4  # no double holds exp of it
+    top = all_weights(block, (part,), None, np.array([0.0]), np.array([max(expected)]))
+    assert np.isfinite(top).all() and top.max() == pytest.approx(1.0, rel=1e-8)
+
+
+def test_extreme_weights_give_the_dense_outcome(spark):
+    """Weights of a sweep in the range of 1e+400 leave a finite outcome, equal to the dense one with scaled weights."""
+    df = sample(60, 6, seed=9)
+    logs = np.where(df["id"] % 2 == 0, 900.0, 899.0) + df["a"] * 0.1
+    stretched = df.assign(w=np.exp(logs - logs.max()))
+    got = by_term(cox_fit(spark.createDataFrame(stretched), "id", "start", "stop", "event", terms("a"), weight="w"))["a"]
+    x = df[["a"]].to_numpy()
+    beta = dense.fit(x, *times(df), stretched["w"].to_numpy() * 1e6)
+    assert got["status"] == "converged" and got["coef"] == pytest.approx(beta[0], abs=1e-8)
+
+
+def test_fits_that_cannot_start_say_so(spark, panel):
+    df, _ = panel
+    bad = spark.createDataFrame(df.assign(w=np.where(df["id"] == 3, np.inf, 1.0)))
+    rows = cox_fit(bad, "id", "start", "stop", "event", TERMS, weight="w").effects.collect()
+    assert {r["status"] for r in rows} == {"not finite"} and not any(r["converged"] for r in rows)
+    assert all(r[c] is None for r in rows for c in ("coef", "se", "hr", "lo95"))
+    none = spark.createDataFrame(df.assign(event=0))
+    result = cox_fit(none, "id", "start", "stop", "event", terms("a"))
+    (row,) = result.effects.collect()
+    assert (row["status"], row["converged"], row["coef"]) == ("no events", False, None)
+    assert [tuple(r)[1:] for r in result.report.collect()] == [("outcome", "no events", 0, 0)]
+
+
+def test_weight_models_report_how_they_ended(spark):
+    """A confounder that tells the exposed apart: the model separates, the weights and the outcome stay finite, and it is seen."""
+    df = sample(60, 6, seed=4)
+    rng = np.random.default_rng(1)
+    df["marker"] = np.where(df["exposed"] == 1, 5.0, 0.0) + rng.normal(0, 0.01, len(df))
+    model = EffectModel("id", "start", "stop", "event", (Exposure("t", "exposed", terms(), terms("marker")),), terms("exposed", "a"))
+    result = cutoff_sweep(spark.createDataFrame(df), model, None)
+    ends = {r["model"]: r["status"] for r in result.report.collect()}
+    assert ends["t numerator"] == "converged" and ends["outcome"] == "converged"
+    assert ends["t denominator"] in ("separated", "step limit", "converged")
+    rows = result.effects.collect()
+    assert all(r["converged"] and r["se"] is not None for r in rows)
+    expected = "ok" if ends["t denominator"] in ("separated", "converged") else "t denominator: step limit"
+    assert {r["weight_status"] for r in rows} == {expected}
+
+
 def test_equal_models_give_unit_weights(panel):
     _, sdf = panel
     same = Exposure("treat", "exposed", terms("a", "v"), terms("a", "v"))

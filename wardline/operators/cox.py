@@ -36,6 +36,7 @@ from .riskset import (
     WeightModels,
     add_outer,
     add_vectors,
+    all_log_weights,
     all_weights,
     risk_rows,
     square,
@@ -44,11 +45,16 @@ from .riskset import (
 
 ship(riskset)
 
-MAX_STEPS = 20
+MAX_STEPS = 30
 TOLERANCE = 1e-9
 ALIAS_TOLERANCE = 1e-10
 Z_95 = 1.959963984540054
 TIE_CHUNK = 1_000_000
+#: How fits end.
+CONVERGED, ALL_ALIASED, NO_EVENTS = "converged", "all terms aliased", "no events"
+NOT_FINITE, STEP_LIMIT, SEPARATED = "not finite", "step limit", "separated"
+#: Log-likelihood per event weight from which events are told apart from all others at risk: its bound is 0.
+SEPARATION = 1e-6
 
 
 # --------------------------------------------------------------------------
@@ -190,6 +196,7 @@ def moment_pass(
     betas: Sequence[np.ndarray],
     active: Sequence[np.ndarray],
     weights: tuple[WeightModels, ...] = (),
+    shift: np.ndarray | None = None,
 ) -> list[np.ndarray]:
     """Sums per (cut-off, time) of every model at the given coefficients."""
     cutoffs, times, width = panel.cutoffs, panel.times, len(panel.design.labels)
@@ -199,7 +206,7 @@ def moment_pass(
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = [Moments(m.layout) for m in models]
         for block in whole_stays(batches, width):
-            weight = all_weights(block, weights, own, cutoffs)
+            weight = all_weights(block, weights, own, cutoffs, shift)
             at_risk = risk_rows(block)
             for total, model, beta, on in zip(totals, models, betas, active, strict=True):
                 if not on.any():
@@ -228,8 +235,32 @@ def moment_pass(
     return out
 
 
+def weight_shift(panel: FitPanel, model: RowModel, weights: tuple[WeightModels, ...]) -> np.ndarray:
+    """The largest log weight of a row of the model, per cut-off.
+
+    Weights are divided by it, so that none overflows.  Coefficients, hazard jumps and robust errors do not depend on
+    the scale of the weights.
+    """
+    cutoffs, width = panel.cutoffs, len(panel.design.labels)
+
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = np.full(len(cutoffs), -np.inf)
+        for block in whole_stays(batches, width):
+            logs, known = all_log_weights(block, weights, cutoffs), model.known(block)
+            for c, cutoff in enumerate(cutoffs):
+                rows = logs[model.usable(block, known, cutoff), c]
+                top[c] = max(top[c], np.max(rows[np.isfinite(rows)], initial=-np.inf))
+        yield pd.DataFrame({"cut": np.arange(len(cutoffs)), "top": top})
+
+    rows = panel.frame.mapInPandas(tops, "cut int, top double").groupBy("cut").agg(F.max("top").alias("top")).collect()
+    shift = np.zeros(len(cutoffs))
+    for row in rows:  # one row a cut-off
+        shift[row["cut"]] = row["top"] if np.isfinite(row["top"]) else 0.0
+    return shift
+
+
 def score_pass(
-    panel: FitPanel, model: RowModel, scores: Sequence[ScoreParts], weights
+    panel: FitPanel, model: RowModel, scores: Sequence[ScoreParts], weights, shift: np.ndarray | None = None
 ) -> np.ndarray:
     """Sum over stays of the outer products of weighted score sums, per cut-off."""
     cutoffs, width, own = panel.cutoffs, len(panel.design.labels), panel.weight
@@ -239,7 +270,7 @@ def score_pass(
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(cutoffs), len(triangle[0])))
         for block in whole_stays(batches, width):
-            weight = all_weights(block, weights, own, cutoffs)
+            weight = all_weights(block, weights, own, cutoffs, shift)
             x, event = block.x[:, model.index], block.column(model.status) == 1
             known = model.known(block)
             for c, score in enumerate(scores):
@@ -308,13 +339,19 @@ class CoxFit:
     gradient: np.ndarray | None = None
     information: np.ndarray | None = None
     free: np.ndarray | None = None  # columns that are not aliased
-    converged: bool = False
+    status: str = ""  # why the fit ended; empty while it runs
     steps: int = 0
     events: int = 0
+    event_weight: float = 0.0
     kept: np.ndarray | None = field(default=None, repr=False)
     kept_sums: np.ndarray | None = field(default=None, repr=False)
     halvings: int = 0
 
+    @property
+    def converged(self) -> bool:
+        """The coefficients that are not aliased are the maximum of the likelihood."""
+        return self.status in (CONVERGED, ALL_ALIASED)
+
     def _event_times(self) -> tuple[np.ndarray, np.ndarray, TieSums, TimeSums]:
         """Event times with their mean event weight, tie sums and sums."""
         t = np.flatnonzero(self.sums[:, 0] > 0)
@@ -325,7 +362,7 @@ class CoxFit:
         """Log-likelihood, gradient and information at ``beta``; returns the former."""
         self.sums = sums
         _, w, k, at = self._event_times()
-        self.events = int(at.events.sum())
+        self.events, self.event_weight = int(at.events.sum()), float(at.w.sum())
         loglik = float(at.weta.sum() - w @ k.log)
         gradient = at.wx.sum(axis=0) - (w * k.a0) @ at.s1 + (w * k.a1) @ at.t1
         cross = (at.s1 * (w * k.b1)[:, None]).T @ at.t1
@@ -338,27 +375,31 @@ class CoxFit:
             - (at.t1 * (w * k.b2)[:, None]).T @ at.t1
         )
         scale = (w * k.a0) @ np.diagonal(at.s2, axis1=1, axis2=2)
-        if self.free is None:
+        if self.free is None and np.isfinite(information).all():
             self.free = ~_aliased(information, scale)
         self.gradient, self.information = gradient, information
         return loglik
 
     def advance(self, sums: np.ndarray) -> None:
         """Take the sums at ``beta`` and move on: accept, halve the step or stop."""
-        with np.errstate(over="ignore", invalid="ignore"):
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             loglik = self.evaluate(sums)
-        if not np.isfinite(self.information).all():
-            loglik = np.nan
         first = self.kept is None
-        if self.events == 0 or not self.free.any():
-            self.loglik, self.converged = loglik, True
-            return
-        near = TOLERANCE * (abs(loglik) + TOLERANCE)
-        if not first and np.isfinite(loglik) and abs(loglik - self.loglik) <= near:
-            self.loglik, self.converged = loglik, True
+        finite = np.isfinite(loglik) and np.isfinite(self.gradient).all() and np.isfinite(self.information).all()
+        if self.events == 0:
+            self.loglik, self.status = loglik, NO_EVENTS
+        elif first and not finite:
+            self.loglik, self.status = loglik, NOT_FINITE
+        elif not self.free.any():
+            self.loglik, self.status = loglik, ALL_ALIASED if self.layout.p else CONVERGED
+        elif not first and finite and abs(loglik - self.loglik) <= TOLERANCE * (abs(loglik) + self.event_weight):
+            # the bound is reached only in the limit of infinite coefficients; fitted probabilities are at theirs by then
+            separated = abs(loglik) <= SEPARATION * self.event_weight
+            self.loglik, self.status = loglik, SEPARATED if separated else CONVERGED
+        if self.status:
             return
         self.steps += 1
-        if not first and (not np.isfinite(loglik) or loglik < self.loglik):
+        if not first and (not finite or loglik < self.loglik):
             self.halvings += 1
             self.beta = (self.beta + self.halvings * self.kept) / (self.halvings + 1)
             return
@@ -403,12 +444,13 @@ class CoxFit:
         """Inverse information, or the robust sandwich around ``meat``; NaN where aliased."""
         p = self.layout.p
         out = np.full((p, p), np.nan)
-        free = np.flatnonzero(self.free)
-        if not len(free) or self.events == 0:
+        free = np.flatnonzero([] if self.free is None else self.free)
+        if not len(free) or self.events == 0 or not np.isfinite(self.information).all():
             return out
         bread = np.linalg.pinv(self.information[np.ix_(free, free)])
         if meat is not None:
-            bread = bread @ meat[np.ix_(free, free)] @ bread
+            with np.errstate(over="ignore", invalid="ignore"):
+                bread = bread @ meat[np.ix_(free, free)] @ bread
         out[np.ix_(free, free)] = bread
         return out
 
@@ -432,27 +474,29 @@ def fit_models(
     models: Sequence[RowModel],
     weights: tuple[WeightModels, ...] = (),
     max_steps: int = MAX_STEPS,
+    shift: np.ndarray | None = None,
 ) -> list[list[CoxFit]]:
     """Fit every model at every cut-off; one job per Newton step for all of them.
 
-    A fit that needs more than ``max_steps`` steps stays at its best step and is not
-    marked as converged.
+    A fit that needs more than ``max_steps`` steps stays at its best step and has the status
+    ``step limit``.  Sums that are not finite at the start end a fit as ``not finite``; later they halve the step.
     """
     fits = [
         [CoxFit(m.layout, np.zeros(len(m.index))) for _ in panel.cutoffs] for m in models
     ]
     for _ in range(max_steps + 1):
-        active = [np.array([not f.converged for f in row]) for row in fits]
+        active = [np.array([not f.status for f in row]) for row in fits]
         if not any(a.any() for a in active):
             break
         betas = [np.array([f.beta for f in row]) for row in fits]
-        sums = moment_pass(panel, models, betas, active, weights)
+        sums = moment_pass(panel, models, betas, active, weights, shift)
         for m, row in enumerate(fits):
             for c in np.flatnonzero(active[m]):
                 row[c].advance(sums[m][c])
     for row in fits:
         for fit in row:
-            if not fit.converged and fit.kept is not None:
+            if not fit.status:
+                fit.status = STEP_LIMIT
                 fit.beta = fit.kept
                 fit.evaluate(fit.kept_sums)
     return fits
@@ -463,14 +507,22 @@ def fit_models(
 
 EFFECT_SCHEMA = (
     "cutoff double, term string, coef double, se double, hr double, inv_hr double, "
-    "lo95 double, hi95 double, converged boolean, n_events long"
+    "lo95 double, hi95 double, converged boolean, n_events long, status string, weight_status string"
 )
 
 
 def effect_rows(
-    panel: FitPanel, model: RowModel, fits: Sequence[CoxFit], meats: np.ndarray | None
+    panel: FitPanel,
+    model: RowModel,
+    fits: Sequence[CoxFit],
+    meats: np.ndarray | None,
+    troubles: Sequence[str | None] | None = None,
 ) -> list[tuple]:
-    """Hazard-ratio rows per cut-off and term; aliased terms have NULL numbers."""
+    """Hazard-ratio rows per cut-off and term; ``status`` says how the fit ended, ``weight_status`` which weight model did not end well.
+
+    Aliased terms have NULL numbers.  Without convergence intervals are NULL; a fit with a number that is not finite, for a
+    term that is not aliased, has not converged.  Trouble in a weight model is reported and does not hide the outcome.
+    """
     labels = [panel.design.labels[i] for i in model.index]
     rows = []
 
@@ -479,30 +531,44 @@ def effect_rows(
 
     for c, fit in enumerate(fits):
         spread = np.diag(fit.variance(None if meats is None else meats[c]))
+        status, weight_status = fit.status, (troubles[c] if troubles else None) or "ok"
+        free = np.zeros(len(labels), bool) if fit.free is None or not fit.events else fit.free
+        beta = np.where(free, fit.beta, np.nan)
+        with np.errstate(over="ignore", invalid="ignore"):
+            numbers = [beta, np.sqrt(spread), np.exp(beta), np.exp(-beta)]
+            numbers += [np.exp(beta - Z_95 * numbers[1]), np.exp(beta + Z_95 * numbers[1])]
+        numbers = np.array(numbers)
+        if status in (CONVERGED, ALL_ALIASED) and not np.isfinite(numbers[:, free]).all():
+            status = NOT_FINITE
+        converged = status in (CONVERGED, ALL_ALIASED)
+        if not converged:
+            numbers[[1, 4, 5]] = np.nan
+        cutoff = None if panel.cut_column is None else float(panel.cutoffs[c])
         for j, label in enumerate(labels):
-            usable = bool(fit.free is not None and fit.free[j] and fit.events)
-            beta = float(fit.beta[j]) if usable else np.nan
-            with np.errstate(over="ignore", invalid="ignore"):
-                se = np.sqrt(spread[j]) if fit.converged else np.nan
-                row = [beta, se, np.exp(beta), np.exp(-beta), np.exp(beta - Z_95 * se),
-                       np.exp(beta + Z_95 * se)]
-            rows.append(
-                (
-                    None if panel.cut_column is None else float(panel.cutoffs[c]),
-                    label, *map(number, row), fit.converged, fit.events,
-                )
-            )
+            rows.append((cutoff, label, *map(number, numbers[:, j]), converged, fit.events, status, weight_status))
     return rows
 
 
+REPORT_SCHEMA = "cutoff double, model string, status string, steps int, n_events long"
+
+
+def report_rows(panel: FitPanel, name: str, fits: Sequence[CoxFit]) -> list[tuple]:
+    """How the fits of one model ended."""
+    return [
+        (None if panel.cut_column is None else float(panel.cutoffs[c]), name, fit.status, fit.steps, fit.events)
+        for c, fit in enumerate(fits)
+    ]
+
+
 @dataclass(frozen=True)
 class CoxResult:
-    """A fitted model: hazard ratios, baseline hazard jumps and the raw fits."""
+    """A fitted model: hazard ratios, baseline hazard jumps, the raw fits and how all fits ended."""
 
     effects: DataFrame
     baseline: DataFrame
     fits: Sequence[CoxFit]
     panel: FitPanel
+    report: DataFrame
 
 
 def finish(
@@ -511,12 +577,15 @@ def finish(
     fits: Sequence[CoxFit],
     robust: bool,
     weights: tuple[WeightModels, ...] = (),
+    shift: np.ndarray | None = None,
+    reports: Sequence[tuple] = (),
 ) -> CoxResult:
+    """Errors, hazard ratios and the report; ``reports`` are rows about the weight models."""
     spark = panel.frame.sparkSession
     meats = None
     if robust:
-        meats = score_pass(panel, model, [f.score_parts() for f in fits], weights)
-    rows = effect_rows(panel, model, fits, meats)
+        meats = score_pass(panel, model, [f.score_parts() for f in fits], weights, shift)
+    rows = effect_rows(panel, model, fits, meats, [trouble_of(weights, c) for c in range(len(fits))])
     jumps = [
         (None if panel.cut_column is None else float(panel.cutoffs[c]), int(t) + panel.first_time,
          float(jump))
@@ -529,9 +598,22 @@ def finish(
         spark.createDataFrame(jumps, "cutoff double, time int, jump double"),
         fits,
         panel,
+        spark.createDataFrame([*reports, *report_rows(panel, model.name, fits)], REPORT_SCHEMA),
     )
 
 
+def trouble_of(weights: Sequence[WeightModels], cut: int) -> str | None:
+    """The first weight model of a cut-off that did not end well.
+
+    Without events all its weights are 1, and where it separates the events its probabilities, which are all that counts, have reached their limits.
+    """
+    for part in weights:
+        for side, statuses in (("numerator", part.numerator_status), ("denominator", part.denominator_status)):
+            if statuses and statuses[cut] not in (CONVERGED, ALL_ALIASED, NO_EVENTS, SEPARATED):
+                return f"{part.name} {side}: {statuses[cut]}"
+    return None
+
+
 def cox_fit(
     panel: DataFrame,
     id: str,

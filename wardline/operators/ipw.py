@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cox import CoxFit, FitPanel, fit_models, prepare_panel
+from .cox import CoxFit, FitPanel, fit_models, prepare_panel, report_rows
 from .design import Term
 from .riskset import RowModel, WeightModels, whole_stays
 
@@ -61,17 +61,21 @@ def _fitted(exposure: Exposure, models, fits: list[list[CoxFit]]) -> WeightModel
         denominator_beta=np.array([f.beta for f in fits[1]]),
         numerator_jump=np.array([f.jumps() for f in fits[0]]),
         denominator_jump=np.array([f.jumps() for f in fits[1]]),
+        numerator_status=tuple(f.status for f in fits[0]),
+        denominator_status=tuple(f.status for f in fits[1]),
     )
 
 
-def fit_weights(panel: FitPanel, exposures: Sequence[Exposure]) -> tuple[WeightModels, ...]:
-    """Fit the models of all exposures and cut-offs together."""
+def fit_weights(panel: FitPanel, exposures: Sequence[Exposure]) -> tuple[tuple[WeightModels, ...], list[tuple]]:
+    """Fit the models of all exposures and cut-offs together; also rows that say how each fit ended."""
     models = [_row_models(panel, e) for e in exposures]
-    fits = fit_models(panel, [m for pair in models for m in pair])
-    return tuple(
+    flat = [m for pair in models for m in pair]
+    fits = fit_models(panel, flat)
+    fitted = tuple(
         _fitted(e, pair, fits[2 * i : 2 * i + 2])
         for i, (e, pair) in enumerate(zip(exposures, models, strict=True))
     )
+    return fitted, [row for m, row_fits in zip(flat, fits, strict=True) for row in report_rows(panel, m.name, row_fits)]
 
 
 def weight_rows(panel: FitPanel, parts: Sequence[WeightModels]) -> DataFrame:
@@ -115,6 +119,7 @@ def ipw_weights(
 ) -> DataFrame:
     """Weights per row: ``(id, stop, [cutoff,] w_<name>..., w)`` with ``w`` their product.
 
+    Products are sums of logarithms, so factors beyond the range of numbers do no harm as long as the product is within it.
     Missing covariates in rows that a weight model uses are an error.
     """
     ready = prepare_panel(
@@ -123,7 +128,7 @@ def ipw_weights(
         None, cut_column, cutoffs,
     )
     with ready.cached():
-        fitted = fit_weights(ready, exposures)
+        fitted, _ = fit_weights(ready, exposures)
     weights = weight_rows(ready, fitted)
     product = F.lit(1.0)
     for e in exposures:

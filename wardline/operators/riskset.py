@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 
 MAX_ROWS_PER_STAY = 200_000
+#: log h below which log(1 - exp(-h)) is log h to the last bit.
+SMALL_HAZARD = -37.0
 
 
 @dataclass
@@ -159,9 +161,9 @@ class Moments:
         if not len(time):
             return
         eta = linear(ones_x[:, 1:], beta)
-        with np.errstate(over="ignore"):  # a step too far is halved by the solver
+        with np.errstate(over="ignore", invalid="ignore"):  # a step too far is halved by the solver
             risk = weight * np.exp(eta)
-        weighted = ones_x * risk[:, None]
+            weighted = ones_x * risk[:, None]
         starts = np.flatnonzero(np.r_[True, time[1:] != time[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(time)], strict=True):
             risk_sums = self.cell(cut, time[a])[1]
@@ -254,44 +256,73 @@ class WeightModels:
     numerator_jump: np.ndarray  # (cutoffs, times)
     denominator_jump: np.ndarray
 
-    def _probability(self, block, index, beta, jump, selected, exposed) -> np.ndarray:
-        with np.errstate(over="ignore", invalid="ignore"):
-            hazard = jump[block.stop] * np.exp(linear(block.x[:, index], beta))
-            stay = np.where(exposed, -np.expm1(-hazard), np.exp(-hazard))
-        return np.where(selected, stay, 1.0)
+    numerator_status: tuple[str, ...] = ()  # one for each cut-off
+    denominator_status: tuple[str, ...] = ()
 
-    def weights(self, block: Block, cutoffs: np.ndarray) -> np.ndarray:
-        """Running product of numerator / denominator over the rows of each stay."""
+    def _log_probability(self, block, index, beta, jump, selected, exposed) -> np.ndarray:
+        """log exp(-h) for rows that stay unexposed, log(1 - exp(-h)) for those that become exposed, else 0."""
+        with np.errstate(over="ignore", divide="ignore"):
+            log_hazard = np.log(jump[block.stop]) + linear(block.x[:, index], beta)
+            hazard = np.exp(log_hazard)
+            change = np.where(log_hazard < SMALL_HAZARD, log_hazard, np.log(-np.expm1(-hazard)))
+        return np.where(selected, np.where(exposed, change, -hazard), 0.0)
+
+    def log_weights(self, block: Block, cutoffs: np.ndarray) -> np.ndarray:
+        """Logarithm of the running product of numerator / denominator over the rows of each stay."""
         exposed = block.column(self.status) == 1
         until = block.column(self.until)
-        ratio = np.ones((len(block.id), len(cutoffs)))
+        ratio = np.zeros((len(block.id), len(cutoffs)))
         for c, cutoff in enumerate(cutoffs):
             selected = (block.value <= cutoff) & (cutoff < until)
-            top = self._probability(
-                block, self.numerator, self.numerator_beta[c], self.numerator_jump[c],
-                selected, exposed,
-            )
-            bottom = self._probability(
-                block, self.denominator, self.denominator_beta[c], self.denominator_jump[c],
-                selected, exposed,
-            )
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio[:, c] = top / bottom
-        for rank in range(1, int(block.rank.max(initial=0)) + 1):
-            rows = np.flatnonzero(block.rank == rank)
-            ratio[rows] *= ratio[rows - 1]
-        return ratio
+            top, bottom = (
+                self._log_probability(block, index, beta[c], jump[c], selected, exposed)
+                for index, beta, jump in (
+                    (self.numerator, self.numerator_beta, self.numerator_jump),
+                    (self.denominator, self.denominator_beta, self.denominator_jump),
+                )
+            )
+            with np.errstate(invalid="ignore"):
+                ratio[:, c] = top - bottom
+        return running_sums(ratio, block.rank)
+
+    def weights(self, block: Block, cutoffs: np.ndarray) -> np.ndarray:
+        """Running product of numerator / denominator over the rows of each stay."""
+        with np.errstate(over="ignore"):
+            return np.exp(self.log_weights(block, cutoffs))
+
+
+def running_sums(values: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Compensated sums over the rows of each stay; ``rank`` is the place of a row in its stay."""
+    total, lost = values.copy(), np.zeros_like(values)
+    for place in range(1, int(rank.max(initial=0)) + 1):
+        rows = np.flatnonzero(rank == place)
+        a, b = total[rows - 1], values[rows]
+        with np.errstate(invalid="ignore"):
+            s = a + b
+            part = s - a
+            error = (a - (s - part)) + (b - part)
+        total[rows] = s
+        lost[rows] = lost[rows - 1] + np.where(np.isfinite(s), error, 0.0)
+    return total + lost
+
+
+def all_log_weights(block: Block, parts: tuple[WeightModels, ...], cutoffs: np.ndarray) -> np.ndarray:
+    """Logarithm of the product of all fitted weights, per row and cut-off."""
+    total = np.zeros((len(block.id), len(cutoffs)))
+    for part in parts:
+        total += part.log_weights(block, cutoffs)
+    return total
 
 
 def all_weights(
-    block: Block, parts: tuple[WeightModels, ...], own: str | None, cutoffs: np.ndarray
+    block: Block, parts: tuple[WeightModels, ...], own: str | None, cutoffs: np.ndarray, shift: np.ndarray | None = None
 ) -> np.ndarray:
-    """Row weight for every cut-off: own weight column times all fitted weights."""
-    weight = np.ones((len(block.id), len(cutoffs)))
+    """Row weight for every cut-off: own weight column times all fitted weights, these over exp(``shift``) of the cut-off."""
+    logs = all_log_weights(block, parts, cutoffs)
+    with np.errstate(over="ignore", invalid="ignore"):
+        weight = np.exp(logs if shift is None else logs - shift)
     if own is not None:
         weight *= block.column(own)[:, None]
-    for part in parts:
-        weight *= part.weights(block, cutoffs)
     return weight
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cox import CoxResult, finish, fit_models, prepare_panel
+from .cox import CoxResult, finish, fit_models, prepare_panel, weight_shift
 from .design import Term
 from .ipw import Exposure, fit_weights
 from .riskset import RowModel
@@ -33,7 +33,8 @@ def cutoff_sweep(
     """Hazard ratios for the rows with ``column <= c``, for every cut-off c.
 
     Weights are fitted again inside every sub-population and are recomputed in the
-    tasks from the small weight models, so they are never stored per cut-off.
+    tasks from the small weight models, so they are never stored per cut-off.  They are kept as logarithms and divided by
+    the largest one of a cut-off.  The ``report`` of the result says how every weight and outcome model ended.
     """
     exposures = list(model.exposures)
     ready = prepare_panel(
@@ -44,9 +45,10 @@ def cutoff_sweep(
     )
     outcome = RowModel("outcome", tuple(ready.design.index(model.outcome)), "_s_event")
     with ready.cached():
-        weights = fit_weights(ready, exposures)
-        (fits,) = fit_models(ready, [outcome], weights)
-        return finish(ready, outcome, fits, True, weights)
+        weights, reports = fit_weights(ready, exposures)
+        shift = weight_shift(ready, outcome, weights)
+        (fits,) = fit_models(ready, [outcome], weights, shift=shift)
+        return finish(ready, outcome, fits, True, weights, shift, reports)
 
 
 def single_cutoff(
