@@ -41,8 +41,6 @@ SLACK = 3
 BLOCK = 1.12
 #: Sets of an index list from which they are compared with a centre first.
 LONG_LIST = 16
-#: Rounds of comparing with centres; the first joins small components, later ones find the centres of large ones.
-ROUNDS = 2
 #: Shared shingles asked for before two sets of a family are compared.
 FEW = 6
 
@@ -160,8 +158,8 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> D
 
 def _full_sets(docs: DataFrame, doc_id: str, text: str, size: int, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node``, ``items``: the whole set of every node asked for, from one document each."""
-    nodes = durable(nodes.distinct())
-    ids = durable(sets.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
+    nodes = small(durable(nodes.distinct()))
+    ids = durable(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
     frame = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     wanted = small(ids.select(F.col("id").alias("rep")))
     frame = frame.join(wanted, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
@@ -174,7 +172,7 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, size: int, sets: DataFra
                 yield pa.RecordBatch.from_arrays([_signed(s.node), lists], ["node", "items"])
 
     found = frame.mapInArrow(work, "node long, items array<long>")
-    return written(found.join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "items")
+    return written(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "items")
 
 
 def _overlaps(pairs: DataFrame, items: DataFrame, apart: bool = False) -> DataFrame:
@@ -206,11 +204,13 @@ def _several(postings: DataFrame) -> DataFrame:
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with the component of their node, null without links."""
     labels = labels.select(F.col("node").alias("_n"), F.col("label").alias("comp"))
-    return rows.join(small(labels), F.col("node") == F.col("_n"), "left").drop("_n")
+    return rows.join(labels, F.col("node") == F.col("_n"), "left").drop("_n")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels of the nodes (``node``, ``label``) after more ``links`` (``a``, ``b``), which are contracted to components first."""
+    if links.isEmpty():
+        return labels
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = durable(labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("label", F.col("node"))))
     tight = links.select("a", "b")
@@ -349,30 +349,25 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, perc
     near = durable(near)
     items = _full_sets(docs, doc_id, text, size, sets, near.select(F.col("a").alias("node")).unionAll(near.select("b")))
     stars = durable(_overlaps(near, items).filter(_similar(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "na", "b"))
-    labels = components(stars)
+    labels = small(components(stars))
 
     # index lists of several components
     postings = _relabelled(full.select("node", "n", "prefix"), labels)
     postings = postings.select("node", F.col("n").cast("int").alias("n"), "comp", F.posexplode("prefix").alias("pos", "h"))
     open_ = written(_several(postings).distinct(), "postings")
 
-    # families: in each round one comparison for each set of a long list
-    for _ in range(ROUNDS):
-        pairs = _families(open_, labels, stars, percent)
-        items = _full_sets(docs, doc_id, text, size, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        family = durable(_overlaps(pairs, items, apart=True).select(
-            F.col("b").alias("node"), F.col("nb").alias("n"), F.col("a").alias("fam"), "na", F.col("o").alias("inside"), "apart"
-        ))
-        links = family.filter((F.col("node") != F.col("fam")) & _similar(F.col("inside"), F.col("na"), F.col("n"), percent))
-        links = durable(links.select(F.col("fam").alias("a"), "na", F.col("node").alias("b")))
-        if links.isEmpty():  # the centres would stay the same
-            break
-        stars, labels = stars.unionByName(links), _merged(labels, links)
-        open_ = written(_several(_relabelled(open_.drop("comp"), labels)), "postings")
+    # families: one comparison for each set of a long list
+    pairs = _families(open_, labels, stars, percent)
+    items = _full_sets(docs, doc_id, text, size, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    family = durable(_overlaps(pairs, items, apart=True).select(
+        F.col("b").alias("node"), F.col("nb").alias("n"), F.col("a").alias("fam"), "na", F.col("o").alias("inside"), "apart"
+    ))
+    links = family.filter((F.col("node") != F.col("fam")) & _similar(F.col("inside"), F.col("na"), F.col("n"), percent))
+    labels = small(_merged(labels, durable(links.select(F.col("fam").alias("a"), F.col("node").alias("b")))))
 
     # pairs of different components
     family = family.filter(F.col("inside") * 2 >= F.greatest("n", "na"))
-    open_ = open_.join(small(family.select("node", "fam")), "node", "left")
+    open_ = _several(_relabelled(open_.drop("comp"), labels)).join(small(family.select("node", "fam")), "node", "left")
     found = _family_pairs(_relabelled(family, labels).withColumn("comp", F.coalesce("comp", "node")), percent)
     pairs = durable(_candidates(open_, percent).unionByName(found).select(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny").distinct())
     items = _full_sets(docs, doc_id, text, size, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
