@@ -60,6 +60,25 @@ def test_limits_follow_groups(spark):
     assert [r.failed for r in got if r.doc_id == 4002] == [["base"]]
 
 
+def test_small_odd_source_under_a_hot_one(spark):
+    """Own quantiles count at every size: a source of symbol-rich texts keeps them, be it small or large."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    text = lambda odd: " ".join(word() + ("#" if odd and k % 2 else "") for k in range(120))
+    for n in (40, 150, 199, 200, 260):
+        rows = [(k, text(False), "en", "hot") for k in range(900)] + [(1000 + k, text(True), "en", "code") for k in range(n)]
+        rows += [(5000 + k, text(True), "en", "hot") for k in range(5)]
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        kept = {r.doc_id for r in quality_verdicts(d).filter("kept").collect()}
+        assert kept == {r[0] for r in rows if r[0] < 5000}, n
+
+
+def test_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "word " * 10, "a", "b", 1, 2, 3, 4, 5)], "doc_id long, text string, lang string, source string, _lang int, _source int, symbols_high int, b int, d int")
+    (row,) = quality_verdicts(d).collect()
+    assert (row["_lang"], row["_source"], row["symbols_high"], row["b"], row["d"], row["kept"]) == (1, 2, 3, 4, 5, False)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality_verdicts(d).collect() == []

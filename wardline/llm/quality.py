@@ -4,6 +4,9 @@ Text statistics are whole numbers.  Their distribution in a (language, source) g
 sketch: counts of values rounded down to seven significant binary digits.  Sketches of groups
 add up to those of languages and of everything, exactly and in any order.  Limits come from the
 quantiles of the sketch, and the documents are joined with the limits of their group.
+
+Small groups say little about their quantiles, so those of a group are averaged with those of its language, and these with
+those of everything: n documents weigh against PRIOR ones of the wider group.  This holds alike for groups of all sizes.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from .storage import small
 
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = r"[#*$%&|<>]"
-#: Below so many documents a group goes by its language, and a language by the whole.
-LEAST_GROUP = 200
+#: Documents that the quantiles of the wider group count for.
+PRIOR = 10
 #: The quantiles that describe a group.
 SHARES = (0.25, 0.5, 0.75)
 #: A document may lie this many times as far beyond the outer quantile as that is from the median.
@@ -83,9 +86,9 @@ def rounded(x: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", x, drop), drop)
 
 
-def _metric(rule: str) -> Column:
+def _metric(rule: str, of: str = "") -> Column:
     over, under, scale, _, _ = RULES[rule]
-    return F.floor(F.col(over) * scale / F.greatest(F.col(under), F.lit(1))).cast("long")
+    return F.floor(F.col(of + over) * scale / F.greatest(F.col(of + under), F.lit(1))).cast("long")
 
 
 def sketches(stats: DataFrame, lang: str, source: str) -> DataFrame:
@@ -114,8 +117,10 @@ def limits(sketch: DataFrame) -> DataFrame:
     by_lang = quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("rule").alias("r"), *[F.col(c).alias(f"l_{c}") for c in ("total", "q0", "q1", "q2")])
     whole = quantiles(sketch, []).select(F.col("rule").alias("w"), *[F.col(c).alias(f"w_{c}") for c in ("q0", "q1", "q2")])
     rows = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("r"))).join(F.broadcast(whole), F.col("rule") == F.col("w"))
-    pick = lambda q: F.when(F.col("total") >= LEAST_GROUP, F.col(q)).when(F.col("l_total") >= LEAST_GROUP, F.col(f"l_{q}")).otherwise(F.col(f"w_{q}"))
-    rows = rows.select("lang", "source", "rule", *[pick(q).alias(q) for q in ("q0", "q1", "q2")])
+    for wide, n, narrow in (("w_", "l_total", "l_"), ("l_", "total", "")):
+        mixed = {f"{narrow}{q}": F.expr(f"({n} * {narrow}{q} + {PRIOR} * {wide}{q}) div ({n} + {PRIOR})") for q in ("q0", "q1", "q2")}
+        rows = rows.withColumns(mixed)
+    rows = rows.select("lang", "source", "rule", "q0", "q1", "q2")
     out = []
     for rule, (_, _, _, sides, step) in RULES.items():
         mine = F.col("rule") == rule
@@ -139,13 +144,14 @@ def quality_verdicts(docs: DataFrame, text: str = "text", lang: str = "lang", so
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in taken or c in (text, lang, source)])
     stats = durable(text_statistics(docs, text).withColumn("base_failed", base_failed()))
     sketch = durable(sketches(stats.filter("not base_failed"), lang, source))
-    bounds = small(durable(limits(sketch)), 100_000).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    same = F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source"))
+    bounds = small(durable(limits(sketch)), 100_000)
+    bounds = bounds.select(F.struct(*bounds.columns).alias("b"))
+    rows = stats.select(F.struct(*[F.col(f"`{c}`") for c in stats.columns]).alias("d"))
+    same = F.col(f"d.`{lang}`").eqNullSafe(F.col("b.lang")) & F.col(f"d.`{source}`").eqNullSafe(F.col("b.source"))
     broken = []
     for rule, (_, _, _, sides, _) in RULES.items():
-        low = _metric(rule) < F.col(f"{rule}_low") if "low" in sides else F.lit(False)
-        high = _metric(rule) > F.col(f"{rule}_high") if "high" in sides else F.lit(False)
+        low = _metric(rule, "d.") < F.col(f"b.{rule}_low") if "low" in sides else F.lit(False)
+        high = _metric(rule, "d.") > F.col(f"b.{rule}_high") if "high" in sides else F.lit(False)
         broken.append(F.when(low | high, F.lit(rule)))
-    failed = F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(F.array_compact(F.array(*broken)))
-    columns = [f"`{c}`" for c in stats.columns]
-    return stats.join(bounds, same, "left").select(*columns, failed.alias("failed")).withColumn("kept", F.size("failed") == 0)
+    failed = F.when(F.col("d.base_failed"), F.array(F.lit("base"))).otherwise(F.array_compact(F.array(*broken)))
+    return rows.join(bounds, same, "left").select("d.*", failed.alias("failed")).withColumn("kept", F.size("failed") == 0)

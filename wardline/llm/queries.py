@@ -162,10 +162,12 @@ langs AS (SELECT lang, rule, MAX(n_lang) AS n, MIN(r) FILTER (k_lang >= ceil(n_l
   MIN(r) FILTER (k_lang >= ceil(n_lang * 0.75)) AS c FROM ranked GROUP BY ALL),
 everything AS (SELECT rule, MIN(r) FILTER (k_all >= ceil(n_all * 0.25)) AS a, MIN(r) FILTER (k_all >= ceil(n_all * 0.5)) AS b,
   MIN(r) FILTER (k_all >= ceil(n_all * 0.75)) AS c FROM ranked GROUP BY ALL),
+mixed AS (
+  SELECT l.lang, l.rule, (l.n * l.a + 10 * e.a) // (l.n + 10) AS a, (l.n * l.b + 10 * e.b) // (l.n + 10) AS b, (l.n * l.c + 10 * e.c) // (l.n + 10) AS c
+  FROM langs l JOIN everything e USING (rule)),
 chosen AS (
-  SELECT o.lang, o.source, o.rule, CASE WHEN o.n >= 200 THEN o.a WHEN l.n >= 200 THEN l.a ELSE e.a END AS a,
-    CASE WHEN o.n >= 200 THEN o.b WHEN l.n >= 200 THEN l.b ELSE e.b END AS b, CASE WHEN o.n >= 200 THEN o.c WHEN l.n >= 200 THEN l.c ELSE e.c END AS c
-  FROM own o JOIN langs l USING (lang, rule) JOIN everything e USING (rule)),
+  SELECT o.lang, o.source, o.rule, (o.n * o.a + 10 * m.a) // (o.n + 10) AS a, (o.n * o.b + 10 * m.b) // (o.n + 10) AS b, (o.n * o.c + 10 * m.c) // (o.n + 10) AS c
+  FROM own o JOIN mixed m USING (lang, rule)),
 broken AS (
   SELECT doc_id, BOOL_OR(v > greatest(c + (c - b) * 6, b + CASE rule WHEN 'symbols' THEN 40 WHEN 'capitals' THEN 200 WHEN 'lines' THEN 50 WHEN 'repeats' THEN 450 ELSE 150 END)
     OR (rule = 'length' AND v < least(a - (b - a) * 6, b - 150))) AS bad
