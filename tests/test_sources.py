@@ -74,3 +74,24 @@ def test_microseconds_survive(spark, tmp_path):
     write_csv(times, str(tmp_path / "t"))
     back = read_csv_table(spark, str(tmp_path / "t"), "a timestamp_ntz, b timestamp")
     assert back.collect() == times.collect()
+
+
+def test_own_names_and_split_files(spark, tmp_path):
+    """Names of tables and columns are mapped; without quoted line breaks a large file is read by several tasks."""
+    lines = ["who,what", *[f"{k},text {k}" for k in range(200_000)]]
+    (tmp_path / "their_table.csv").write_text("\n".join(lines))
+    (tmp_path / "notes.csv").write_text('id,note\n1,"two\nlines"\n')
+    schemas = {"people": "id long, name string", "notes": "id long, note string"}
+    options = {"tables": {"their_table": "people"}, "columns": {"people": {"who": "id", "what": "name"}}, "views": False}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        split = load_csv_dir(spark, str(tmp_path), schemas, quoted_line_breaks={"notes"}, **options)
+        whole = load_csv_dir(spark, str(tmp_path), schemas, **options)
+        assert split["people"].rdd.getNumPartitions() > 1 == whole["people"].rdd.getNumPartitions()
+        assert [tuple(r) for r in split["notes"].collect()] == [(1, "two\nlines")]
+        for frame in (split["people"], whole["people"]):
+            assert frame.columns == ["id", "name"] and frame.count() == 200_000
+            assert frame.filter("name = concat('text ', id)").count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

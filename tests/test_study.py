@@ -36,10 +36,10 @@ def test_panel_from_csv_equals_panel_from_tables(spark, tmp_path):
     tables = derived.event_tables(spark, str(FOLDER))
     tables["inputs"] = tables["inputs"].withColumn("ordercategoryname", F.lit("x"))
     stays = derived.stays(spark, str(FOLDER))
-    for name, table in {**tables, "cirrhosis": stays}.items():
+    for name, table in {**tables, "cohort_stays": stays}.items():
         write_csv(table, str(tmp_path / f"{name}.csv"))
     loaded = load_csv_dir(spark, str(tmp_path), SCHEMAS, views=False)
-    assert set(loaded) == {*tables, "cirrhosis"}
+    assert set(loaded) == {*tables, "cohort_stays"}
 
     def rows(panel):
         return sorted((tuple(r) for r in panel.collect()), key=str)
@@ -47,7 +47,7 @@ def test_panel_from_csv_equals_panel_from_tables(spark, tmp_path):
     direct = daily_panel(tables, stays)
     assert len(direct.columns) == 2 + 2 * 33 + 6 + 7 + 3
     a = rows(direct)
-    b = rows(daily_panel(loaded, loaded["cirrhosis"]).select(direct.columns))
+    b = rows(daily_panel(loaded, loaded["cohort_stays"]).select(direct.columns))
     assert len(a) == len(b) > 0
     for x, y in zip(a, b, strict=True):
         assert x == pytest.approx(y, nan_ok=True)

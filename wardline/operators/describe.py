@@ -23,7 +23,7 @@ ANALYSIS_VARS = """
     aptt_max creatinine_max bun_max heartrate_max sbp_min mbp_min dbp_min be_min bicarbonate_min
     lactate_max spo2_min pao2_min paco2_max pf_min ph_min resp_rate_max uri_total fb vaso_ne
     vaso_use rrt vent septicshock positive_culture time event hosp_mor los_hospital los_icu
-    albumin_tr
+    albu_tr
 """.split()
 
 

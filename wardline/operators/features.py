@@ -102,7 +102,7 @@ FEATURES: list[FeatureSpec] = [
     ),
     *_labs(
         "chemistry",
-        glu="glucose", cl="chloride", sodium="sodium", albu="albumin", creatinine="creatinine",
+        glu="glucose", cl="chloride", sodium="sodium", albu="albu", creatinine="creatinine",
         bun="bun", bicarbonate="bicarbonate",
     ),
     *_labs("enzyme", alt="alt", ast="ast", bilirubin_total="bilirubin_total"),

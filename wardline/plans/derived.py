@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
+# Table and column names.
 LAB_COLUMNS = {
     "complete_blood_count": ["wbc", "rdw", "hematocrit", "hemoglobin", "platelet"],
     "vital": ["temperature", "heart_rate", "sbp", "mbp", "dbp", "spo2", "resp_rate"],
     "chemistry": [
-        "glucose", "chloride", "sodium", "albumin", "creatinine", "bun", "bicarbonate",
+        "glucose", "chloride", "sodium", "albu", "creatinine", "bun", "bicarbonate",
     ],
     "enzyme": ["alt", "ast", "bilirubin_total"],
     "gcs": ["gcs"],
     "coagulation": ["inr", "ptt"],
     "bg": ["baseexcess", "lactate", "po2", "pco2", "pao2fio2ratio", "ph"],
 }
-FACTORS = {"albumin": 0.08, "lactate": 0.05}
+FACTORS = {"albu": 0.08, "lactate": 0.05}
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -169,6 +170,7 @@ def diagnoses(spark: SparkSession, folder: str) -> DataFrame:
 
 DIAGNOSES_SQL = f"diagnoses_icd AS (SELECT {', '.join(DIAGNOSES)} FROM lineitem)"
 
+# Column names.
 STAY_DETAIL = [
     "o_custkey AS subject_id",
     "o_orderkey AS hadm_id",
@@ -186,6 +188,7 @@ STAY_DETAIL = [
     "CAST(3 AS DOUBLE) AS los_icu",
     "CAST(1 + o_orderkey % 3 AS INT) AS icustay_seq",
 ]
+# Column names.
 SEPSIS = [
     "o_orderkey * 5 AS stay_id",
     "o_orderdate AS antibiotic_time",

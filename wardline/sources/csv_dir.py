@@ -7,7 +7,7 @@ between blank (an empty string) and ``NA`` (missing).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +22,8 @@ def table_name(file_name: str) -> str:
     return file_name.split(".")[0].replace(" ", "")
 
 
-def _typed(field: T.StructField) -> Column:
-    text = F.col(f"`{field.name}`")
+def _typed(field: T.StructField, column: str) -> Column:
+    text = F.col(f"`{column}`")
     kind = field.dataType
     if isinstance(kind, T.StringType):
         value = F.nullif(F.coalesce(text, F.lit("")), F.lit(MISSING))
@@ -36,20 +36,26 @@ def _typed(field: T.StructField) -> Column:
 
 
 def read_csv_table(
-    spark: SparkSession, path: str | list[str], schema: str | T.StructType
+    spark: SparkSession,
+    path: str | list[str],
+    schema: str | T.StructType,
+    columns: Mapping[str, str] | None = None,
+    quoted_line_breaks: bool = True,
 ) -> DataFrame:
     """One CSV table (a file, a directory of parts or a list of files), typed by ``schema``.
 
-    Quoted fields may hold line breaks.  Parts whose header differs from the first one's raise an error.
+    ``columns`` maps names in the files to those of the schema.  With ``quoted_line_breaks`` quoted fields may hold line
+    breaks, and a file is read by one task; without, large files are split among tasks.  Parts whose header differs from the first one's raise an error.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    options = {"header": True, "escape": '"', "multiLine": True, "enforceSchema": False}
+    options = {"header": True, "escape": '"', "multiLine": quoted_line_breaks, "enforceSchema": False}
     text = spark.read.options(**options).csv(path)
-    lacking = [f.name for f in schema if f.name not in text.columns]
+    named = {own: name for name, own in (columns or {}).items()}
+    lacking = [named.get(f.name, f.name) for f in schema if named.get(f.name, f.name) not in text.columns]
     if lacking:
         raise ValueError(f"{path}: columns not found: {', '.join(lacking)}")
-    return text.select(*[_typed(f) for f in schema])
+    return text.select(*[_typed(f, named.get(f.name, f.name)) for f in schema])
 
 
 def csv_files(spark: SparkSession, path: str) -> dict[str, list[str]]:
@@ -76,14 +82,23 @@ def load_csv_dir(
     path: str,
     schemas: Mapping[str, str | T.StructType],
     views: bool = True,
+    tables: Mapping[str, str] | None = None,
+    columns: Mapping[str, Mapping[str, str]] | None = None,
+    quoted_line_breaks: Collection[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Load every ``*.csv`` table under ``path`` that has a schema, as frames and views."""
-    tables = {
-        name: read_csv_table(spark, files, schemas[name])
-        for name, files in csv_files(spark, path).items()
-        if name in schemas
-    }
+    """Load every ``*.csv`` table under ``path`` that has a schema, as frames and views.
+
+    ``tables`` maps the files' table names to those of ``schemas``, and ``columns`` the files' column names of a table to its
+    own.  ``quoted_line_breaks`` names the tables whose text may hold line breaks; the files of all others are
+    split among tasks.  None stands for all tables.
+    """
+    loaded = {}
+    for found, files in csv_files(spark, path).items():
+        name = (tables or {}).get(found, found)
+        if name in schemas:
+            breaks = quoted_line_breaks is None or name in quoted_line_breaks
+            loaded[name] = read_csv_table(spark, files, schemas[name], (columns or {}).get(name), breaks)
     if views:
-        for name, df in tables.items():
+        for name, df in loaded.items():
             df.createOrReplaceTempView(name)
-    return tables
+    return loaded

@@ -31,7 +31,7 @@ SCHEMAS: dict[str, str] = {
         f"{_ints('sofa_score respiration coagulation liver cardiovascular cns renal')}"
     ),
     "diagnoses_icd": "subject_id long, hadm_id long, icd_version int, icd_code string",
-    "cirrhosis": (
+    "cohort_stays": (
         f"subject_id long, stay_id long, {_times('icu_intime')}, icustay_seq int, "
         f"{_doubles('los_hospital los_icu admission_age')}"
     ),
@@ -39,7 +39,7 @@ SCHEMAS: dict[str, str] = {
     "blood_diff": f"{_LAB}, {_doubles('lymphocytes_abs neutrophils lymphocytes')}",
     "vital": f"{_LAB}, {_doubles('temperature heart_rate sbp mbp dbp spo2 resp_rate')}",
     "chemistry": (
-        f"{_LAB}, {_doubles('glucose chloride sodium albumin creatinine bun bicarbonate')}"
+        f"{_LAB}, {_doubles('glucose chloride sodium albu creatinine bun bicarbonate')}"
     ),
     "enzyme": f"{_LAB}, {_doubles('alt ast bilirubin_total')}",
     "gcs": f"{_LAB}, {_doubles('gcs')}",
