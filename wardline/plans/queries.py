@@ -914,7 +914,7 @@ ONE_TERM_EXPOSURES = (
 
 def _rounded_effects(effects: DataFrame) -> DataFrame:
     numbers = ("coef", "se", "hr", "inv_hr", "lo95", "hi95")
-    return effects.withColumns({c: F.round(c, 5) for c in numbers}).drop("converged", "term")
+    return effects.withColumns({c: F.round(c, 5) for c in numbers}).drop("converged", "term", "status", "weight_status")
 
 
 @query(
