@@ -51,6 +51,37 @@ def test_layouts(spark):
     assert all(got[k] == (None, None) for k in (8, 9, 10, 11, 12, 13, 90, 91))
 
 
+def test_lists_of_mixed_elements(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "kept answer"}]},
+        {"conversations": [{"from": "human", "value": "a"}, {"role": "assistant", "content": "b"}, {"from": "gpt"}]},
+        {"messages": [{"role": "assistant", "call": {"x": 1}}, {"role": "user", "content": "c"}]},
+        {"messages": [{"role": "user", "content": "d", "from": "z"}, {"role": "assistant", "content": "e"}]},
+        {"messages": [{"role": "user", "content": "f"}, {"role": "user", "value": "unclear"}]},
+        {"messages": [{"role": "user", "content": "g"}, "loose"]},
+        {"messages": [{"role": "user", "content": "h"}, None]},
+        {"messages": [{"role": "user"}, {"role": "assistant"}]},
+        {"messages": "text"},
+        {"messages": [{"role": "user", "content": "i"}], "conversations": [{"from": "human", "value": "j"}]},
+    ]
+    d = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)], "id long, record string")
+    got = {r.id: (r.layout, None if r.turns is None else [tuple(t) for t in r.turns]) for r in canonical_turns(d, "record").collect()}
+    assert got[0] == ("messages", [("user", "a"), ("assistant", "kept answer")])
+    assert got[1] == ("from_value", [("user", "a"), ("assistant", "b"), ("assistant", "")])
+    assert got[2] == ("messages", [("assistant", ""), ("user", "c")])
+    assert got[3] == ("messages", [("user", "d"), ("assistant", "e")])
+    assert all(got[k] == (None, None) for k in range(4, 10))
+
+
+def test_clashing_columns_stay(spark):
+    turns = spark.createDataFrame([(1, "own", 7, [("user", "a")])], "id long, _pieces string, formatted int, turns array<struct<role:string,text:string>>")
+    row = format_turns(turns).collect()[0]
+    assert (row.id, row._pieces, row.formatted) == (1, "own", "<|im_start|>user\na<|im_end|>\n")
+    d = spark.createDataFrame([('{"prompt": "p", "response": "r"}', "x", "y")], "record string, print string, of_messages string")
+    row = canonical_turns(d, "record").collect()[0]
+    assert (row.print, row.of_messages, row.layout) == ("x", "y", "prompt_response")
+
+
 def test_round_trip_of_turn_rows(spark):
     rng = random.Random(9)
     rows = []

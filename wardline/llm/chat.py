@@ -30,15 +30,28 @@ class Layout:
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
     optional: tuple[str, ...] = ()
 
-    def paths(self) -> list[frozenset[str]]:
-        """All sets of field paths that a record of this layout can have."""
-        needed = [f for _, fields in self.parts for f in fields if f not in self.optional]
+    def paths(self, layouts: tuple[Layout, ...]) -> list[frozenset[str]]:
+        """All sets of field paths that a record of this layout can have.
+
+        A list's elements may be laid out as in any list of ``layouts``, each in its own way, and some may lack a text.
+        """
         if self.list_field:
-            needed += [f"{self.list_field}[].{self.role}", f"{self.list_field}[].{self.text}"]
-        found = [frozenset(needed)]
-        for extra in self.optional:
-            found += [x | {extra} for x in found]
-        return found
+            whole = [f"{self.list_field}[].{x.element()}" for x in layouts if x.list_field]
+            bare = [f"{self.list_field}[].{x.role}" for x in layouts if x.list_field]
+            return [frozenset(x + y) for x in _subsets(whole) if x for y in _subsets(bare)]
+        needed = [f for _, fields in self.parts for f in fields if f not in self.optional]
+        return [frozenset(needed + extra) for extra in _subsets(list(self.optional))]
+
+    def element(self) -> str:
+        """The fields of an element, as they stand in a path."""
+        return f"{{{self.role},{self.text}}}"
+
+
+def _subsets(items: list[str]) -> list[list[str]]:
+    found: list[list[str]] = [[]]
+    for item in items:
+        found += [[*x, item] for x in found]
+    return found
 
 
 LAYOUTS = (
@@ -67,25 +80,45 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?<=<)\\(?={_AFTER_ANGLE})|(?<=\[)\\(?={_AFTER_BRACKET})", "")
 
 
-def _fields(layouts: tuple[Layout, ...]) -> tuple[list[str], dict[str, tuple[str, str]]]:
+def _fields(layouts: tuple[Layout, ...]) -> tuple[list[str], list[Layout]]:
     flat = sorted({f for x in layouts for _, fields in x.parts for f in fields})
-    return flat, {x.list_field: (x.role, x.text) for x in layouts if x.list_field}
+    return flat, [x for x in layouts if x.list_field]
+
+
+def element_layouts(record: Column, own: Layout, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """For every element of a record's list: the fields it was recognised by, ``?`` if by none.
+
+    An element with a role and a text as the list's own layout has them is read so, else as another list's layout
+    has them; one with a role and no known text is a turn with an empty text.
+    """
+    ordered = [own, *[x for x in layouts if x.list_field and x != own]]
+    texts = F.array(*[F.lit(x.text) for x in ordered])
+
+    def recognised(element):
+        keys = F.json_object_keys(element)
+        found = F.lit("?")
+        for x in reversed(ordered):
+            found = F.when(F.array_contains(keys, x.role) & ~F.arrays_overlap(keys, texts), x.role).otherwise(found)
+        for x in reversed(ordered):
+            found = F.when(F.array_contains(keys, x.role) & F.array_contains(keys, x.text), x.element()).otherwise(found)
+        return found
+
+    return F.transform(F.from_json(F.get_json_object(record, f"$.{own.list_field}"), "array<string>"), recognised)
 
 
 def _below(name: str):
-    return lambda key: F.concat(F.lit(f"{name}[]."), key)
+    return lambda fields: F.concat(F.lit(f"{name}[]."), fields)
 
 
 def field_paths(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Sorted nested field paths of a JSON object, as far as some layout knows them."""
+    """Sorted nested field paths of a JSON object, those of all elements of its lists included, as far as some layout knows them."""
     flat, lists = _fields(layouts)
-    known = sorted(set(flat) | {f"{a}[].{b}" for a, fields in lists.items() for b in fields})
-    paths = [F.coalesce(F.json_object_keys(record), F.array())]
-    for name in lists:
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-        inner = F.transform(keys, _below(name))
+    keys = F.coalesce(F.json_object_keys(record), F.array())
+    paths = [F.array_intersect(keys, F.array(*[F.lit(f) for f in flat]))]
+    for x in lists:
+        inner = F.transform(F.array_distinct(element_layouts(record, x, layouts)), _below(x.list_field))
         paths.append(F.coalesce(inner, F.array()))
-    return F.array_sort(F.array_intersect(F.concat(*paths), F.array(*[F.lit(k) for k in known])))
+    return F.array_sort(F.concat(*paths))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -96,16 +129,18 @@ def canonical_turns(records: DataFrame, record: str, layouts: tuple[Layout, ...]
     """Adds ``layout`` and ``turns``, an array of (role, text), to JSON records.
 
     Known paths decide; other fields of a record are passed over.  Records that are null, no JSON object, or of no
-    declared layout, or empty lists of turns, have a null layout and null turns; they stay in the result.  A null
+    declared layout, or empty lists of turns, have a null layout and null turns; they stay in the result.  Elements of
+    one list may be laid out in different ways, each is read in its own; with an element that no layout
+    reads, the whole record has a null layout, so no turn is lost unseen.  A null or missing
     text in a list is an empty text; a null or missing field of a part gives no turn.  Columns named
     ``layout`` and ``turns`` are replaced.
     """
     flat, lists = _fields(layouts)
-    kinds = [f"`{f}` string" for f in flat]
-    kinds += [f"`{a}` array<struct<`{r}` string,`{t}` string>>" for a, (r, t) in lists.items()]
+    inner = ",".join(f"`{f}` string" for f in sorted({f for x in lists for f in (x.role, x.text)}))
+    kinds = [f"`{f}` string" for f in flat] + [f"`{x.list_field}` array<struct<{inner}>>" for x in lists]
     spark = records.sparkSession
     # the fingerprints of the declared layouts, computed by the same function
-    declared = [(x.name, "\n".join(sorted(paths))) for x in layouts for paths in x.paths()]
+    declared = [(x.name, "\n".join(sorted(paths))) for x in layouts for paths in x.paths(layouts)]
     prints = spark.range(1).select(*[F.xxhash64(F.lit(p)) for _, p in declared]).first()
     by_name: dict[str, list[int]] = {}
     for (name, _), f in zip(declared, prints, strict=True):
@@ -114,23 +149,29 @@ def canonical_turns(records: DataFrame, record: str, layouts: tuple[Layout, ...]
         F.struct(*[F.col(f"`{c}`") for c in records.columns if c not in ("layout", "turns")]).alias("row"),
         fingerprint(field_paths(F.col(record), layouts)).alias("print"),
         F.from_json(F.col(record), ", ".join(kinds)).alias("r"),
+        *[element_layouts(F.col(record), x, layouts).alias(f"of_{x.name}") for x in lists],
     )
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for x in layouts:
         mine = F.col("print").isin(by_name[x.name])
         layout = F.when(mine, x.name).otherwise(layout)
-        turns = F.when(mine, _turns(x)).otherwise(turns)
-    return rows.select("row.*", layout.alias("layout"), turns.alias("turns"))
+        turns = F.when(mine, _turns(x, lists)).otherwise(turns)
+    return rows.select("row", layout.alias("layout"), turns.alias("turns")).select("row.*", "layout", "turns")
 
 
-def _turns(x: Layout) -> Column:
+def _turns(x: Layout, lists: list[Layout]) -> Column:
     if x.list_field:
 
-        def turn(m):
-            role = m[x.role]
-            for old, new in x.roles.items():
-                role = F.when(m[x.role] == old, new).otherwise(role)
-            return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(m[x.text], F.lit("")).alias("text"))
+        def turn(m, i):
+            fields = F.get(F.col(f"of_{x.name}"), i)
+            role, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+            for y in lists:
+                named = m[y.role]
+                for old, new in y.roles.items():
+                    named = F.when(m[y.role] == old, new).otherwise(named)
+                role = F.when(fields.isin(y.role, y.element()), named).otherwise(role)
+                text = F.when(fields == y.element(), m[y.text]).otherwise(text)
+            return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
         return F.transform(F.col(f"r.{x.list_field}"), turn)
     parts = []
@@ -148,6 +189,9 @@ def format_turns(df: DataFrame, turns: str = "turns", learned: tuple[str, ...] =
     ``<|im_end|>`` and a line end.  The spans cover the texts of the roles in ``learned``.  Null turns give nulls;
     no turns give an empty text.  Columns of the two names are replaced.
     """
+    work = "_pieces"
+    while work in {c.lower() for c in df.columns}:
+        work += "_"
     role = lambda t: F.url_encode(F.coalesce(t["role"], F.lit("")))
     head = lambda t: F.concat(F.lit(START), role(t), F.lit("\n"))
     pieces = F.transform(
@@ -159,11 +203,11 @@ def format_turns(df: DataFrame, turns: str = "turns", learned: tuple[str, ...] =
         ),
     )
     tail = F.lit(END + "\n")
-    df = df.withColumn("_pieces", pieces)
-    formatted = F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["text"], tail)), "")
+    df = df.withColumn(work, pieces)
+    formatted = F.array_join(F.transform(work, lambda p: F.concat(p["head"], p["text"], tail)), "")
     size = lambda c: F.octet_length(c).cast("long")
     spans = F.aggregate(
-        "_pieces",
+        work,
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,n:bigint>>").alias("spans")),
         lambda a, p: F.struct(
             (a["at"] + size(p["head"]) + size(p["text"]) + len(END) + 1).alias("at"),
@@ -173,7 +217,7 @@ def format_turns(df: DataFrame, turns: str = "turns", learned: tuple[str, ...] =
             ).otherwise(a["spans"]).alias("spans"),
         ),
     )["spans"]
-    return df.withColumns({"formatted": formatted, "loss_spans": spans}).drop("_pieces")
+    return df.withColumns({"formatted": formatted, "loss_spans": spans}).drop(work)
 
 
 def read_turns(formatted: Column) -> Column:
