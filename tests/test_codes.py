@@ -1,7 +1,8 @@
 from conftest import IN_TIME
+from pyspark.sql import functions as F
 
 from wardline.operators import codes
-from wardline.operators.codebook import CATEGORIES, code_rows, default_codebook
+from wardline.operators.codebook import CATEGORIES, code_rows, default_codebook, split_literals
 from wardline.operators.codes import attach_flags, code_flags, site_class
 from wardline.operators.cohort import select_cohort, sepsis_cohort
 
@@ -42,6 +43,26 @@ def test_extra_codes(spark):
     assert got[1]["lung_infection"] == 1
 
 
+def test_literals_that_run_together(spark):
+    rows = [("Genitourinary_infection", 10, "N390”,”N410"), ("Genitourinary_infection", 10, "N410"), ("soft_tissue_infection", 10, "M86149,M86249"),
+            ("soft_tissue_infection", 9, "015"), ("soft_tissue_infection", 9, ""), ("soft_tissue_infection", 9, None), ("soft_tissue_infection", 9, "015”,”015")]
+    literals = spark.createDataFrame(rows, "category string, icd_version int, literal string").withColumn("as_written", F.lit("own"))
+    assert {tuple(r) for r in split_literals(literals).collect()} == {
+        ("Genitourinary_infection", 10, "N390", False), ("Genitourinary_infection", 10, "N410", True),
+        ("soft_tissue_infection", 10, "M86149", False), ("soft_tissue_infection", 10, "M86249", False),
+        ("soft_tissue_infection", 9, "015", True),
+    }
+    book = default_codebook(spark, literals=literals)
+    diagnoses = spark.createDataFrame(
+        [(1, 1, 10, "N390"), (2, 2, 10, "N410"), (3, 3, 10, "M86249"), (4, 4, 10, "J189"), (5, 5, 9, "N390")],
+        "subject_id long, hadm_id long, icd_version int, icd_code string",
+    )
+    for repaired, expected in ((False, {2, 4}), (True, {1, 2, 3, 4})):
+        got = code_flags(diagnoses, book, repaired=repaired).collect()
+        assert len(got) == 5 and {r["hadm_id"] for r in got if any(r[c] for c in CATEGORIES)} == expected
+    assert split_literals(literals.limit(0)).collect() == []
+
+
 def test_a_large_codebook_is_joined_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(codes, "is_small", lambda df: False)
     rows = [(1, 1, 10, "J189"), (1, 1, 9, "038"), (2, 2, 9, "J189"), (5, 5, 10, "M86642"), (7, 7, 10, None)]

@@ -164,17 +164,21 @@ def test_null_model_gives_nelson_aalen(panel):
     assert set(got) == set(df.loc[df["event"] == 1, "stop"])
 
 
-def test_tie_sums_in_chunks(monkeypatch):
-    from wardline.operators import cox
-
-    args = np.array([50.0, 9.0, 4.0]), np.array([7.0, 8.5, 1.0]), np.array([23, 4, 1])
-    whole = tie_sums(*args)
-    monkeypatch.setattr(cox, "TIE_CHUNK", 5)
-    parts = tie_sums(*args)
-    expected = [sum(1 / (s - k / d * t) for k in range(d)) for s, t, d in zip(*args, strict=True)]
-    np.testing.assert_allclose(whole.a0, expected, rtol=1e-13)
-    for name in ("log", "a0", "a1", "b0", "b1", "b2"):
-        np.testing.assert_allclose(getattr(parts, name), getattr(whole, name), rtol=1e-13)
+def test_tie_sums_equal_step_by_step_sums():
+    rng = np.random.default_rng(3)
+    d = np.array([0, 1, 2, 5, 63, 64, 65, 66, 100, 129, 1000, 50_000, 300_000])
+    for share in (0.0, 1e-12, 1e-3, 0.5, 1 - 1e-9, 1.0):
+        s0 = np.exp(rng.uniform(-40, 40, len(d)))
+        t0 = share * s0
+        got = tie_sums(s0, t0, d)
+        for i, n in enumerate(d):
+            f = np.arange(n) / max(n, 1)
+            s = s0[i] - f * t0[i]
+            expected = [np.log(s), 1 / s, f / s, 1 / s**2, f / s**2, f * f / s**2]
+            for found, terms in zip((got.log, got.a0, got.a1, got.b0, got.b1, got.b2), expected, strict=True):
+                size = np.abs(terms).sum()
+                assert abs(found[i] - terms.sum()) <= 1e-12 * size, (share, n)
+    assert len(tie_sums(np.zeros(0), np.zeros(0), np.zeros(0, int)).log) == 0
 
 
 def test_shift_order_and_partitions_do_not_matter(panel):

@@ -18,18 +18,22 @@ def code_flags(
     codebook: DataFrame | None = None,
     categories: Sequence[str] = tuple(CATEGORIES),
     keys: Sequence[str] = ("subject_id", "hadm_id"),
+    repaired: bool = False,
 ) -> DataFrame:
     """0/1 flag per category for every admission that has a diagnosis row.
 
     Each code looks up one integer whose bits are its categories; admissions
     combine them with a bitwise OR, so the shuffle carries one integer per
     admission and task.  A codebook too large to be broadcast is joined by a shuffle.
+    Codes that a codebook marks as not ``as_written`` count only if ``repaired``.
     """
     if codebook is None:
         codebook = default_codebook(diagnoses.sparkSession)
         broadcast = True
     else:
         broadcast = is_small(codebook)
+    if not repaired and "as_written" in codebook.columns:
+        codebook = codebook.filter("as_written")
     bits = F.create_map(*[F.lit(x) for i, c in enumerate(categories) for x in (c, 1 << i)])
     masks = (
         codebook.filter(F.col("category").isin(list(categories)))

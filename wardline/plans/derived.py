@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.codebook import CATEGORIES
+
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
 # Table and column names.
@@ -170,6 +172,26 @@ def diagnoses(spark: SparkSession, folder: str) -> DataFrame:
 
 DIAGNOSES_SQL = f"diagnoses_icd AS (SELECT {', '.join(DIAGNOSES)} FROM lineitem)"
 
+_CODE_9 = "lpad(CAST(p_partkey * {0} % 1000 AS VARCHAR(20)), 3, '0')"
+_CODE_10 = "concat(substr('ABGIJKLM', CAST(1 + p_partkey * {0} % 8 AS INT), 1), lpad(CAST(p_partkey * {0} % 1000 AS VARCHAR(20)), 3, '0'))"
+_CODES = "CASE WHEN p_partkey % 2 = 0 THEN " + _CODE_9 + " ELSE " + _CODE_10 + " END"
+# Literals of a query text; in two of three, codes run together.
+LITERALS = [
+    "CASE CAST(p_partkey % 11 AS INT) "
+    + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES))
+    + " END AS category",
+    "CAST(9 + p_partkey % 2 AS INT) AS icd_version",
+    f"CASE WHEN p_partkey % 3 = 0 THEN {_CODES.format(1)} "
+    f"ELSE concat({_CODES.format(1)}, '”,”', {_CODES.format(3)}, ',', {_CODES.format(7)}) END AS literal",
+]
+
+
+def literals(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "part").selectExpr(*LITERALS)
+
+
+LITERALS_SQL = f"literals AS (SELECT {', '.join(LITERALS)} FROM part)"
+
 # Column names.
 STAY_DETAIL = [
     "o_custkey AS subject_id",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import is_finite, meld_na, safe_ratio, strip_text, to_number
-from ..operators.codebook import CATEGORIES, code_rows, codebook_frame
+from ..operators.codebook import CATEGORIES, code_rows, codebook_frame, default_codebook, split_literals
 from ..operators.codes import attach_flags, code_flags, site_class
 from ..operators.cohort import cohort_keys, select_cohort, sepsis_cohort
 from ..operators.cox import RowModel, cox_fit, moment_pass, prepare_panel
@@ -507,23 +507,60 @@ def site_class_query(spark, folder):
     return site_class(flags_left_join(spark, folder)).select("c_custkey", "infectionsite")
 
 
-_FLAG_SQL = (
-    f"{dt.DIAGNOSES_SQL}, book(category, icd_version, icd_code) AS (VALUES "
+_BOOK_SQL = (
+    "book(category, icd_version, icd_code) AS (VALUES "
     + ", ".join(f"('{c}', {v}, '{code}')" for c, v, code in code_rows())
-    + "), infectionsite AS (SELECT subject_id, hadm_id, "
-    + ", ".join(
-        f"max(CASE WHEN category = '{c}' THEN 1 ELSE 0 END)::INT AS {c}" for c in CATEGORIES
-    )
-    + " FROM diagnoses_icd LEFT JOIN book USING (icd_version, icd_code)"
-    + " GROUP BY subject_id, hadm_id)"
+    + ")"
 )
 
 
+def _site_sql(book: str) -> str:
+    return (
+        "infectionsite AS (SELECT subject_id, hadm_id, "
+        + ", ".join(
+            f"max(CASE WHEN category = '{c}' THEN 1 ELSE 0 END)::INT AS {c}" for c in CATEGORIES
+        )
+        + f" FROM diagnoses_icd LEFT JOIN {book} USING (icd_version, icd_code)"
+        + " GROUP BY subject_id, hadm_id)"
+    )
+
+
+_FLAG_SQL = f"{dt.DIAGNOSES_SQL}, {_BOOK_SQL}, {_site_sql('book')}"
+_SPLIT_SQL = f"""{dt.LITERALS_SQL}, codes AS (
+    SELECT category, icd_version, icd_code, bool_or(alone) AS as_written
+    FROM (SELECT category, icd_version, regexp_full_match(literal, '[0-9A-Z]+') AS alone,
+            unnest(regexp_extract_all(literal, '[0-9A-Z]+')) AS icd_code FROM literals)
+    GROUP BY ALL)"""
+
+
+def _literal_sql(condition: str) -> str:
+    return f"""WITH {dt.DIAGNOSES_SQL}, {_BOOK_SQL}, {_SPLIT_SQL},
+    both_books AS (SELECT * FROM book UNION SELECT category, icd_version, icd_code FROM codes WHERE {condition}),
+    {_site_sql('both_books')} SELECT * FROM infectionsite"""
+
+
 @query("diagnosis_flags", f"WITH {_FLAG_SQL} SELECT * FROM infectionsite")
 def diagnosis_flags(spark, folder):
     return code_flags(dt.diagnoses(spark, folder))
 
 
+@query("codebook_literals", f"WITH {_SPLIT_SQL} SELECT * FROM codes")
+def codebook_literals(spark, folder):
+    """Codes of literals, and which of them match as written."""
+    return split_literals(dt.literals(spark, folder))
+
+
+@query("diagnosis_flags_literals", _literal_sql("as_written"))
+def diagnosis_flags_literals(spark, folder):
+    return code_flags(dt.diagnoses(spark, folder), default_codebook(spark, literals=dt.literals(spark, folder)))
+
+
+@query("diagnosis_flags_repaired", _literal_sql("true"))
+def diagnosis_flags_repaired(spark, folder):
+    book = default_codebook(spark, literals=dt.literals(spark, folder))
+    return code_flags(dt.diagnoses(spark, folder), book, repaired=True)
+
+
 @query(
     "sepsis_cohort",
     f"""WITH {dt.COHORT_TABLES_SQL}

@@ -55,10 +55,14 @@ STUDY_MODEL = EffectModel(
 
 
 def cohort_with_flags(
-    stays: DataFrame, sepsis: DataFrame, diagnoses: DataFrame, codebook: DataFrame | None = None
+    stays: DataFrame,
+    sepsis: DataFrame,
+    diagnoses: DataFrame,
+    codebook: DataFrame | None = None,
+    repaired: bool = False,
 ) -> DataFrame:
     """First septic stays with their infection flags: 26 + 11 columns."""
-    return attach_flags(sepsis_cohort(stays, sepsis), code_flags(diagnoses, codebook))
+    return attach_flags(sepsis_cohort(stays, sepsis), code_flags(diagnoses, codebook, repaired=repaired))
 
 
 def daily_panel(
