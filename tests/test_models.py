@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import riskset
-from wardline.operators.cox import RowModel, cox_fit, moment_pass, prepare_panel, tie_sums
+from wardline.operators.cox import RowModel, cox_fit, moment_pass, prepare_panel
 from wardline.operators.design import Category, Numeric, build_design, centre_scale, terms
 from wardline.operators.exposure import cumulative_product, first_exposure_rows
 from wardline.operators.ipw import Exposure, ipw_weights
-from wardline.operators.riskset import WeightModels, all_weights
+from wardline.operators.riskset import Jumps, WeightModels, all_weights
+from wardline.operators.steps import tie_sums
 from wardline.operators.sweep import (
     EffectModel,
     bind_rows,
@@ -235,11 +236,16 @@ def test_moments_do_not_depend_on_batches(spark, panel):
     ready = prepare_panel(sdf, "id", "start", "stop", TERMS, {"event": "event"})
     model = RowModel("m", (0, 1, 2, 3), "_s_event")
     beta, on = [np.full((1, 4), 0.1)], [np.array([True])]
-    (a,) = moment_pass(ready, [model], beta, on)
+
+    def sums():
+        table = moment_pass(ready, [model], beta, on).toPandas().sort_values("time")
+        return np.column_stack([table["time"], np.stack(table["sums"])])
+
+    a = sums()
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        (b,) = moment_pass(ready, [model], beta, on)
+        b = sums()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     np.testing.assert_allclose(a, b, rtol=1e-12)
@@ -282,8 +288,8 @@ def test_weights_beyond_the_range_of_numbers():
     exposed[-1] = 1
     frame = pd.DataFrame({"_id": 1, "_start": np.arange(n), "_stop": np.arange(1, n + 1), "_value": 0.0, "_x0": np.log(hazard), "_s": exposed, "_u": np.inf})
     block = riskset._block(frame, 1)
-    jumps = np.ones((1, n + 1))
-    part = WeightModels("w", "_s", "_u", (), (0,), np.zeros((1, 0)), np.ones((1, 1)), jumps * 0.5, jumps)
+    top, bottom = (Jumps(np.arange(1, n + 1), np.full(n, jump)) for jump in (0.5, 1.0))
+    part = WeightModels("w", "_s", "_u", (), (0,), np.zeros((1, 0)), np.ones((1, 1)), (top,), (bottom,))
     got = part.log_weights(block, np.array([0.0]))[:, 0]
     change = [math.log(-math.expm1(-0.5)) - (math.log(h) if h < 1e-30 else math.log(-math.expm1(-h))) for h in hazard]
     steps = [c if e else h - 0.5 for h, e, c in zip(hazard, exposed, change, strict=True)]
@@ -431,3 +437,106 @@ def test_design_and_scaling(spark):
     assert [r[0] for r in scaled] == [-1.0, 0.0, 1.0]
     grouped = centre_scale(df, {"x": 2}, by="k").collect()
     assert {(r["g"], r["x"]) for r in grouped} == {("f", -0.5), ("m", 0.5), (None, 0.0)}
+
+
+# --------------------------------------------------------------------------
+# sums over any number of times, stays of any length
+
+
+def test_nodes_cover_each_time_at_risk_once():
+    """Adding the nodes above a time gives the risk set there, whatever range the nodes were dealt to."""
+    rng = np.random.default_rng(2)
+    last = 3 * (1 << riskset.RANGE) + 77
+    start = rng.integers(0, last, 300)
+    stop = np.array([rng.integers(s + 1, last + 1) for s in start])
+    start[0], stop[0] = 0, last
+    frame = pd.DataFrame({"_id": np.arange(300), "_start": start, "_stop": stop, "_value": 0.0})
+    at_risk = riskset.risk_rows(riskset._block(frame, 0))
+    assert np.bincount(at_risk.row).max() <= 2 * 15
+    which, ranges = riskset.ranges_of(at_risk.node, last)
+    for number in range((last >> riskset.RANGE) + 1):
+        store = riskset.Store()
+        here = which[ranges == number]
+        store.add(at_risk.node[here], np.eye(300)[at_risk.row[here]])
+        store.merge()
+        times_ = np.arange(max(1, number << riskset.RANGE), min(last + 1, (number + 1) << riskset.RANGE))
+        got = riskset.at_times(times_, store.keys, store.sums)
+        assert (got == ((start < times_[:, None]) & (times_[:, None] <= stop))).all()
+
+
+def test_one_stay_of_any_length(spark):
+    """A stay of 300,000 rows spans many batches; coefficients and robust errors equal the ordered sums."""
+    n, rng = 300_000, np.random.default_rng(8)
+    hot = pd.DataFrame({"id": 0, "start": np.arange(n), "stop": np.arange(1, n + 1)})
+    k = 3_000  # other stays: one long row each, that crosses many times
+    first = rng.integers(0, n - 1, k)
+    others = pd.DataFrame({"id": np.arange(1, k + 1), "start": first, "stop": [rng.integers(a + 1, n + 1) for a in first]})
+    df = pd.concat([hot, others], ignore_index=True)
+    df["x"] = rng.normal(size=len(df))
+    df["event"] = (rng.random(len(df)) < np.where(df["id"] == 0, 0.002, 0.5)).astype(int)
+    df["w"] = rng.uniform(0.5, 2, len(df))
+    got = by_term(cox_fit(spark.createDataFrame(df), "id", "start", "stop", "event", terms("x"), weight="w"))["x"]
+
+    x, w = df["x"].to_numpy(), df["w"].to_numpy()
+    start, stop, event = times(df)
+    xc = x - x.mean()
+    at = np.unique(stop[event == 1])
+
+    def sums(values, beta):
+        """Over the risk sets of the event times, by sorted starts and ends."""
+        by = lambda edge: np.concatenate([[0.0], np.cumsum(values[np.argsort(edge, kind="stable")])])[
+            np.searchsorted(np.sort(edge), at, side="left")
+        ]
+        return by(start) - by(stop)
+
+    def tied(values):
+        return np.bincount(np.searchsorted(at, stop[event == 1]), values[event == 1], len(at))
+
+    d = tied(np.ones(len(df)))
+    mean_w = tied(w) / d
+
+    def efron(f, r):
+        s0, s1, s2 = (sums(r * xc**q, 0) for q in range(3))
+        t0, t1, t2 = (tied(r * xc**q) for q in range(3))
+        out = 0.0
+        for step in range(int(d.max())):
+            on, part = d > step, step / d
+            out = out + np.where(on, f(part, s0 - part * t0, s1 - part * t1, s2 - part * t2), 0.0)
+        return out
+
+    beta = 0.0
+    for _ in range(20):
+        r = w * np.exp(beta * xc)
+        grad = (w * xc)[event == 1].sum() - (mean_w * efron(lambda f, a, b, c: b / a, r)).sum()
+        info = (mean_w * efron(lambda f, a, b, c: c / a - (b / a) ** 2, r)).sum()
+        beta += grad / info
+    assert got["converged"] and got["coef"] == pytest.approx(beta, abs=1e-8)
+
+    r = w * np.exp(beta * xc)
+    mean = efron(lambda f, a, b, c: b / a, r) / d
+    part = lambda f: np.concatenate([[0.0], np.cumsum(f)])
+    hazard = mean_w * efron(lambda f, a, b, c: 1 / a, r)
+    drift = mean_w * efron(lambda f, a, b, c: b / a**2, r)
+    own_hazard = mean_w * efron(lambda f, a, b, c: (1 - f) / a, r)
+    own_drift = mean_w * efron(lambda f, a, b, c: (1 - f) * b / a**2, r)
+    low, high = np.searchsorted(at, start, side="right"), np.searchsorted(at, stop, side="right") - event
+    h, g = part(hazard)[high] - part(hazard)[low], part(drift)[high] - part(drift)[low]
+    own = np.minimum(high, len(at) - 1)
+    h, g = h + event * own_hazard[own], g + event * own_drift[own]
+    score = w * (event * (xc - mean[own]) - np.exp(beta * xc) * (xc * h - g))
+    meat = (np.bincount(df["id"], score) ** 2).sum()
+    assert got["se"] == pytest.approx(math.sqrt(meat) / info, rel=1e-7)
+
+
+def test_weights_of_a_stay_that_spans_batches(spark, panel):
+    """Running weights are handed on from batch to batch."""
+    _, sdf = panel
+    both = [exposure(), exposure("cens", "dropout")]
+    a = ipw_weights(sdf, "id", "start", "stop", both).toPandas().sort_values(["id", "stop"])
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        b = ipw_weights(sdf, "id", "start", "stop", both).toPandas().sort_values(["id", "stop"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    np.testing.assert_allclose(a["w"], b["w"], rtol=1e-9)

@@ -12,44 +12,50 @@ rows; Lin and Wei 1989 for the robust variance.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import no_nan
 from ..session import durable, ship, task_count
-from . import riskset
+from . import riskset, steps
 from .design import Design, Term, build_design
 from .exposure import exposed_from
 from .riskset import (
+    HELD_NUMBERS,
+    RANGE,
+    Jumps,
     Layout,
     Moments,
     RowModel,
     ScoreParts,
-    TimeSums,
+    ScoreSums,
     WeightModels,
-    add_outer,
     add_vectors,
     all_log_weights,
     all_weights,
+    at_times,
+    blocks,
+    ranges_of,
     risk_rows,
     square,
-    whole_stays,
 )
+from .steps import StepSums, event_rows, jump_rows, score_parts, score_rows, step_vector, stored_ranges
 
 ship(riskset)
+ship(steps)
 
 MAX_STEPS = 30
 TOLERANCE = 1e-9
 ALIAS_TOLERANCE = 1e-10
 Z_95 = 1.959963984540054
-TIE_STEPS = 64
 #: How fits end.
 CONVERGED, ALL_ALIASED, NO_EVENTS = "converged", "all terms aliased", "no events"
 NOT_FINITE, STEP_LIMIT, SEPARATED = "not finite", "step limit", "separated"
@@ -166,28 +172,51 @@ def prepare_panel(
 
 
 SUMS = "model int, cut int, time int, sums array<double>"
+NODES = "model int, cut int, range int, node long, sums array<double>"
 
 
-def _summed(
+def _ranges(
     panel: FitPanel,
-    sums: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
-    cutoffs: np.ndarray,
-) -> dict[tuple[int, int, int], np.ndarray]:
-    """Run a task that yields (model, cut, time, sums) and add its vectors over partitions.
+    models: Sequence[RowModel],
+    betas: Sequence[np.ndarray],
+    active: Sequence[np.ndarray],
+    weights: tuple[WeightModels, ...],
+    shift: np.ndarray | None,
+) -> DataFrame:
+    """Sums at the given coefficients by node of times; each (model, cut-off, range of times) is in one partition.
 
-    Rows above all of ``cutoffs`` are left out.  The driver gets one vector per model,
-    cut-off and time.
+    Rows above all active cut-offs are left out.
     """
-    rows = panel.frame.filter(F.col("_value") <= F.lit(float(max(cutoffs))))
-    table = (
-        rows.mapInPandas(sums, SUMS)
-        .repartition("model", "cut", "time")
-        .mapInPandas(add_vectors, SUMS)
-        .toArrow()
-        .to_pandas()
-    )
-    keys = zip(table["model"], table["cut"], table["time"], strict=True)
-    return dict(zip(keys, table["sums"], strict=True))
+    cutoffs, width, own, last = panel.cutoffs, len(panel.design.labels), panel.weight, panel.times
+    models, betas, active = tuple(models), tuple(betas), tuple(active)
+
+    def handed_on(totals: Sequence[Moments]) -> Iterator[pd.DataFrame]:
+        for m, total in enumerate(totals):
+            for cut, nodes, vectors in total.packed():
+                which, ranges = ranges_of(nodes, last)
+                yield pd.DataFrame(
+                    {"model": m, "cut": cut, "range": ranges, "node": nodes[which], "sums": list(vectors[which])}
+                )
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals, carry = [Moments(m.layout) for m in models], {}
+        for block in blocks(batches, width):
+            weight = all_weights(block, weights, own, cutoffs, shift, carry)
+            at_risk = risk_rows(block)
+            for total, model, beta, on in zip(totals, models, betas, active, strict=True):
+                if not on.any():
+                    continue
+                x, event, known = block.x[:, model.index], block.column(model.status) == 1, model.known(block)
+                for c in np.flatnonzero(on):
+                    keep = model.usable(block, known, cutoffs[c])
+                    total.add(c, beta[c], x, weight[:, c], event, block.stop, at_risk, keep)
+            if sum(total.held for total in totals) > HELD_NUMBERS:
+                yield from handed_on(totals)
+        yield from handed_on(totals)
+
+    top = float(max(cutoffs[np.any(active, axis=0)]))
+    rows = panel.frame.filter(F.col("_value") <= F.lit(top))
+    return rows.mapInPandas(sums, NODES).repartition(task_count(rows.sparkSession), "model", "cut", "range")
 
 
 def moment_pass(
@@ -197,44 +226,80 @@ def moment_pass(
     active: Sequence[np.ndarray],
     weights: tuple[WeightModels, ...] = (),
     shift: np.ndarray | None = None,
-) -> list[np.ndarray]:
-    """Sums per (cut-off, time) of every model at the given coefficients."""
-    cutoffs, times, width = panel.cutoffs, panel.times, len(panel.design.labels)
-    own = panel.weight
-    models, betas, active = tuple(models), tuple(betas), tuple(active)
+) -> DataFrame:
+    """``(model, cut, time, sums)`` of every time with rows at risk, at the given coefficients.
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = [Moments(m.layout) for m in models]
-        for block in whole_stays(batches, width):
-            weight = all_weights(block, weights, own, cutoffs, shift)
-            at_risk = risk_rows(block)
-            for total, model, beta, on in zip(totals, models, betas, active, strict=True):
-                if not on.any():
-                    continue
-                row = at_risk.row
-                ones_x = np.column_stack([np.ones(len(row)), block.x[row][:, model.index]])
-                event = at_risk.last & (block.column(model.status) == 1)[row]
-                known = model.known(block)
-                for c in np.flatnonzero(on):
-                    keep = model.usable(block, known, cutoffs[c])[row]
-                    total.add(
-                        c, beta[c], ones_x[keep], weight[row[keep], c], event[keep],
-                        at_risk.time[keep],
-                    )
-        for m, total in enumerate(totals):
-            cut, time, vectors = total.packed()
-            if len(cut):
-                yield pd.DataFrame(
-                    {"model": m, "cut": cut, "time": time, "sums": vectors}
-                )
+    ``sums`` has the form of :class:`Layout`; ``time`` counts from the first one of the panel.
+    """
+    layouts, last = [m.layout for m in models], panel.times
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for model, cut, number, nodes, sums in stored_ranges(batches):
+            time = np.arange(max(1, number << RANGE), min(last + 1, (number + 1) << RANGE))
+            found = at_times(time, nodes, sums)
+            keep = found[:, 3 + layouts[model].p] != 0
+            if keep.any():
+                yield pd.DataFrame({"model": model, "cut": cut, "time": time[keep], "sums": list(found[keep])})
+
+    return _ranges(panel, models, betas, active, weights, shift).mapInPandas(rows, SUMS)
+
+
+def step_pass(
+    panel: FitPanel,
+    models: Sequence[RowModel],
+    betas: Sequence[np.ndarray],
+    active: Sequence[np.ndarray],
+    weights: tuple[WeightModels, ...] = (),
+    shift: np.ndarray | None = None,
+) -> dict[tuple[int, int], StepSums]:
+    """What a Newton step needs, by model and cut-off; the driver gets one vector for each."""
+    layouts = [m.layout for m in models]
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for model, cut, _, nodes, sums in stored_ranges(batches):
+            vector = step_vector(layouts[model], event_rows(nodes, sums, layouts[model])[1])
+            yield pd.DataFrame({"model": model, "cut": cut, "time": 0, "sums": [vector]})
 
-    found = _summed(panel, sums, cutoffs[np.any(active, axis=0)])
-    out = [np.zeros((len(cutoffs), times + 1, m.layout.size)) for m in models]
-    for (m, c, t), vector in found.items():
-        out[m][c, t] = vector
+    found = _ranges(panel, models, betas, active, weights, shift).mapInPandas(steps, SUMS)
+    return {key: StepSums(layouts[key[0]], vector) for key, vector in _added(found).items()}
+
+
+def time_pass(
+    panel: FitPanel,
+    models: Sequence[RowModel],
+    betas: Sequence[np.ndarray],
+    weights: tuple[WeightModels, ...] = (),
+    shift: np.ndarray | None = None,
+    scores: bool = False,
+) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Event times and what later jobs need of them at final coefficients, by model and cut-off.
+
+    That is the baseline jump, with ``scores`` also the parts of the score residuals: one or 2 + 3p numbers for each event
+    time, which the later jobs get as a whole.
+    """
+    layouts, of = [m.layout for m in models], score_rows if scores else jump_rows
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for model, cut, _, nodes, sums in stored_ranges(batches):
+            time, found = event_rows(nodes, sums, layouts[model])
+            if len(time):
+                yield pd.DataFrame({"model": model, "cut": cut, "time": time, "sums": list(of(layouts[model], found))})
+
+    active = [np.ones(len(panel.cutoffs), bool) for _ in models]
+    table = _ranges(panel, models, betas, active, weights, shift).mapInPandas(rows, SUMS).toArrow().to_pandas()
+    out = {}
+    for key, part in table.groupby(["model", "cut"]):
+        part = part.sort_values("time")
+        out[key] = part["time"].to_numpy(), np.stack(part["sums"].to_numpy())
     return out
 
 
+def _added(parts: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Vectors of (model, cut, time, sums) added by model and cut-off."""
+    table = parts.repartition("model", "cut").mapInPandas(add_vectors, SUMS).toArrow().to_pandas()
+    return dict(zip(zip(table["model"], table["cut"], strict=True), table["sums"], strict=True))
+
+
 def weight_shift(panel: FitPanel, model: RowModel, weights: tuple[WeightModels, ...]) -> np.ndarray:
     """The largest log weight of a row of the model, per cut-off.
 
@@ -244,9 +309,9 @@ def weight_shift(panel: FitPanel, model: RowModel, weights: tuple[WeightModels,
     cutoffs, width = panel.cutoffs, len(panel.design.labels)
 
     def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = np.full(len(cutoffs), -np.inf)
-        for block in whole_stays(batches, width):
-            logs, known = all_log_weights(block, weights, cutoffs), model.known(block)
+        top, carry = np.full(len(cutoffs), -np.inf), {}
+        for block in blocks(batches, width):
+            logs, known = all_log_weights(block, weights, cutoffs, carry), model.known(block)
             for c, cutoff in enumerate(cutoffs):
                 rows = logs[model.usable(block, known, cutoff), c]
                 top[c] = max(top[c], np.max(rows[np.isfinite(rows)], initial=-np.inf))
@@ -268,9 +333,9 @@ def score_pass(
     n, triangle = layout.p, layout.triangle
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(cutoffs), len(triangle[0])))
-        for block in whole_stays(batches, width):
-            weight = all_weights(block, weights, own, cutoffs, shift)
+        total, carry = ScoreSums(layout, len(cutoffs)), {}
+        for block in blocks(batches, width):
+            weight = all_weights(block, weights, own, cutoffs, shift, carry)
             x, event = block.x[:, model.index], block.column(model.status) == 1
             known = model.known(block)
             for c, score in enumerate(scores):
@@ -278,15 +343,16 @@ def score_pass(
                 residual = score.residuals(
                     x[rows], event[rows], block.start[rows], block.stop[rows]
                 )
-                add_outer(total[c], layout, residual * weight[rows, c][:, None], block.id[rows])
+                total.add(c, block, rows, residual * weight[rows, c][:, None])
         cut = np.arange(len(cutoffs))
-        yield pd.DataFrame({"model": 0, "cut": cut, "time": 0, "sums": list(total)})
+        yield pd.DataFrame({"model": 0, "cut": cut, "time": 0, "sums": list(total.finished())})
 
     if not n:
         return np.zeros((len(cutoffs), 0, 0))
-    found = _summed(panel, sums, cutoffs)
+    frame = panel.frame.filter(F.col("_value") <= F.lit(float(max(cutoffs))))
+    found = _added(frame.mapInPandas(sums, SUMS))
     empty = np.zeros(len(triangle[0]))
-    rows = np.array([found.get((0, c, 0), empty) for c in range(len(cutoffs))])
+    rows = np.array([found.get((0, c), empty) for c in range(len(cutoffs))])
     return square(rows, triangle, n)
 
 
@@ -294,75 +360,13 @@ def score_pass(
 # driver-side algebra on the sums
 
 
-@dataclass(frozen=True)
-class TieSums:
-    """Sums over the Efron steps k = 0..d-1 of each event time, with f = k / d.
-
-    With s = s0 - f t0: log s; 1 / s and f / s (a0, a1); and 1, f, f**2 over s**2
-    (b0, b1, b2).
-    """
-
-    log: np.ndarray
-    a0: np.ndarray
-    a1: np.ndarray
-    b0: np.ndarray
-    b1: np.ndarray
-    b2: np.ndarray
-
-
-def tie_sums(s0: np.ndarray, t0: np.ndarray, d: np.ndarray) -> TieSums:
-    """Sums over the steps of all times, with work that grows with the logarithm of the events of a time.
-
-    The last ``TIE_STEPS`` steps, where s is smallest, are added one by one.  The others are sums of smooth functions
-    over whole numbers: integrals (Gauss's rule over panels that double in length away from the end) with
-    two terms of the Euler-Maclaurin formula at midpoints.  No difference of large numbers is formed.
-    """
-    out = np.zeros((6, len(d)))
-    for last in range(1, min(TIE_STEPS, int(d.max(initial=0))) + 1):
-        on = np.flatnonzero(d >= last)
-        out[:, on] += _tie_terms(s0[on], t0[on], d[on], d[on] - last)[0]
-    many = np.flatnonzero(d > TIE_STEPS)
-    if len(many):
-        s0, t0, d = s0[many], t0[many], np.asarray(d[many], float)
-        low, high = np.full(len(d), -0.5), d - TIE_STEPS - 0.5
-        for end, sign in ((high, -1.0), (low, 1.0)):
-            _, first, third = _tie_terms(s0, t0, d, end)
-            out[:, many] += sign * (first / 24.0 - 7.0 * third / 5760.0)
-        node, weight = np.polynomial.legendre.leggauss(12)
-        while len(d):
-            start = np.maximum(low, d - 2.0 * (d - high))
-            half = (high - start) / 2.0
-            for x, w in zip(node, weight, strict=True):
-                out[:, many] += w * half * _tie_terms(s0, t0, d, start + half * (1.0 + x))[0]
-            go = start > low
-            many, s0, t0, d, low, high = many[go], s0[go], t0[go], d[go], low[go], start[go]
-    return TieSums(*out)
-
-
-def _tie_terms(
-    s0: np.ndarray, t0: np.ndarray, d: np.ndarray, k: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The six terms of a step k, which need not be whole, and their first and third derivatives by k."""
-    f, g = k / d, 1.0 / d
-    s = s0 - f * t0
-    r = t0 / (d * s)  # relative change of s for a step
-    zero = np.zeros_like(s)
-    one, two = 1.0 / s, 1.0 / (s * s)
-    # a function and its derivatives one to three
-    inverse = (one, one * r, 2 * one * r**2, 6 * one * r**3)
-    square = (two, 2 * two * r, 6 * two * r**2, 24 * two * r**3)
-    times = lambda u: (u[0] * f, u[1] * f + u[0] * g, u[2] * f + 2 * u[1] * g, u[3] * f + 3 * u[2] * g)
-    rows = ((np.log(s), -r, -(r**2) + zero, -2 * r**3), inverse, times(inverse), square, times(square), times(times(square)))
-    return tuple(np.array([row[i] for row in rows]) for i in (0, 1, 3))
-
-
 @dataclass
 class CoxFit:
     """State and result of one model at one cut-off."""
 
     layout: Layout
     beta: np.ndarray
-    sums: np.ndarray | None = None  # (times, size) at ``beta``
+    sums: StepSums | None = None  # at ``beta``
     loglik: float = -np.inf
     gradient: np.ndarray | None = None
     information: np.ndarray | None = None
@@ -372,46 +376,27 @@ class CoxFit:
     events: int = 0
     event_weight: float = 0.0
     kept: np.ndarray | None = field(default=None, repr=False)
-    kept_sums: np.ndarray | None = field(default=None, repr=False)
+    kept_sums: StepSums | None = field(default=None, repr=False)
     halvings: int = 0
+    time: np.ndarray = field(default_factory=lambda: np.zeros(0, int), repr=False)  # event times
+    at_time: np.ndarray | None = field(default=None, repr=False)  # and their numbers from ``time_pass``
 
     @property
     def converged(self) -> bool:
         """The coefficients that are not aliased are the maximum of the likelihood."""
         return self.status in (CONVERGED, ALL_ALIASED)
 
-    def _event_times(self) -> tuple[np.ndarray, np.ndarray, TieSums, TimeSums]:
-        """Event times with their mean event weight, tie sums and sums."""
-        t = np.flatnonzero(self.sums[:, 0] > 0)
-        at = self.layout.unpack(self.sums[t])
-        return t, at.w / at.events, tie_sums(at.s0, at.t0, at.events), at
-
-    def evaluate(self, sums: np.ndarray) -> float:
+    def evaluate(self, sums: StepSums) -> float:
         """Log-likelihood, gradient and information at ``beta``; returns the former."""
-        self.sums = sums
-        _, w, k, at = self._event_times()
-        self.events, self.event_weight = int(at.events.sum()), float(at.w.sum())
-        loglik = float(at.weta.sum() - w @ k.log)
-        gradient = at.wx.sum(axis=0) - (w * k.a0) @ at.s1 + (w * k.a1) @ at.t1
-        cross = (at.s1 * (w * k.b1)[:, None]).T @ at.t1
-        information = (
-            np.tensordot(w * k.a0, at.s2, 1)
-            - np.tensordot(w * k.a1, at.t2, 1)
-            - (at.s1 * (w * k.b0)[:, None]).T @ at.s1
-            + cross
-            + cross.T
-            - (at.t1 * (w * k.b2)[:, None]).T @ at.t1
-        )
-        scale = (w * k.a0) @ np.diagonal(at.s2, axis1=1, axis2=2)
-        if self.free is None and np.isfinite(information).all():
-            self.free = ~_aliased(information, scale)
-        self.gradient, self.information = gradient, information
-        return loglik
+        self.sums, self.events, self.event_weight = sums, sums.events, sums.event_weight
+        self.gradient, self.information = sums.gradient, sums.information
+        if self.free is None and np.isfinite(self.information).all():
+            self.free = ~_aliased(self.information, sums.scale)
+        return sums.loglik
 
-    def advance(self, sums: np.ndarray) -> None:
+    def advance(self, sums: StepSums) -> None:
         """Take the sums at ``beta`` and move on: accept, halve the step or stop."""
-        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            loglik = self.evaluate(sums)
+        loglik = self.evaluate(sums)
         first = self.kept is None
         finite = np.isfinite(loglik) and np.isfinite(self.gradient).all() and np.isfinite(self.information).all()
         if self.events == 0:
@@ -443,30 +428,13 @@ class CoxFit:
         )[0]
         return step
 
-    def jumps(self) -> np.ndarray:
-        """Baseline hazard jump at every time."""
-        out = np.zeros(len(self.sums))
-        t, w, k, _ = self._event_times()
-        out[t] = w * k.a0
-        return out
+    def jumps(self) -> Jumps:
+        """Baseline hazard jumps."""
+        return Jumps(self.time, np.zeros(0) if self.at_time is None else self.at_time[:, 0])
 
     def score_parts(self) -> ScoreParts:
-        n, p = len(self.sums), self.layout.p
-        parts = ScoreParts(
-            self.beta, np.zeros((n, p)), np.zeros(n), np.zeros((n, p)), np.zeros(n),
-            np.zeros((n, p)),
-        )
-        t, w, k, at = self._event_times()
-
-        def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return a[:, None] * at.s1 - b[:, None] * at.t1
-
-        parts.mean[t] = mix(k.a0, k.a1) / at.events[:, None]
-        parts.a[t] = w * k.a0
-        parts.v[t] = w[:, None] * mix(k.b0, k.b1)
-        parts.event_a[t] = w * (k.a0 - k.a1)
-        parts.event_v[t] = w[:, None] * mix(k.b0 - k.b1, k.b1 - k.b2)
-        return parts
+        rows = np.zeros((0, 2 + 3 * self.layout.p)) if self.at_time is None else self.at_time
+        return score_parts(self.beta, self.time, rows)
 
     def variance(self, meat: np.ndarray | None) -> np.ndarray:
         """Inverse information, or the robust sandwich around ``meat``; NaN where aliased."""
@@ -503,8 +471,9 @@ def fit_models(
     weights: tuple[WeightModels, ...] = (),
     max_steps: int = MAX_STEPS,
     shift: np.ndarray | None = None,
+    scores: bool = False,
 ) -> list[list[CoxFit]]:
-    """Fit every model at every cut-off; one job per Newton step for all of them.
+    """Fit every model at every cut-off; one job per Newton step for all of them, and one for the event times at the end.
 
     A fit that needs more than ``max_steps`` steps stays at its best step and has the status
     ``step limit``.  Sums that are not finite at the start end a fit as ``not finite``; later they halve the step.
@@ -517,16 +486,20 @@ def fit_models(
         if not any(a.any() for a in active):
             break
         betas = [np.array([f.beta for f in row]) for row in fits]
-        sums = moment_pass(panel, models, betas, active, weights, shift)
+        sums = step_pass(panel, models, betas, active, weights, shift)
         for m, row in enumerate(fits):
+            nothing = StepSums(models[m].layout, np.zeros(StepSums.size(models[m].layout)))
             for c in np.flatnonzero(active[m]):
-                row[c].advance(sums[m][c])
+                row[c].advance(sums.get((m, c), nothing))
     for row in fits:
         for fit in row:
             if not fit.status:
                 fit.status = STEP_LIMIT
                 fit.beta = fit.kept
                 fit.evaluate(fit.kept_sums)
+    betas = [np.array([f.beta for f in row]) for row in fits]
+    for (m, c), (time, rows) in time_pass(panel, models, betas, weights, shift, scores).items():
+        fits[m][c].time, fits[m][c].at_time = time, rows
     return fits
 
 
@@ -614,22 +587,31 @@ def finish(
     if robust:
         meats = score_pass(panel, model, [f.score_parts() for f in fits], weights, shift)
     rows = effect_rows(panel, model, fits, meats, [trouble_of(weights, c) for c in range(len(fits))])
-    jumps = [
-        (None if panel.cut_column is None else float(panel.cutoffs[c]), int(t) + panel.first_time,
-         float(jump))
-        for c, fit in enumerate(fits)
-        for t, jump in enumerate(fit.jumps())
-        if jump > 0
-    ]
     return CoxResult(
         spark.createDataFrame(rows, EFFECT_SCHEMA),
-        spark.createDataFrame(jumps, "cutoff double, time int, jump double"),
+        spark.createDataFrame(_baseline(panel, fits)),
         fits,
         panel,
         spark.createDataFrame([*reports, *report_rows(panel, model.name, fits)], REPORT_SCHEMA),
     )
 
 
+def _baseline(panel: FitPanel, fits: Sequence[CoxFit]) -> pa.Table:
+    """``cutoff, time, jump`` of all event times with a hazard."""
+    tables = []
+    for c, fit in enumerate(fits):
+        jumps = fit.jumps()
+        some = jumps.jump > 0
+        cutoff = pa.nulls(some.sum(), pa.float64()) if panel.cut_column is None else np.full(some.sum(), panel.cutoffs[c])
+        tables.append(
+            pa.table(
+                [cutoff, jumps.time[some] + panel.first_time, jumps.jump[some]],
+                pa.schema({"cutoff": pa.float64(), "time": pa.int32(), "jump": pa.float64()}),
+            )
+        )
+    return pa.concat_tables(tables)
+
+
 def trouble_of(weights: Sequence[WeightModels], cut: int) -> str | None:
     """The first weight model of a cut-off that did not end well.
 
@@ -665,5 +647,5 @@ def cox_fit(
     )
     model = RowModel("outcome", tuple(ready.design.index(terms)), "_s_event")
     with ready.cached():
-        (fits,) = fit_models(ready, [model], max_steps=max_steps)
+        (fits,) = fit_models(ready, [model], max_steps=max_steps, scores=robust)
         return finish(ready, model, fits, robust)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .cox import CoxFit, FitPanel, fit_models, prepare_panel, report_rows
 from .design import Term
-from .riskset import RowModel, WeightModels, whole_stays
+from .riskset import RowModel, WeightModels, blocks
 
 
 @dataclass(frozen=True)
@@ -59,8 +59,8 @@ def _fitted(exposure: Exposure, models, fits: list[list[CoxFit]]) -> WeightModel
         denominator=bottom.index,
         numerator_beta=np.array([f.beta for f in fits[0]]),
         denominator_beta=np.array([f.beta for f in fits[1]]),
-        numerator_jump=np.array([f.jumps() for f in fits[0]]),
-        denominator_jump=np.array([f.jumps() for f in fits[1]]),
+        numerator_jump=tuple(f.jumps() for f in fits[0]),
+        denominator_jump=tuple(f.jumps() for f in fits[1]),
         numerator_status=tuple(f.status for f in fits[0]),
         denominator_status=tuple(f.status for f in fits[1]),
     )
@@ -84,8 +84,9 @@ def weight_rows(panel: FitPanel, parts: Sequence[WeightModels]) -> DataFrame:
     first = panel.first_time
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in whole_stays(batches, width):
-            weights = [p.weights(block, cutoffs) for p in parts]
+        carry = {}
+        for block in blocks(batches, width):
+            weights = [p.weights(block, cutoffs, carry) for p in parts]
             for c, cutoff in enumerate(cutoffs):
                 keep = block.value <= cutoff
                 yield pd.DataFrame(

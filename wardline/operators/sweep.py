@@ -47,7 +47,7 @@ def cutoff_sweep(
     with ready.cached():
         weights, reports = fit_weights(ready, exposures)
         shift = weight_shift(ready, outcome, weights)
-        (fits,) = fit_models(ready, [outcome], weights, shift=shift)
+        (fits,) = fit_models(ready, [outcome], weights, shift=shift, scores=True)
         return finish(ready, outcome, fits, True, weights, shift, reports)
 
 

@@ -870,14 +870,14 @@ def risk_set_sums(spark, folder):
         {"event": "event"},
     )
     model = RowModel("outcome", (0,), "_s_event")
-    (sums,) = moment_pass(panel, [model], [np.array([[0.01]])], [np.array([True])])
-    times = np.flatnonzero(sums[0].any(axis=1))
-    at = model.layout.unpack(sums[0][times])
-    columns = (times + panel.first_time, at.s0, at.s1[:, 0], at.s2[:, 0, 0], at.events)
-    rows = list(zip(*(c.tolist() for c in columns), strict=True))
-    out = spark.createDataFrame(rows, "tstop int, s0 double, s1 double, s2 double, events long")
-    return out.withColumns(
-        {"s0": F.round("s0", 5), "s1": F.round("s1", 3), "s2": F.round("s2", 1)}
+    sums = moment_pass(panel, [model], [np.array([[0.01]])], [np.array([True])])
+    # one covariate: four event sums, then the triangle 1, x, x * x over the risk set
+    return sums.select(
+        (F.col("time") + panel.first_time).alias("tstop"),
+        F.round(F.col("sums")[4], 5).alias("s0"),
+        F.round(F.col("sums")[5], 3).alias("s1"),
+        F.round(F.col("sums")[6], 1).alias("s2"),
+        F.col("sums")[0].cast("long").alias("events"),
     )
 
 
