@@ -12,7 +12,7 @@ import __spark_entry__ as contract
 
 FOLDER = Path("/root/testdata/sf0.001")
 LARGER = Path("/root/testdata/sf0.01")  # enough events for the model fits
-MODEL_QUERIES = {"cox_one_term", "ipw_one_term", "sweep_one_term"}
+MODEL_QUERIES = {"cox_one_term", "ipw_one_term", "sweep_one_term", "ipw_weights", "cox_hr", "cutoff_sweep_hr"}
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="driver tables are not here")
 
 

@@ -919,21 +919,57 @@ def model_panel(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("ipw_weights")
+_MODEL_SQL = """
+covered AS (SELECT *, (user_id % 60 + 18) / 10.0::DOUBLE AS age, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS segment FROM surv)"""
+_MODEL_WEIGHTS_SQL = f"""
+{msql.weights_terms("treat", "panel", "exposed", ["age"], ["age", "vmin"])},
+{msql.weights_terms("cens", "panel", "dropout", [], ["vmin"])}"""
+_MODEL_EFFECTS_SQL = f"""
+outcome AS (
+  SELECT p.cut, p.user_id AS id, p.tstop, exposed AS x1, vmin AS x2, segment AS x3, event AS s, t.w * c.w AS w
+  FROM panel p
+  JOIN treat_w t ON t.cut = p.cut AND t.user_id = p.user_id AND t.tstop = p.tstop
+  JOIN cens_w c ON c.cut = p.cut AND c.user_id = p.user_id AND c.tstop = p.tstop),
+{msql.fit_terms("m", "outcome", 3)}, {msql.effects_terms("m", "outcome", ["exposed", "vmin", "segment=b"])}"""
+_MODEL_ENDS_SQL = "TRUE AS converged, 'converged' AS status, 'ok' AS weight_status"
+
+
+def _rounded_numbers(effects: DataFrame) -> DataFrame:
+    return effects.withColumns({c: F.round(c, 4) for c in ("coef", "se", "hr", "inv_hr", "lo95", "hi95")})
+
+
+@query(
+    "ipw_weights",
+    f"""WITH RECURSIVE {SURVIVAL_SQL}, {_MODEL_SQL}, panel AS (SELECT 0 AS cut, * FROM covered), {_MODEL_WEIGHTS_SQL}
+    SELECT t.user_id, t.tstop, round(t.w, 6) AS w_treat, round(c.w, 6) AS w_cens, round(t.w * c.w, 6) AS w
+    FROM treat_w t JOIN cens_w c ON c.user_id = t.user_id AND c.tstop = t.tstop""",
+)
 def ipw_weights_query(spark, folder):
-    return ipw_weights(
+    weights = ipw_weights(
         model_panel(spark, folder), "user_id", "tstart", "tstop", EVENT_MODEL.exposures
     )
+    return weights.withColumns({c: F.round(c, 6) for c in ("w_treat", "w_cens", "w")})
 
 
-@query("cox_hr")
+@query(
+    "cox_hr",
+    f"""WITH RECURSIVE {SURVIVAL_SQL}, {_MODEL_SQL}, panel AS (SELECT 0 AS cut, * FROM covered),
+    {_MODEL_WEIGHTS_SQL}, {_MODEL_EFFECTS_SQL}
+    SELECT NULL::DOUBLE AS cutoff, term, {_MODEL_ENDS_SQL}, {msql.effect_columns("m", 4)}""",
+)
 def cox_hr(spark, folder):
-    return cutoff_sweep(model_panel(spark, folder), EVENT_MODEL, None).effects
+    return _rounded_numbers(cutoff_sweep(model_panel(spark, folder), EVENT_MODEL, None).effects)
 
 
-@query("cutoff_sweep_hr")
+@query(
+    "cutoff_sweep_hr",
+    f"""WITH RECURSIVE {SURVIVAL_SQL}, {_MODEL_SQL}, {_MARKS_SQL},
+    panel AS (SELECT cutoff AS cut, covered.* FROM covered JOIN marks ON vmin <= cutoff),
+    {_MODEL_WEIGHTS_SQL}, {_MODEL_EFFECTS_SQL}
+    SELECT cut AS cutoff, term, {_MODEL_ENDS_SQL}, {msql.effect_columns("m", 4)}""",
+)
 def cutoff_sweep_hr(spark, folder):
-    return cutoff_sweep(model_panel(spark, folder), EVENT_MODEL, "vmin", CUTOFFS).effects
+    return _rounded_numbers(cutoff_sweep(model_panel(spark, folder), EVENT_MODEL, "vmin", CUTOFFS).effects)
 
 
 # --------------------------------------------------------------------------
