@@ -115,6 +115,14 @@ def test_the_step_limit_is_reported(panel):
     assert all(r["se"] is None and not r["converged"] for r in result.effects.collect())
 
 
+def test_coefficients_are_exact_to_the_last_digits(panel):
+    """The step after convergence leaves no trace of the tolerance, so that rounded results are stable."""
+    df, sdf = panel
+    got = by_term(cox_fit(sdf, "id", "start", "stop", "event", terms("a")))["a"]["coef"]
+    x = df[["a"]].to_numpy()
+    assert got == pytest.approx(dense.fit(x, *times(df))[0], abs=1e-12)
+
+
 def test_model_based_errors(panel):
     df, sdf = panel
     got = by_term(cox_fit(sdf, "id", "start", "stop", "event", terms("a"), robust=False))

@@ -409,6 +409,8 @@ class CoxFit:
             # the bound is reached only in the limit of infinite coefficients; fitted probabilities are at theirs by then
             separated = abs(loglik) <= SEPARATION * self.event_weight
             self.loglik, self.status = loglik, SEPARATED if separated else CONVERGED
+        if self.status == CONVERGED and self.free.any():
+            self.beta = self.beta + self._solve(self.gradient)  # one more step, which costs no pass
         if self.status:
             return
         self.steps += 1
