@@ -96,6 +96,21 @@ def test_longest_matches(spark, corpus):
     assert texts
 
 
+def test_the_place_of_a_longest_match_does_not_depend_on_partitions(spark):
+    """Of copies in one shard, in the order 9, 3, 5, the smallest id is given for every suffix; then the first place."""
+    text = "one two three four five"
+    rows = [(9, text), (3, "zero one. " + text + " " + text), (5, text), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("a", text), ("b", "nine four five"), ("c", None), (None, text)], "item_id string, text string")
+    expected = [("a", k, 5 - k, 3, 2 + k) for k in range(5)] + [("b", 1, 2, 3, 5), ("b", 2, 1, 3, 6)]
+    for parts in (1, 5):
+        found = longest_matches(docs.repartition(parts), bench)
+        assert sorted(tuple(r) for r in found.collect()) == expected
+    unnamed = docs.unionByName(spark.createDataFrame([(None, text)], docs.schema)).coalesce(1)
+    assert {r["doc_id"] for r in longest_matches(unnamed, bench).collect()} == {None}
+    assert longest_matches(docs.limit(0), bench).count() == 0
+
+
 def test_suffix_array_sorts_all_suffixes():
     rng = np.random.default_rng(1)
     for vocabulary in (1, 2, 5, 3_000_000):

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +197,8 @@ def longest_matches(
                     if not len(words.hashes) or not len(queries.words.hashes):
                         continue
                     shard = Shard(words, queries.depth)
-                    at, size, where = shard.longest(queries)
+                    ids = pc.rank(part.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="min")
+                    at, size, where = shard.longest(queries, ids.to_numpy())
                     doc = shard.text_of[where]
                     yield pa.RecordBatch.from_arrays(
                         [

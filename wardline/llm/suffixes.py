@@ -182,19 +182,28 @@ class Shard:
                 at += 8
         return ok
 
-    def longest(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every suffix of every item: its place there, the longest match and where it is."""
+    def longest(self, queries: Queries, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every suffix of every item: its place there, the longest match and where it is.
+
+        ``rank`` orders the texts; of all places of a longest match, that of the least rank, then the first in its text, is given.
+        """
         words = queries.words
         counts = np.diff(words.bounds)
         at = np.arange(len(words.hashes))
         size = np.repeat(words.bounds[1:], counts) - at
         query = self.ranks(words.hashes)
         slot = self.bound(query, at, size, upper=False)
-        best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        best = np.zeros(len(at), np.int64)
         for near in (slot - 1, slot):
             live = np.flatnonzero((near >= 0) & (near < len(self.order)))
             _, same = self.compare(self.order[near[live]], query, at[live], size[live])
-            better = same > best[live]
-            best[live[better]] = same[better]
-            where[live[better]] = self.order[near[live[better]]]
-        return at[best > 0], best[best > 0], where[best > 0]
+            best[live] = np.maximum(best[live], same)
+        at, best = at[best > 0], best[best > 0]
+        # the suffixes that begin with the match are neighbours
+        runs = [self.bound(query, at, best, upper) for upper in (False, True)]
+        runs, run_of = np.unique(np.stack(runs, 1), axis=0, return_inverse=True)
+        order = np.lexsort((np.arange(len(self.left)) - self.words.bounds[self.text_of], rank[self.text_of]))
+        turn = np.empty(len(order) + 1, np.int64)
+        turn[order], turn[-1] = np.arange(len(order)), len(order)
+        least = np.minimum.reduceat(turn[np.append(self.order, -1)], runs.ravel())[::2] if len(runs) else runs[:, 0]
+        return at, best, order[least[run_of.ravel()]]
