@@ -5,6 +5,7 @@ import pytest
 
 from wardline.operators.describe import (
     ANALYSIS_VARS,
+    ANALYSIS_VARS_WITH_SITE,
     column_summary,
     level_counts,
     missing_summary,
@@ -67,4 +68,15 @@ def test_missing_summary(spark):
 
 
 def test_analysis_variables():
-    assert len(ANALYSIS_VARS) == len(set(ANALYSIS_VARS)) == 81
+    assert len(ANALYSIS_VARS) == len(set(ANALYSIS_VARS)) == 80
+    assert len(ANALYSIS_VARS_WITH_SITE) == 81 and set(ANALYSIS_VARS_WITH_SITE) - set(ANALYSIS_VARS) == {"infectionsite"}
+
+
+def test_missing_summary_of_all_analysis_variables(spark):
+    """Every variable of both lists has its row, counted in one pass: variable k misses in the rows below k."""
+    columns = [f"CASE WHEN id >= {k} THEN id * 1.0D END AS {name}" for k, name in enumerate(ANALYSIS_VARS_WITH_SITE)]
+    df = spark.range(100).selectExpr(*columns)
+    rows = missing_summary(df, ANALYSIS_VARS_WITH_SITE).collect()
+    expected = [(name, k, float(k)) for k, name in enumerate(ANALYSIS_VARS_WITH_SITE)][::-1]
+    assert [(r["variable"], r["n_miss"], r["pct_miss"]) for r in rows] == expected
+    assert missing_summary(df, ANALYSIS_VARS).count() == 80

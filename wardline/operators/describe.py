@@ -11,20 +11,26 @@ from ..functions import no_nan
 from .quantiles import exact_quantiles, profile
 
 # The analysis columns of the summary tables.
-ANALYSIS_VARS = """
-    gender admission_age weight_admit height ethni admissiontype infectionsite
-    myocardial_infarct congestive_heart_failure peripheral_vascular_disease
-    cerebrovascular_disease dementia chronic_pulmonary_disease rheumatic_disease
-    peptic_ulcer_disease mild_liver_disease diabetes_without_cc diabetes_with_cc paraplegia
-    renal_disease malignant_cancer severe_liver_disease metastatic_solid_tumor aids
-    charlson_comorbidity_index apsiii oasis sirs sofa_score respiration coagulation liver
-    cardiovascular cns renal wbc_max rdw_min nlr_max hct_min temp_max glu_max cl_max sodium_max
-    hemoglobin_min alt_max ast_max albu_min bilirubin_total_max gcs_min platelet_min inr_max
-    aptt_max creatinine_max bun_max heartrate_max sbp_min mbp_min dbp_min be_min bicarbonate_min
-    lactate_max spo2_min pao2_min paco2_max pf_min ph_min resp_rate_max uri_total fb vaso_ne
-    vaso_use rrt vent septicshock positive_culture time event hosp_mor los_hospital los_icu
-    albu_tr
-""".split()
+# fmt: off
+ANALYSIS_VARS_WITH_SITE = [
+    "gender", "admission_age", "weight_admit", "height", "ethni", "admissiontype", "infectionsite",
+    "myocardial_infarct", "congestive_heart_failure", "peripheral_vascular_disease",
+    "cerebrovascular_disease", "dementia", "chronic_pulmonary_disease", "rheumatic_disease",
+    "peptic_ulcer_disease", "mild_liver_disease", "diabetes_without_cc", "diabetes_with_cc",
+    "paraplegia", "renal_disease", "malignant_cancer", "severe_liver_disease",
+    "metastatic_solid_tumor", "aids", "charlson_comorbidity_index", "apsiii", "oasis", "sirs",
+    "sofa_score", "respiration", "coagulation", "liver", "cardiovascular", "cns", "renal",
+    "wbc_max", "rdw_min", "nlr_max", "hct_min", "temp_max", "glu_max", "cl_max", "sodium_max",
+    "hemoglobin_min", "alt_max", "ast_max", "albu_min", "bilirubin_total_max", "gcs_min",
+    "platelet_min", "inr_max", "aptt_max", "creatinine_max", "bun_max", "heartrate_max", "sbp_min",
+    "mbp_min", "dbp_min", "be_min", "bicarbonate_min", "lactate_max", "spo2_min", "pao2_min",
+    "paco2_max", "pf_min", "ph_min", "resp_rate_max", "uri_total", "fb", "vaso_ne", "vaso_use",
+    "rrt", "vent", "septicshock", "positive_culture", "time", "event", "hosp_mor", "los_hospital",
+    "los_icu", "albu_tr",
+]
+# fmt: on
+#: The same list as the missing-value summary takes it, without the class of the infection site.
+ANALYSIS_VARS = [name for name in ANALYSIS_VARS_WITH_SITE if name != "infectionsite"]
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
