@@ -141,3 +141,42 @@ def test_components(spark):
             todo += [x for x in near[todo.pop()] if x not in seen and not seen.add(x)]
         assert got[node] == min(seen)
     assert set(got) == set(near)
+
+
+def test_family_pairs_meet_by_what_they_gain(spark, monkeypatch):
+    """Copies that all replace some passage of a centre: many lack the same, only twos share what is new."""
+    met = []
+    real = jaccard._meetings
+    monkeypatch.setattr(jaccard, "_meetings", lambda *a: met.append(real(*a).count()) or real(*a))
+    rng = random.Random(4)
+    rows, sets = [], {}
+    for node in range(600):
+        linked = node < 300  # similar to the centre, so of its component
+        at, n = (rng.randrange(100), 5) if linked else (node // 2 * 7 + rng.randrange(4), rng.choice([12, 13, 14]))
+        lost = {(at + k) % 100 for k in range(n)}
+        gained = [1000 * (node if linked else 300 + node // 2) + 500 + k for k in range(n)]
+        sets[node] = set(range(100)) - lost | set(gained)
+        rows.append((0, 100, node, 100, -1 if linked else node, 100 - n, gained, sorted(lost)))
+    shape = "fam long, na long, node long, n long, comp long, inside long, gained array<long>, lost array<long>"
+    got = [frozenset((r.x, r.y)) for r in jaccard._family_pairs(spark.createDataFrame(rows, shape), 80).collect()]
+    similar = {frozenset((x, y)) for x in range(300, 600) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert similar and similar <= set(got)
+    assert len(got) == len(set(got))
+    assert sum(met) < 5 * len(rows), met
+
+
+def test_shortened_copies(spark, monkeypatch):
+    """Copies with words cut out and few new ones, so that pairs can be similar by what they have of the centre alone."""
+    monkeypatch.setattr(jaccard, "BANDS", 2)
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(300):
+        at, n = rng.randrange(150), rng.choice([0, 3, 10, 20, 28, 34])
+        words = base[:at] + base[at + n :]
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)

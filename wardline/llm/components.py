@@ -16,18 +16,15 @@ def components(links: DataFrame) -> DataFrame:
     Nulls link nothing; without links the result is empty.
     """
     links = links.select("a", "b").filter("a is not null and b is not null and a <> b")
-    both = durable(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("least")).select(
-        F.col("a").alias("node"), F.least("a", "least").alias("label")))
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # every node is a neighbour of its own, so that one join brings its label and those around it
+    both = durable(both.unionAll(both.select("a", F.col("a").alias("b"))).distinct())
+    labels = durable(both.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node"))
     while True:
-        near = (
-            both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        )
-        spread = labels.join(near, labels.node == near.a).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        ahead = spread.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = durable(spread.join(ahead, "label").select("node", "old", F.least("label", "next").alias("label")))
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("label")))
+        spread = both.join(labels, both.b == labels.node).groupBy("a").agg(own.alias("old"), F.min("label").alias("label"))
+        ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        after = durable(spread.join(ahead, "label").select(F.col("a").alias("node"), "old", F.least("label", "next").alias("label")))
         changed = after.filter("old <> label").limit(1).count()
         labels = after.select("node", "label")
         if not changed:

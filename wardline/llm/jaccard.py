@@ -8,9 +8,11 @@
 3.  Sets that share a band key are compared with one hub each.  These links form first components.
 4.  The prefixes form index lists; lists within one component are skipped whole.  Where lists are long, their sets
     form families: each is compared with one set only, the centre of the largest component that its lists meet, and keeps the
-    overlap and the shingles that only one of both has.  Links to centres join more components.
+    overlap, the shingles gained and those lost.  Links to centres join more components.
+    Large families then move to the member that differs least from all others.
 5.  Pairs within a family are answered from the centre: their overlap follows from theirs with it and from the shingles that set both
-    apart from it.  Sets of different components have to share many of those, so a few rare ones bring all similar pairs together.
+    apart from it.  What each lacks of the centre is common in a dense group and what it has beyond it is rare, so pairs meet by the latter;
+    only where sets shorter than the centre can be similar without it do they meet by what they lack.
 6.  For all other pairs the lists are cut into blocks by set size, and a set visits only the blocks that its size and
     its position in the list can reach.  What is met often enough is compared exactly.
 """
@@ -158,10 +160,10 @@ def _sets(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> D
 
 def _full_sets(docs: DataFrame, doc_id: str, text: str, size: int, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node``, ``items``: the whole set of every node asked for, from one document each."""
-    nodes = small(durable(nodes.distinct()))
-    ids = durable(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
+    ids = sets.groupBy("node").agg(F.min("id").alias("id")).join(nodes.distinct(), "node", "left_semi")
+    ids = small(durable(ids))
+    nodes, wanted = ids.select("node"), ids.select(F.col("id").alias("rep"))
     frame = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    wanted = small(ids.select(F.col("id").alias("rep")))
     frame = frame.join(wanted, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
 
     def work(batches):
@@ -176,13 +178,13 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, size: int, sets: DataFra
 
 
 def _overlaps(pairs: DataFrame, items: DataFrame, apart: bool = False) -> DataFrame:
-    """``pairs`` (columns ``a``, ``b`` and more) with the size ``o`` of the intersection; ``apart`` adds the sizes of both and what only one has."""
+    """``pairs`` (columns ``a``, ``b`` and more) with the size ``o`` of the intersection; ``apart`` adds the sizes of both and what only ``b`` has (``gained``) or only ``a`` (``lost``)."""
     left = items.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     right = items.select(F.col("node").alias("b"), F.col("items").alias("ib"))
     found = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ia", "ib")).cast("long"))
     if apart:
-        only = F.concat(F.array_except("ib", "ia"), F.array_except("ia", "ib"))
-        found = found.withColumns({"na": F.size("ia").cast("long"), "nb": F.size("ib").cast("long"), "apart": only})
+        only = {"gained": F.array_except("ib", "ia"), "lost": F.array_except("ia", "ib")}
+        found = found.withColumns({"na": F.size("ia").cast("long"), "nb": F.size("ib").cast("long")} | only)
     return found.drop("ia", "ib")
 
 
@@ -247,29 +249,81 @@ def _needed(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil((nx + ny) * percent / (100 + percent))
 
 
-def _family_pairs(family: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one family that can be similar, by what they and the centre do not share.
+def _compared(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Members ``b`` of families with their centre ``a``."""
+    return _overlaps(pairs, items, apart=True).select(
+        F.col("b").alias("node"), F.col("nb").alias("n"), F.col("a").alias("fam"), "na", F.col("o").alias("inside"), "gained", "lost"
+    )
+
 
-    With L = centre without x and D = what only one of x and the centre has, the overlap of x and y is
-    n(centre) - |Lx| - |Ly| + |Dx and Dy|.  So similar sets share t = need - n(centre) + |Lx| + |Ly| elements of D, and k of them (FEW, or
-    t if that is less) lie among the first |D| - t + k places of both.  t <= 0 cannot be: both would be similar to the centre, so of one component.
-    Elements that bring no two components together go first, then the rarest.
+def _recentred(family: DataFrame, items: DataFrame) -> DataFrame:
+    """The families, large ones around the member that differs least from all: what many have beyond a centre is then rare.
+
+    What x and y do not share sums over all y to many * |Dx| - 2 * (how often the elements of Dx occur), but for a constant; D is what
+    only one of a member and the centre has, so the centre's own sum is 0.
+    """
+    many = family.groupBy("fam").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") >= LONG_LIST)
+    rows = family.join(many, "fam").select("fam", "node", "many", F.explode(F.concat("gained", "lost")).alias("h"))
+    often = rows.groupBy("fam", "h").agg(F.count(F.lit(1)).alias("often"))
+    sums = rows.join(often, ["fam", "h"]).groupBy("fam", "node").agg(F.sum(F.col("many") - 2 * F.col("often")).alias("s"))
+    best = sums.filter("s < 0").groupBy("fam").agg(F.min(F.struct("s", "node")).alias("m"))
+    best = small(durable(best.select("fam", F.col("m.node").alias("a"))))
+    if best.isEmpty():
+        return family
+    moved = family.select("fam", F.col("node").alias("b")).join(best, "fam").select("a", "b")
+    return durable(family.join(best, "fam", "left_anti").unionByName(_compared(moved, items)))
+
+
+def _rarest_first(rows: DataFrame, items: Column) -> DataFrame:
+    """A row for each of the items ``h`` of a set of a family, with ``free``, the places from there on.
+
+    Items that bring no two components together go first and are left out, then the rarest come.
     """
-    rows = family.select("fam", "na", "node", "n", "comp", (F.col("na") - F.col("inside")).alias("lost"), F.size("apart").alias("d"), F.explode("apart").alias("h"))
+    rows = rows.withColumns({"h": F.explode(items), "d": F.size(items)}).drop("gained", "lost")
     lists = rows.groupBy("fam", "h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("many"))
     rows = rows.join(lists.filter("low < high").select("fam", "h", "many"), ["fam", "h"])
     of = Window.partitionBy("fam", "node")
     place = F.col("d") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("many", "h")) - 1
-    rows = rows.withColumn("free", F.col("d") - place)
-    x, y = (rows.select("fam", "h", *([] if s == "y" else ["na"]), *[F.col(c).alias(c + s) for c in ("node", "n", "comp", "lost", "free")]) for s in "xy")
-    shared = _needed(F.col("nx"), F.col("ny"), percent) - F.col("na") + F.col("lostx") + F.col("losty")
-    k = F.least(shared, F.lit(FEW))
-    met = x.join(y, ["fam", "h"]).filter(
-        (F.col("compx") != F.col("compy")) & ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("nodex") > F.col("nodey"))))
-        & (F.col("ny") * 100 >= F.col("nx") * percent) & (F.least("freex", "freey") > shared - k)
+    return rows.withColumn("free", F.col("d") - place)
+
+
+def _meetings(x: DataFrame, y: DataFrame, which: Column) -> DataFrame:
+    """Sets of a family that have an item in common, side by side."""
+    columns = ("node", "n", "na", "comp", "inside", "far", "short", "free")
+    x, y = (f.select("fam", "h", *[F.col(c).alias(c + s) for c in columns]) for f, s in ((x, "x"), (y, "y")))
+    return x.join(y, ["fam", "h"]).filter(which)
+
+
+def _family_pairs(family: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one family that can be similar, by what they and the centre do not share.
+
+    With I, G and L = what a set has of the centre, has beyond it and lacks of it, the overlap of x and y is at most min(|Ix|, |Iy|) + |Gx and Gy|.
+    So similar sets share g = need - min(|Ix|, |Iy|) elements of G, and k of them (FEW, or g if that is less) lie among the first
+    |G| - g + k places of both.
+    For g <= 0: the overlap is |Ix| + |Iy| - n(centre) + |Dx and Dy| with D = G and L, so t = need + n(centre) - |Ix| - |Iy| elements of D are
+    shared, to be met in the same way.  t <= 0 cannot be: both would be similar to the centre, so of one component.  One of both is not,
+    its overlap with the centre less than they need.  So the other is smaller than the centre, and both have ``percent`` of them in it.
+    """
+    far = ~_similar(F.col("inside"), F.col("na"), F.col("n"), percent)
+    rows = family.select("fam", "na", "node", "n", "comp", "inside", far.alias("far"), (F.col("n") < F.col("na")).alias("short"), "gained", "lost")
+    nx, ny = F.col("nx"), F.col("ny")
+    beyond = _needed(nx, ny, percent) - F.least("insidex", "insidey")
+    larger = (nx > ny) | ((nx == ny) & (F.col("nodex") > F.col("nodey")))
+    near = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
+
+    def met(x: DataFrame, y: DataFrame, shared: Column, which: Column) -> DataFrame:
+        k = F.least(shared, F.lit(FEW))
+        found = _meetings(x, y, (F.col("compx") != F.col("compy")) & near & which & (F.least("freex", "freey") > shared - k))
+        found = found.groupBy("nodex", "nx", "nodey", "ny").agg(F.count(F.lit(1)).alias("n"), F.first(k).alias("k")).filter("n >= k")
+        return found.select(F.col("nodex").alias("x"), "nx", F.col("nodey").alias("y"), "ny")
+
+    gained = _rarest_first(rows, F.col("gained"))
+    both = _rarest_first(rows.filter((F.col("inside") * 100 >= F.col("n") * percent) & (F.col("far") | F.col("short"))), F.concat("gained", "lost"))
+    apart = _needed(nx, ny, percent) + F.col("nax") - F.col("insidex") - F.col("insidey")
+    once = larger | ~(F.col("shortx") & F.col("fary"))
+    return met(gained, gained, beyond, (beyond > 0) & larger).unionByName(
+        met(both.filter("far"), both.filter("short"), apart, (beyond <= 0) & once)
     )
-    counts = met.groupBy("nodex", "nx", "nodey", "ny").agg(F.count(F.lit(1)).alias("n"), F.first(k).alias("k")).filter("n >= k")
-    return counts.select(F.col("nodex").alias("x"), "nx", F.col("nodey").alias("y"), "ny")
 
 
 def _candidates(open_: DataFrame, percent: int) -> DataFrame:
@@ -359,11 +413,10 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, perc
     # families: one comparison for each set of a long list
     pairs = _families(open_, labels, stars, percent)
     items = _full_sets(docs, doc_id, text, size, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    family = durable(_overlaps(pairs, items, apart=True).select(
-        F.col("b").alias("node"), F.col("nb").alias("n"), F.col("a").alias("fam"), "na", F.col("o").alias("inside"), "apart"
-    ))
-    links = family.filter((F.col("node") != F.col("fam")) & _similar(F.col("inside"), F.col("na"), F.col("n"), percent))
-    labels = small(_merged(labels, durable(links.select(F.col("fam").alias("a"), F.col("node").alias("b")))))
+    first = durable(_compared(pairs, items))
+    family = _recentred(first, items)
+    links = first.unionByName(family).filter((F.col("node") != F.col("fam")) & _similar(F.col("inside"), F.col("na"), F.col("n"), percent))
+    labels = small(_merged(labels, durable(links.select(F.col("fam").alias("a"), F.col("node").alias("b")).distinct())))
 
     # pairs of different components
     family = family.filter(F.col("inside") * 2 >= F.greatest("n", "na"))
