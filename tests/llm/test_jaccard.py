@@ -180,3 +180,27 @@ def test_shortened_copies(spark, monkeypatch):
     rows = list(enumerate(texts))
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
+def _work(spark, run):
+    """Jobs and tasks of a run, as Spark's tracker tells them: the driver holds a record of each."""
+    context = spark.sparkContext
+
+    def last():
+        context.setJobGroup(group := f"mark-{random.random()}", "")
+        context.parallelize([1], 1).count()
+        return max(context.statusTracker().getJobIdsForGroup(group))
+
+    first = last()
+    run()
+    jobs = range(first + 1, last())
+    stages = {s for j in jobs for s in context.statusTracker().getJobInfo(j).stageIds}
+    return len(jobs), sum(i.numTasks for s in stages if (i := context.statusTracker().getStageInfo(s)))
+
+
+def test_few_jobs_and_tasks_for_few_links(spark):
+    """What the driver keeps of jobs and tasks grows with their number, however few the rows are."""
+    rows = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    links = rows.join(spark.createDataFrame([(k,) for k in range(40)], "a long"), "a")
+    jobs, tasks = _work(spark, lambda: components(links).collect())
+    assert jobs <= 48 and tasks <= 100, (jobs, tasks)

@@ -277,14 +277,14 @@ def _recentred(family: DataFrame, items: DataFrame) -> DataFrame:
 def _rarest_first(rows: DataFrame, items: Column) -> DataFrame:
     """A row for each of the items ``h`` of a set of a family, with ``free``, the places from there on.
 
-    Items that bring no two components together go first and are left out, then the rarest come.
+    Items that bring no two components together go first and are left out, then the rarest come.  Written, as both sides of a join read it.
     """
     rows = rows.withColumns({"h": F.explode(items), "d": F.size(items)}).drop("gained", "lost")
     lists = rows.groupBy("fam", "h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("many"))
     rows = rows.join(lists.filter("low < high").select("fam", "h", "many"), ["fam", "h"])
     of = Window.partitionBy("fam", "node")
     place = F.col("d") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("many", "h")) - 1
-    return rows.withColumn("free", F.col("d") - place)
+    return durable(rows.withColumn("free", F.col("d") - place))
 
 
 def _meetings(x: DataFrame, y: DataFrame, which: Column) -> DataFrame:
@@ -305,7 +305,8 @@ def _family_pairs(family: DataFrame, percent: int) -> DataFrame:
     its overlap with the centre less than they need.  So the other is smaller than the centre, and both have ``percent`` of them in it.
     """
     far = ~_similar(F.col("inside"), F.col("na"), F.col("n"), percent)
-    rows = family.select("fam", "na", "node", "n", "comp", "inside", far.alias("far"), (F.col("n") < F.col("na")).alias("short"), "gained", "lost")
+    short = (F.col("n") < F.col("na")).alias("short")
+    rows = durable(family.select("fam", "na", "node", "n", "comp", "inside", far.alias("far"), short, "gained", "lost"))
     nx, ny = F.col("nx"), F.col("ny")
     beyond = _needed(nx, ny, percent) - F.least("insidex", "insidey")
     larger = (nx > ny) | ((nx == ny) & (F.col("nodex") > F.col("nodey")))
@@ -315,7 +316,7 @@ def _family_pairs(family: DataFrame, percent: int) -> DataFrame:
         k = F.least(shared, F.lit(FEW))
         found = _meetings(x, y, (F.col("compx") != F.col("compy")) & near & which & (F.least("freex", "freey") > shared - k))
         found = found.groupBy("nodex", "nx", "nodey", "ny").agg(F.count(F.lit(1)).alias("n"), F.first(k).alias("k")).filter("n >= k")
-        return found.select(F.col("nodex").alias("x"), "nx", F.col("nodey").alias("y"), "ny")
+        return durable(found.select(F.col("nodex").alias("x"), "nx", F.col("nodey").alias("y"), "ny"))
 
     gained = _rarest_first(rows, F.col("gained"))
     both = _rarest_first(rows.filter((F.col("inside") * 100 >= F.col("n") * percent) & (F.col("far") | F.col("short"))), F.concat("gained", "lost"))
